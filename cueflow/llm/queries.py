@@ -10,12 +10,12 @@ MODULES = {
     "op2_bpe": "codec",
     "op3_packing": "packing",
     # "op4_lm": "lm",
-    # "op5_chat": "chat",
-    # "op6_pii": "pii",
+    "op5_chat": "chat",
+    "op6_pii": "pii",
     # "op7_ann": "forest",
     # "op8_quality": "pairwise",
     # "op9_dedup": "dedup",
-    # "op10_rules": "rules",
+    "op10_rules": "rules",
 }
 
 
