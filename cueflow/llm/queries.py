@@ -12,8 +12,8 @@ MODULES = {
     # "op4_lm": "lm",
     "op5_chat": "chat",
     "op6_pii": "pii",
-    # "op7_ann": "forest",
-    # "op8_quality": "pairwise",
+    "op7_ann": "forest",
+    "op8_quality": "pairwise",
     # "op9_dedup": "dedup",
     "op10_rules": "rules",
 }
