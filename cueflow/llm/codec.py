@@ -33,11 +33,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, sketch
 from .common import Scratch, only, table
 
 WINDOW, CUT_BITS, LEAST, MOST = 16, 10, 256, 8192
-FILTER_BITS = 26
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chunks int, n_reused int"
 SYNC = re.compile(rb"[A-Za-z](?= [A-Za-z])")
 
@@ -77,12 +76,6 @@ def chunk_ends(raw: bytes) -> list[int]:
     return out
 
 
-def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of the filter for 64-bit hashes."""
-    m = np.uint64((1 << FILTER_BITS) - 1)
-    return (h & m).astype(np.int64), (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
 def put_together(codec: bpe.Codec, raw: bytes, pieces: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
     """The ids of the whole text from the ids of pieces that follow each other: (start, end, ids)."""
     width = codec.width
@@ -142,8 +135,8 @@ def _digests(codec: bpe.Codec, ids: np.ndarray) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()
 
 
-def shared_filter(docs: DataFrame) -> DataFrame:
-    """The 64-bit words of the filter that are not zero: (word, bits), at most 2^20 rows."""
+def shared_hashes(docs: DataFrame) -> DataFrame:
+    """h: the 64-bit hashes of the chunks that occur more than once."""
 
     def hashes(batches):
         for batch in batches:
@@ -156,21 +149,14 @@ def shared_filter(docs: DataFrame) -> DataFrame:
             h, n = np.unique(np.array(h, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    counted = only(docs, ("text", "string")).mapInArrow(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
-    low = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    bit = F.explode(F.array(low, F.shiftrightunsigned("h", 64 - FILTER_BITS)))
-    # shiftleft takes a number, not a column, on its right: the expression form takes both
-    return counted.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("one")).groupBy("word").agg(F.bit_or("one").alias("bits"))
+    return only(docs, ("text", "string")).mapInArrow(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """A row for each document: counts and digests; with_ids: also the ids."""
     spark, path = docs.sparkSession, tokenizer or bpe.default_path()
     keep, docs = Scratch(spark), only(docs, ("doc_id", "long"), ("text", "string"))
-    words = shared_filter(docs).toArrow()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bits[words["word"].to_numpy()] = words["bits"].to_numpy()
-    shared = spark.sparkContext.broadcast(bits.tobytes())
+    shared = sketch.build(shared_hashes(docs))
 
     def result(rows: list[tuple], ids: list) -> dict:
         cols = list(zip(*rows)) or [()] * 6
@@ -180,19 +166,14 @@ def encode(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False
 
     def split(batches):
         """kind 0: a result; 1: a text that awaits its shared chunks; 2: an occurrence of a shared chunk."""
-        codec, table_, z = bpe.codec(path), np.frombuffer(shared.value, np.uint64), zstandard.ZstdCompressor(level=3)
-
-        def hit(bit: np.ndarray) -> np.ndarray:
-            return (table_[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
-
+        codec, z = bpe.codec(path), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             rows, ids_out, other = [], [], []
             for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = (text or "").encode()
                 ends = chunk_ends(raw)
                 starts = [0, *ends[:-1]]
-                one, two = _bits(np.array([xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(starts, ends)], np.uint64))
-                found = np.flatnonzero(hit(one) & hit(two)).tolist() if ends else []
+                found = np.flatnonzero(sketch.hits(shared.value, np.array([xxhash.xxh3_64_intdigest(raw[s:e]) for s, e in zip(starts, ends)], np.uint64))).tolist()
                 if not found:
                     ids = codec.encode(text or "")
                     rows.append((d, *_digests(codec, ids), len(ends), 0))

@@ -14,7 +14,7 @@ MODULES = {
     "op6_pii": "pii",
     "op7_ann": "forest",
     "op8_quality": "pairwise",
-    # "op9_dedup": "dedup",
+    "op9_dedup": "dedup",
     "op10_rules": "rules",
 }
 
