@@ -11,11 +11,13 @@ with a probability equal to their weighted Jaccard similarity. 25 bands of 6 coo
 shares a band in all but 0.05 % of cases, one at 0.9 in all but 10^-8.
 
 Joining, without all pairs of a group: (1) equal texts become one node by their hash; (2) the nodes of a
-bucket are each compared with the bucket's least node, so a group of n takes n comparisons; (3) links of
-those at 0.8 or more give components; (4) only where a bucket still holds several components are nodes of
-different components compared with each other, if their sizes and their known distances to the bucket's
-least node allow 0.8 at all (weighted Jaccard distance is a metric); (5) components again. Every pair of
-a bucket is so either linked, in one component, or proven or found to be below 0.8.
+bucket are each compared with its head, the node with the fullest buckets over all bands (the likely common
+origin), so a group of n takes n comparisons; (3) links of those at 0.8 or more give components; (4) only
+where a bucket still holds several components are nodes of different components compared with each other,
+and only if 0.8 is possible at all: their sizes, less the cells that no other such node has, bound what
+they can share, and their known distances to the head bound theirs (weighted Jaccard distance is a metric);
+(5) components again. Every pair of a bucket is so either linked, in one component, or proven or found to
+be below 0.8.
 
 Comparisons use exact sets of the nodes that have candidates; an 8 MB filter picks their texts in the scan,
 so other texts are never shuffled.
@@ -159,6 +161,19 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, sim double")
 
 
+def _own_items(sets: DataFrame) -> DataFrame:
+    """(id, own): how many cells of a node are in none of the others; they can't be shared with any."""
+
+    def run(batches):
+        for batch in batches:
+            for node, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                items = np.frombuffer(items, "<i8")
+                yield pa.RecordBatch.from_pydict({"item": pa.array(items), "id": pa.array(np.full(len(items), node, np.int64))})
+
+    one = sets.select("id", "items").mapInArrow(run, "item long, id long").groupBy("item").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1")
+    return one.groupBy("id").agg(F.count("*").alias("own"))
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, n_links (compared pairs at or above the threshold of the document's text)."""
     keep = Scratch(docs.sparkSession)
@@ -166,8 +181,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     # ids are frozen by writing them out
     nodes = keep.write(signed.select("node", "size", "bands").dropDuplicates(["node"]).withColumn("id", F.monotonically_increasing_id()), "nodes")
     entries = nodes.select("id", "size", F.posexplode("bands").alias("band", "key"))
-    crowd = entries.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("id").alias("head")).filter("n > 1").drop("n")
+    crowd = entries.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
     member = keep.write(entries.join(crowd, ["band", "key"]), "members")  # of buckets with two nodes or more
+    # a bucket's head is its most central node, the one with the fullest buckets over all bands
+    central = member.groupBy("id").agg(F.sum("n").alias("c"))
+    heads = member.join(central, "id").groupBy("band", "key").agg(F.max(F.struct("c", (-F.col("id")).alias("no"))).alias("top")).select("band", "key", (-F.col("top.no")).alias("head"))
+    member = keep.write(member.drop("n").join(heads, ["band", "key"]), "headed")
     pairs = member.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     wanted = member.select("id").distinct().join(nodes.select("id", "node"), "id")
     sets = keep.write(_sets(docs, wanted), "sets")
@@ -179,11 +198,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     known = near.select(F.col("a").alias("head"), F.col("b").alias("id"), "sim")
     rest = member.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
     open_ = rest.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band", "key")
-    rest = keep.write(rest.join(open_, ["band", "key"]).join(known, ["head", "id"], "left").withColumn("sim", F.coalesce("sim", F.lit(1.0)))
-                      .withColumn("step", F.floor(F.log(F.col("size")) / -math.log(similarity))), "open")
-    x = rest.select("band", "key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("sim").alias("sa"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
-    y = rest.select("band", "key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("sim").alias("sb"), "step")
-    could = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb")) & (F.abs(F.col("sa") - F.col("sb")) <= 1 - similarity + 1e-9)
+    rest = keep.write(rest.join(open_, ["band", "key"]).join(known, ["head", "id"], "left").withColumn("sim", F.coalesce("sim", F.lit(1.0))), "open")
+    own = _own_items(sets.join(rest.select("id").distinct(), "id"))
+    rest = rest.join(own, "id", "left").withColumn("most", F.col("size") - F.coalesce("own", F.lit(0))).withColumn("step", F.floor(F.log(F.col("size")) / -math.log(similarity)))
+    x = rest.select("band", "key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("most").alias("ma"), F.col("sim").alias("sa"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
+    y = rest.select("band", "key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("most").alias("mb"), F.col("sim").alias("sb"), "step")
+    bound = (1 + similarity) * F.least("ma", "mb") >= similarity * (F.col("na") + F.col("nb")) - 1e-6
+    could = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & bound & (F.abs(F.col("sa") - F.col("sb")) <= 1 - similarity + 1e-9)
     more = x.join(y, ["band", "key", "step"]).filter(could).select("a", "b").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti")
     links = keep.write(linked.unionByName(compare(more, sets).filter(F.col("sim") >= similarity).select("a", "b")), "links")
     root = graph.components(links, keep)
