@@ -200,12 +200,14 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     open_ = rest.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band", "key")
     rest = keep.write(rest.join(open_, ["band", "key"]).join(known, ["head", "id"], "left").withColumn("sim", F.coalesce("sim", F.lit(1.0))), "open")
     own = _own_items(sets.join(rest.select("id").distinct(), "id"))
-    rest = rest.join(own, "id", "left").withColumn("most", F.col("size") - F.coalesce("own", F.lit(0))).withColumn("step", F.floor(F.log(F.col("size")) / -math.log(similarity)))
-    x = rest.select("band", "key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("most").alias("ma"), F.col("sim").alias("sa"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
-    y = rest.select("band", "key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("most").alias("mb"), F.col("sim").alias("sb"), "step")
+    rest = rest.join(nodes.select("id", "bands"), "id").join(own, "id", "left").withColumn("most", F.col("size") - F.coalesce("own", F.lit(0))).withColumn("step", F.floor(F.log(F.col("size")) / -math.log(similarity)))
+    x = rest.select("band", "key", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("bands").alias("ba"), F.col("most").alias("ma"), F.col("sim").alias("sa"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
+    y = rest.select("band", "key", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("bands").alias("bb"), F.col("most").alias("mb"), F.col("sim").alias("sb"), "step")
     bound = (1 + similarity) * F.least("ma", "mb") >= similarity * (F.col("na") + F.col("nb")) - 1e-6
     could = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & bound & (F.abs(F.col("sa") - F.col("sb")) <= 1 - similarity + 1e-9)
-    more = x.join(y, ["band", "key", "step"]).filter(could).select("a", "b").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti")
+    # a pair is made in the first band that it shares, not in each
+    first = F.array_position(F.zip_with("ba", "bb", lambda p, q: p == q), F.lit(True)) == F.col("band") + 1
+    more = x.join(y, ["band", "key", "step"]).filter(could & first).select("a", "b").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti")
     links = keep.write(linked.unionByName(compare(more, sets).filter(F.col("sim") >= similarity).select("a", "b")), "links")
     root = graph.components(links, keep)
 
