@@ -9,7 +9,7 @@ MODULES = {
     "op1_sharding": "sharding",
     "op2_bpe": "codec",
     "op3_packing": "packing",
-    # "op4_lm": "lm",
+    "op4_lm": "lm",
     "op5_chat": "chat",
     "op6_pii": "pii",
     "op7_ann": "forest",
