@@ -1,4 +1,268 @@
-"""The registered queries over the driver's tables, with the SQL they are held against."""
+"""The registered queries over the driver's tables, with the SQL they are held against.
 
-QUERIES: dict = {}
+The driver's tables hold no media: which column stands for a cue, lane or rendition is our choice (said in
+each query), the operators are those of the survey's inventory.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from cueflow.functions import text as T
+from cueflow.operators import intervals, lanes, rank
+from cueflow.sources import parse
+from cueflow.streaming import tracker
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def literal(spark: SparkSession, rows: str, names: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({names})")
+
+
+def event_cues(spark: SparkSession, d: str) -> DataFrame:
+    """A user's events as cues: start in seconds, as long as the value, the type as text."""
+    e = read(spark, d, "events")
+    start = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    return e.select(F.col("user_id").alias("source_id"), F.col("event_id").alias("ord"), start.alias("start"), (start + F.col("value") * 600).alias("end"), F.col("event_type").alias("text"))
+
+
+_CUES = """c0 AS (SELECT user_id AS source_id, event_id AS ord, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + value * 600 AS e0, event_type AS text FROM events),
+c AS (SELECT source_id, ord, s, CASE WHEN e0 <= s THEN s + 1.5 ELSE e0 END AS e, text FROM c0)"""
+_COALESCE = f"""{_CUES},
+r AS (SELECT *, sum(n) OVER (PARTITION BY source_id ORDER BY s, ord) AS run FROM
+  (SELECT *, coalesce(CAST(lag(text) OVER (PARTITION BY source_id ORDER BY s, ord) <> text AS INT), 1) AS n FROM c)),
+m AS (SELECT *, max(e) OVER (PARTITION BY source_id, run ORDER BY s, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+i AS (SELECT *, sum(coalesce(CAST(s > reach + 0.15 AS INT), 1)) OVER (PARTITION BY source_id, run ORDER BY s, ord) AS island FROM m),
+k AS (SELECT source_id, min(s) AS s, max(e) AS e, min(text) AS text FROM i GROUP BY source_id, run, island)"""
+
+
+@query(f"WITH {_COALESCE} SELECT source_id, round(s, 3) AS \"start\", round(e, 3) AS \"end\", text FROM k")
+def cue_coalesce(spark, d):
+    return intervals.coalesce(event_cues(spark, d)).select("source_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "text")
+
+
+@query(f"""WITH {_COALESCE},
+n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY s, e, text) AS no, min(s) OVER () AS zero FROM k),
+t AS (SELECT source_id, no, text, CAST(round_even((s - zero) * 1000, 0) AS BIGINT) AS a, CAST(round_even((e - zero) * 1000, 0) AS BIGINT) AS b FROM n)
+SELECT source_id, no, printf('%02d:%02d:%02d,%03d', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000) AS timing, text FROM t""")
+def cue_render_srt(spark, d):
+    cues = intervals.coalesce(event_cues(spark, d))
+    zero = cues.agg(F.min("start").alias("zero"))
+    no = F.row_number().over(Window.partitionBy("source_id").orderBy("start", "end", "text"))
+    at = lambda c: T.srt_time(F.col(c) - F.col("zero"))
+    return cues.crossJoin(F.broadcast(zero)).select("source_id", no.cast("long").alias("no"), F.concat(at("start"), F.lit(" --> "), at("end")).alias("timing"), "text")
+
+
+@query("SELECT user_id, event_type AS text, min(event_id) AS ord FROM events GROUP BY ALL")
+def text_distinct_first(spark, d):
+    return read(spark, d, "events").groupBy("user_id", F.col("event_type").alias("text")).agg(F.min("event_id").alias("ord"))
+
+
+@query("""SELECT CAST(i AS INT) AS "index", i * 450.0::DOUBLE AS core_start, (i + 1) * 450.0::DOUBLE AS core_end, greatest(0.0::DOUBLE, i * 450.0::DOUBLE - 12) AS scan_start, least(3600.0::DOUBLE, (i + 1) * 450.0::DOUBLE + 12) AS scan_end FROM range(8) t(i)""")
+def lane_plan(spark, d):
+    return lanes.lane_plan(spark, 3600.0, 8, 12.0).drop("lanes")
+
+
+@query("""WITH t AS (SELECT doc_id, n_chars * 4096 AS total FROM documents WHERE n_chars > 0), c AS (SELECT *, CAST(least(4194304, greatest(1048576, ceil(total / 8))) AS BIGINT) AS chunk FROM t)
+SELECT doc_id, CAST(i AS INT) AS seg, i * chunk AS "first", least((i + 1) * chunk, total) - 1 AS "last" FROM c, range(100000) r(i) WHERE i * chunk < total""")
+def byte_range_plan(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", (F.col("n_chars") * 4096).alias("total"))
+    return lanes.byte_ranges(docs, F.col("total"), 8).select("doc_id", "seg", "first", "last")
+
+
+@query("""WITH c AS (SELECT event_id, date_part('day', ts) * 86400.0 + epoch(ts::TIME) AS t FROM events), l AS (SELECT i, i * 172800.0 AS a, (i + 1) * 172800.0 AS b FROM range(16) r(i))
+SELECT event_id, CAST(i AS INT) AS lane FROM c, l WHERE t - 86400 >= a AND (t - 86400 < b OR i = 15 AND t - 86400 <= b) AND t - 86400 BETWEEN a - 24 AND b + 24""")
+def lane_ownership(spark, d):
+    # a month of seconds in sixteen lanes; every event is seen by each lane that scans it and kept by its owner
+    seg = lanes.lane_plan(spark, 2764800.0, 16, 24.0)
+    at = (F.dayofmonth("ts") - 1) * 86400.0 + F.unix_micros(F.col("ts").cast("timestamp")) % 86400000000 / 1e6
+    e = read(spark, d, "events").select("event_id", at.alias("start"))
+    seen = e.join(F.broadcast(seg.select(F.col("index").alias("lane"), "scan_start", "scan_end")), F.col("start").between(F.col("scan_start"), F.col("scan_end"))).select("event_id", "start", "lane")
+    return intervals.own(seen, seg).select("event_id", "lane")
+
+
+@query("""WITH o AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, o_orderstatus = 'F' AS done, o_totalprice AS p FROM orders),
+l AS (SELECT *, i * 1e6 AS a, (i + 1) * 1e6 AS b, i * 1e6 + p AS media, coalesce(min(CAST(done AS INT)) OVER (PARTITION BY o_custkey ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS before FROM o)
+SELECT o_custkey, round(max(CASE WHEN done THEN b ELSE greatest(a, least(b, media)) END), 2) AS frontier FROM l WHERE before = 1 GROUP BY 1""")
+def lane_frontier(spark, d):
+    o = read(spark, d, "orders").withColumn("index", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)
+    o = o.select("o_custkey", "index", (F.col("o_orderstatus") == "F").alias("completed"), (F.col("index") * 1e6).alias("core_start"), ((F.col("index") + 1) * 1e6).alias("core_end"), (F.col("index") * 1e6 + F.col("o_totalprice")).alias("media"))
+    return lanes.frontier(o, ["o_custkey"]).select("o_custkey", F.round("frontier", 2).alias("frontier"))
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC, l_linenumber) = 1""")
+def best_rendition(spark, d):
+    keys = [F.desc(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]
+    return rank.first_by(read(spark, d, "lineitem"), ["l_orderkey"], [*keys, F.asc("l_linenumber")]).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY l_quantity <= 10 OR NOT bool_or(l_quantity <= 10) OVER (PARTITION BY l_orderkey)")
+def height_cap_fallback(spark, d):
+    return rank.cap_with_fallback(read(spark, d, "lineitem"), ["l_orderkey"], F.col("l_quantity") <= 10).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("""WITH c AS (SELECT *, substr(o_orderpriority, 1, 1) AS cls FROM orders), m AS (SELECT *, min(cls) OVER (PARTITION BY o_custkey) AS best FROM c)
+SELECT o_custkey, o_orderkey, cls FROM m WHERE cls = best QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1""")
+def class_fallback_rank(spark, d):
+    o = read(spark, d, "orders").withColumn("cls", F.substring("o_orderpriority", 1, 1))
+    return rank.first_by(rank.best_class(o, ["o_custkey"], F.col("cls")), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")]).select("o_custkey", "o_orderkey", "cls")
+
+
+@query("""SELECT id, origin FROM (SELECT doc_id AS id, 'labels' AS origin, 0 AS r FROM labels UNION ALL SELECT doc_id, 'documents', 1 FROM documents UNION ALL SELECT page_id, 'pages', 2 FROM pages) QUALIFY row_number() OVER (PARTITION BY id ORDER BY r) = 1""")
+def precedence_union(spark, d):
+    part = lambda t, c: read(spark, d, t).select(F.col(c).alias("id"), F.lit(t).alias("origin"))
+    out = rank.precedence_union([part("labels", "doc_id"), part("documents", "doc_id"), part("pages", "page_id")], F.col("id").cast("string"), [F.col("id")])
+    return out.select("id", "origin")
+
+
+@query("""SELECT page_id, k AS url_key FROM (SELECT page_id, regexp_extract(lower(url), '^(https?://[^?#]*)', 1) AS k FROM pages) WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY page_id) = 1""")
+def url_fingerprint_dedupe(spark, d):
+    p = read(spark, d, "pages").select("page_id", rank.url_key(F.col("url")).alias("url_key")).filter("url_key is not null")
+    return rank.first_by(p, ["url_key"], [F.col("page_id")])
+
+
+@query("SELECT c_custkey, c_mktsegment, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
+def enrich_left(spark, d):
+    return read(spark, d, "customer").join(read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_mktsegment", "o_orderkey")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def pending_anti(spark, d):
+    return read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def done_semi(spark, d):
+    return read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left_semi").select("doc_id", "lang")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, epoch(o_orderdate) AS t FROM orders), i AS (SELECT o_custkey, o_orderkey AS cue, t AS a, t + 86400 * 200 AS b FROM o)
+SELECT o.o_orderkey, min(i.cue) AS cue FROM o JOIN i ON o.o_custkey = i.o_custkey AND o.t BETWEEN i.a AND i.b GROUP BY 1""")
+def point_in_interval(spark, d):
+    o = read(spark, d, "orders").select("o_custkey", "o_orderkey", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("t"))
+    i = o.select("o_custkey", F.col("o_orderkey").alias("cue"), F.col("t").alias("a"))
+    return o.join(i, "o_custkey").filter("t between a and a + 86400 * 200").groupBy("o_orderkey").agg(F.min("cue").alias("cue"))
+
+
+@query("SELECT user_id, bool_and(event_type <> 'error') AS all_supported, round(sum(value), 4) AS value, CAST(sum(event_id) AS BIGINT) AS event_id FROM events GROUP BY 1")
+def transport_rollup(spark, d):
+    e = read(spark, d, "events")
+    return e.groupBy("user_id").agg(F.coalesce(F.bool_and(F.col("event_type") != "error"), F.lit(False)).alias("all_supported"), F.round(F.sum("value"), 4).alias("value"), F.sum("event_id").alias("event_id"))
+
+
+@query("WITH s AS (SELECT event_type, count(*)::DOUBLE AS n FROM events GROUP BY 1) SELECT event_type, n, round(n / greatest(1.0, max(n) OVER ()), 9) AS share FROM s")
+def share_of_max(spark, d):
+    s = read(spark, d, "events").groupBy("event_type").agg(F.count("*").cast("double").alias("n"))
+    return lanes.share_of_max(s, "n").withColumn("share", F.round("share", 9))
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20")
+def last_n(spark, d):
+    return rank.last_n(read(spark, d, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 20).select("user_id", "event_id")
+
+
+@query(r"""WITH t AS (SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS x FROM pages),
+u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), chr(13), '') AS x FROM t)
+SELECT page_id, array_to_string(list_filter(list_transform(string_split(x, chr(10)), lambda s: regexp_replace(s, '^[ \t\x0B\f]+|[ \t\x0B\f]+$', '', 'g')), lambda s: s <> ''), chr(10)) AS text FROM u""")
+def tag_strip_clean(spark, d):
+    return read(spark, d, "pages").select("page_id", T.clean_lines(T.strip_tags(F.col("html"))).alias("text"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b(token|sessdata|cookie|password|auth|secret)(\s*[:=]\s*)"?[^\s";&]+"?', '\1\2***', 'g'), '(?i)([a-z]:\\users\\)[^\\\s]+', '\1***', 'g'), '(?i)([?&](?:auth|token|key|sig)=)[^&\s]+', '\1***', 'g') AS text FROM documents""")
+def redact(spark, d):
+    return read(spark, d, "documents").select("doc_id", T.redact(F.col("text")).alias("text"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'view' AND contains(lower(props), '"k": 6') THEN 'Warning' WHEN event_type = 'error' THEN 'Error' ELSE 'Info' END AS level FROM events""")
+def level_promote(spark, d):
+    marked = F.lower("props").contains('"k": 6')
+    level = F.when((F.col("event_type") == "view") & marked, "Warning").when(F.col("event_type") == "error", "Error").otherwise("Info")
+    return read(spark, d, "events").select("event_id", level.alias("level"))
+
+
+@query(r"""WITH c AS (SELECT page_id, substr(regexp_replace(regexp_replace(url, '[<>:"/\\|?*\x00-\x1F]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), 1, 150) AS n FROM pages) SELECT page_id, CASE WHEN n = '' THEN 'file' ELSE n END AS name FROM c""")
+def filename_sanitize(spark, d):
+    return read(spark, d, "pages").select("page_id", T.safe_filename(F.col("url")).alias("name"))
+
+
+_TIMES = "('00:01.000'), ('1:02:03,500'), ('59:59.999'), ('60:00'), ('00:60'), ('x:1'), ('5'), ('10:00:00.25')"
+
+
+@query("SELECT * FROM (VALUES ('00:01.000', 1.0::DOUBLE), ('1:02:03,500', 3723.5), ('59:59.999', 3599.999), ('60:00', NULL), ('00:60', NULL), ('x:1', NULL), ('5', NULL), ('10:00:00.25', 36000.25)) t(raw, seconds)")
+def timestamp_parse(spark, d):
+    return literal(spark, _TIMES, "raw").withColumn("seconds", T.parse_time(F.col("raw")))
+
+
+@query("SELECT * FROM (VALUES ('你好， ，世界！', '你好，世界！'), ('你好 ABC', NULL), ('123!?', NULL), ('B站', 'B站'), ('VIP会员', 'VIP会员'), ('OpenAI模型', 'OpenAI模型'), ('今天看4K视频', '今天看4K视频'), ('你好 A N', NULL), ('你好 テスト', NULL), ('你好 테스트', NULL)) t(raw, clean)")
+def script_normalize(spark, d):
+    rows = "('你好， ，世界！'), ('你好 ABC'), ('123!?'), ('B站'), ('VIP会员'), ('OpenAI模型'), ('今天看4K视频'), ('你好 A N'), ('你好 テスト'), ('你好 테스트')"
+    return literal(spark, rows, "raw").withColumn("clean", T.script_normalize(F.col("raw")))
+
+
+@query("SELECT a.n_name AS a, b.n_name AS b, round(1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)), 9) AS sim FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def similarity(spark, d):
+    n = read(spark, d, "nation")
+    a, b = n.select("n_regionkey", F.col("n_nationkey").alias("i"), F.col("n_name").alias("a")), n.select("n_regionkey", F.col("n_nationkey").alias("j"), F.col("n_name").alias("b"))
+    return a.join(b, "n_regionkey").filter("i < j").select("a", "b", F.round(T.similarity(F.col("a"), F.col("b")), 9).alias("sim"))
+
+
+@query("SELECT * FROM (VALUES ('j', 0, 1.0::DOUBLE, 2.0::DOUBLE, '你好'), ('j', 1, 2.05, 3.0, '你好')) t(source_id, ord, \"start\", \"end\", text)")
+def subtitle_parse_json(spark, d):
+    return parse.flat_json(literal(spark, """('j', '{"body":[{"from":1.0,"to":2.0,"content":"你好"},{"from":2.05,"to":3.0,"content":"你好"},{"content":" "}]}')""", "source_id, payload"))
+
+
+@query("SELECT * FROM (VALUES ('s', 0, 1.5::DOUBLE, 2.25::DOUBLE, 'ab')) t(source_id, ord, \"start\", \"end\", text)")
+def subtitle_parse_segments(spark, d):
+    return parse.segmented_json(literal(spark, """('s', '{"events":[{"tStartMs":1500,"dDurationMs":750,"segs":[{"utf8":"a"},{"x":1},{"utf8":"b"}]},{"tStartMs":9}]}')""", "source_id, payload"))
+
+
+@query("SELECT * FROM (VALUES ('v', 1, 1.0::DOUBLE, 2.25::DOUBLE, '你好'), ('v', 2, 2.3, 3.0, '世界'), ('r', 0, 4.0, 5.5, '再见')) t(source_id, ord, \"start\", \"end\", text)")
+def subtitle_parse_timed(spark, d):
+    vtt = r"WEBVTT\n\n00:01.000 --> 00:02.250 position:50%\n<c.green>你好</c>\n\n00:02.300 --> 00:03.000\n世界"
+    return parse.timed_text(literal(spark, rf"('v', '{vtt}'), ('r', '1\r\n00:00:04,000 --> 00:00:05,500\r\n再见\r\n')", "source_id, payload"))
+
+
+@query()
+def cue_tracker(spark, d):
+    """A user's events as frames at four a second; errors are empty frames."""
+    e = read(spark, d, "events")
+    at = (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1) / 4.0
+    obs = e.select(F.col("user_id").alias("lane"), F.col("event_id").alias("ord"), at.alias("at"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("text"), (F.lit(0.5) + F.pmod("event_id", F.lit(50)) / 100.0).alias("confidence"))
+    return tracker.track(obs)
+
+
+@query()
+def boundary_reconcile(spark, d):
+    cues = event_cues(spark, d).withColumn("lane", F.pmod("ord", F.lit(4)).cast("int")).withColumn("confidence", F.lit(0.9))
+    return intervals.reconcile(cues)
+
+
+@query("SELECT user_id, round(100.0 * sum(w) / 100, 6) AS percent FROM (SELECT user_id, event_type, max(CASE event_type WHEN 'view' THEN 5 WHEN 'click' THEN 85 WHEN 'purchase' THEN 10 ELSE 0 END) AS w FROM events GROUP BY 1, 2) GROUP BY 1")
+def weighted_progress(spark, d):
+    w = F.when(F.col("event_type") == "view", 5).when(F.col("event_type") == "click", 85).when(F.col("event_type") == "purchase", 10).otherwise(0)
+    return read(spark, d, "events").select("user_id", "event_type", w.alias("w")).distinct().groupBy("user_id").agg(F.round(F.lit(100.0) * F.sum("w") / 100, 6).alias("percent"))
+
+
+@query("SELECT user_id, coalesce(min_by(event_type, (ts, event_id)) FILTER (event_type IN ('error', 'purchase')), 'running') AS state FROM events GROUP BY 1")
+def job_state(spark, d):
+    final = F.when(F.col("event_type").isin("error", "purchase"), F.struct("ts", "event_id"))
+    return read(spark, d, "events").groupBy("user_id").agg(F.coalesce(F.min_by(F.when(final.isNotNull(), F.col("event_type")), final), F.lit("running")).alias("state"))
