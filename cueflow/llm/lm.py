@@ -6,9 +6,9 @@ part of the training documents (crc32 mod 7 equal to EM_FOLD) is deleted from th
 are explained by those of the rest. Then all training documents are counted.
 
 Steps: documents become blocks of about BLOCK_CHARS characters, held as word hashes; every block sends its
-distinct unigrams and bigrams with their training counts, summed within the block, to partitions by key; a
-partition adds them up and returns to every block the totals of its own keys; blocks and totals meet again
-for EM statistics and for scores. What travels grows with the distinct n-grams of a block, and a frequent
+distinct words and bigrams with their training counts, summed within the block, to partitions by key; a
+partition adds them up and returns to every block the totals of its own keys; blocks and totals are written
+together, for EM statistics and for scores. What travels grows with the distinct n-grams of a block, and a frequent
 word is one row a block. EM itself sees at most BUCKETS x LEVELS x LEVELS cells.
 
 Defined cases: null text is empty (one token, the end); null doc_id hashes as an empty string and stays
@@ -31,7 +31,7 @@ from .common import Scratch, digest_of, only, table
 from .textnum import mix, word_hashes
 
 FOLDS, HELD_OUT, EM_FOLD = 7, 2, 3
-BLOCK_CHARS, MOST_PARTS = 4_000_000, 4096
+BLOCK_CHARS, LEAST_PARTS, MOST_PARTS = 8_000_000, 64, 4096
 BUCKETS, LEVELS = 24, 40
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0x7C3D2B1A59F06E85)
 
@@ -69,8 +69,20 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", (digest_of(rows) % FOLDS).cast("int").alias("fold"), "text").mapInArrow(run, "block string, doc_ids array<long>, folds array<int>, lengths array<int>, words binary, tokens binary")
 
 
+def _pack_counts(x: np.ndarray) -> bytes:
+    """Counts by byte place: the upper places are nearly all zero."""
+    return _pack(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def _unpack_counts(b: bytes) -> np.ndarray:
+    return _unpack(b, "u1").reshape(4, -1).T.copy().view("<u4").ravel()
+
+
 class Block:
-    """The n-grams of a block: keys[o] sorted and distinct, at[o] the place of each token's n-gram."""
+    """The n-grams of a block: keys[o] sorted and distinct, at[o] the place of each token's n-gram.
+
+    A word is a context as often as it is a word, and the start as often as the end, so contexts need no
+    keys of their own."""
 
     def __init__(self, folds, lengths, words: bytes, tokens: bytes):
         n = np.array(lengths, np.int64)
@@ -80,15 +92,21 @@ class Block:
         before = np.concatenate([[START], w[:-1]])
         before[self.first] = START
         self.keys, self.at = {}, {}
-        for o, k in ((0, mix(before + np.uint64(1))), (1, mix(w + np.uint64(1))), (2, mix(mix(before) + w))):
+        for o, k in ((1, mix(w + np.uint64(1))), (2, mix(mix(before) + w))):
             self.keys[o], self.at[o] = np.unique(k, return_inverse=True)
 
     def counts(self, o: int, rows: np.ndarray) -> np.ndarray:
         return np.bincount(self.at[o][rows], minlength=len(self.keys[o])).astype("<u4")
 
+    def contexts(self, word: np.ndarray) -> np.ndarray:
+        """What belongs to each token's context, from what belongs to the tokens."""
+        out = np.concatenate([word[:1], word[:-1]])
+        out[self.first] = word[-1]  # a block ends with an end
+        return out
+
 
 def _requests(blocks: DataFrame, bits: int) -> DataFrame:
-    """order (0 context, 1 word, 2 bigram), part, block, keys, c (training counts), e (those without the EM fold)."""
+    """order (1 word, 2 bigram), part, block, keys, c (training counts), d (those of the EM fold)."""
 
     def run(batches):
         for batch in batches:
@@ -96,42 +114,42 @@ def _requests(blocks: DataFrame, bits: int) -> DataFrame:
                 b = Block(folds, lengths, words, tokens)
                 out: list[list] = [[] for _ in range(6)]
                 for o, keys in b.keys.items():
-                    c, e = b.counts(o, b.fold != HELD_OUT), b.counts(o, (b.fold != HELD_OUT) & (b.fold != EM_FOLD))
+                    c, d = b.counts(o, b.fold != HELD_OUT), b.counts(o, b.fold == EM_FOLD)
                     edge = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
                     for p in np.flatnonzero(np.diff(edge)).tolist():
                         s = slice(edge[p], edge[p + 1])
-                        for x, y in zip(out, (o, p, block, _pack(np.diff(keys[s], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T), _pack(c[s]), _pack(e[s]))):
+                        for x, y in zip(out, (o, p, block, _pack(np.diff(keys[s], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T), _pack_counts(c[s]), _pack_counts(d[s]))):
                             x.append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()))], names=["o", "p", "block", "keys", "c", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()))], names=["o", "p", "block", "keys", "c", "d"])
 
-    return blocks.mapInArrow(run, "o int, p int, block string, keys binary, c binary, e binary")
+    return blocks.mapInArrow(run, "o int, p int, block string, keys binary, c binary, d binary")
 
 
 def _totals(requests: DataFrame) -> DataFrame:
-    """For every request the totals of its keys; and, in rows without block, types and tokens of a part."""
+    """For every request the totals of its keys (c, d), and the part's types and tokens: of all training counts
+    (types, n) and without the EM fold (types_e, n_e)."""
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
         keys = [np.cumsum(_unpack(b, "u1").reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64) for b in f["keys"]]
         distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-        out, ends = {}, np.cumsum([len(k) for k in keys])[:-1]
-        sums = {}
-        for name in ("c", "e"):
-            sums[name] = np.bincount(where, np.concatenate([_unpack(b, "<u4") for b in f[name]]), len(distinct)).astype("<u4")
-            out[name] = [_pack(x) for x in np.split(sums[name][where], ends)]
-        rows = pd.DataFrame({"o": f["o"].iloc[0], "p": f["p"].iloc[0], "block": f["block"], "c": out["c"], "e": out["e"], "types": 0, "n": 0, "types_e": 0, "n_e": 0})
-        own = pd.DataFrame({"o": [f["o"].iloc[0]], "p": [f["p"].iloc[0]], "block": [None], "c": [b""], "e": [b""], "types": [int((sums["c"] > 0).sum())], "n": [int(sums["c"].sum(dtype=np.int64))], "types_e": [int((sums["e"] > 0).sum())], "n_e": [int(sums["e"].sum(dtype=np.int64))]})
-        return pd.concat([rows, own])
+        rows, sums, ends = f[["o", "p", "block"]].copy(), {}, np.cumsum([len(k) for k in keys])[:-1]
+        for name in ("c", "d"):
+            sums[name] = np.bincount(where, np.concatenate([_unpack_counts(b) for b in f[name]]), len(distinct)).astype("<u4")
+            rows[name] = [_pack_counts(x) for x in np.split(sums[name][where], ends)]
+        for end, x in (("", sums["c"]), ("_e", sums["c"] - sums["d"])):
+            rows[f"types{end}"], rows[f"n{end}"] = int((x > 0).sum()), int(x.sum(dtype=np.int64))
+        return rows
 
-    return requests.groupBy("o", "p").applyInPandas(add, "o int, p int, block string, c binary, e binary, types long, n long, types_e long, n_e long")
+    return requests.groupBy("o", "p").applyInPandas(add, "o int, p int, block string, c binary, d binary, types long, n long, types_e long, n_e long")
 
 
-def _parts(b: Block, given: list, name: str) -> tuple[np.ndarray, ...]:
+def _parts(b: Block, given: list, without_em: bool = False) -> tuple[np.ndarray, ...]:
     """Counts of each token's context, word and bigram."""
     out = []
-    for o in (0, 1, 2):
-        got = [_unpack(g[name], "<u4") for g in sorted((g for g in given if g["o"] == o), key=lambda g: g["p"])]
-        out.append(np.concatenate(got)[b.at[o]].astype(np.float64) if got else np.zeros(0))
-    return tuple(out)
+    for o in (1, 2):
+        got = [_unpack_counts(g["c"]) - (_unpack_counts(g["d"]) if without_em else np.uint32(0)) for g in sorted((g for g in given if g["o"] == o), key=lambda g: g["p"])]
+        out.append(np.concatenate(got)[b.at[o]].astype(np.float64))
+    return b.contexts(out[0]), *out
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -164,11 +182,14 @@ def score(docs: DataFrame) -> DataFrame:
     keep = Scratch(docs.sparkSession)
     blocks = keep.write(_blocks(docs), "blocks")
     n_blocks = blocks.count()
-    bits = int(np.ceil(np.log2(min(MOST_PARTS, max(16, n_blocks)))))
-    totals = keep.write(_totals(_requests(blocks, bits)), "totals")
-    size = totals.filter("block is null and o = 1").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("types", "n", "types_e", "n_e")]).first()
-    given = totals.filter("block is not null").groupBy("block").agg(F.collect_list(F.struct("o", "p", "c", "e")).alias("given"))
+    bits = int(np.ceil(np.log2(min(MOST_PARTS, max(LEAST_PARTS, n_blocks / 4)))))
+    sizes = ("types", "n", "types_e", "n_e")
+    totals = _totals(_requests(blocks, bits))
+    given = totals.groupBy("block").agg(F.collect_list(F.struct("o", "p", "c", "d")).alias("given"), F.collect_list(F.when(F.col("o") == 1, F.struct("p", *sizes))).alias("sizes"))
     met = keep.write(blocks.join(given, "block"), "met")
+    keep.drop(blocks)
+    # every block that asked a part has the part's sizes: once each
+    size = met.select(F.explode("sizes").alias("s")).select("s.*").distinct().agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in sizes]).first()
     cols = ("doc_ids", "folds", "lengths", "words", "tokens", "given")
 
     def statistics(batches):
@@ -177,7 +198,7 @@ def score(docs: DataFrame) -> DataFrame:
             for _, folds, lengths, words, tokens, g in zip(*(batch.column(c).to_pylist() for c in cols)):
                 b = Block(folds, lengths, words, tokens)
                 rows = b.fold == EM_FOLD
-                context, word, pair = (x[rows] for x in _parts(b, g, "e"))
+                context, word, pair = (x[rows] for x in _parts(b, g, True))
                 p2, p1 = pair / np.maximum(1, context), word / n
                 level = lambda p: np.where(p > 0, np.minimum(LEVELS - 1, 1 - np.log2(np.maximum(p, 2.0**-60))).astype(np.int64), LEVELS - 1)
                 cell = (_bucket(context) * LEVELS + level(p2)) * LEVELS + level(p1)
@@ -192,7 +213,7 @@ def score(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for doc_ids, folds, lengths, words, tokens, g in zip(*(batch.column(c).to_pylist() for c in cols)):
                 b = Block(folds, lengths, words, tokens)
-                context, word, pair = _parts(b, g, "c")
+                context, word, pair = _parts(b, g)
                 a = weights[_bucket(context)]
                 p = a[:, 0] * pair / np.maximum(1, context) + a[:, 1] * word / max(1, n_all) + a[:, 2] / (v + 1)
                 p = p if n_all else np.ones(len(p))
