@@ -33,6 +33,8 @@ from .textnum import mix, word_hashes
 FOLDS, HELD_OUT, EM_FOLD = 7, 2, 3
 BLOCK_CHARS, LEAST_PARTS, MOST_PARTS = 8_000_000, 64, 4096
 BUCKETS, LEVELS = 24, 40
+#: A bigram is known by so many bits more than its number could have: it meets another with a chance of at most 2^-20.
+SPARE_BITS = 20
 END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0x7C3D2B1A59F06E85)
 
 
@@ -45,12 +47,15 @@ def _unpack(b: bytes, kind: str) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """block, doc_ids, folds, lengths (tokens), words (distinct, sorted), tokens (their places)."""
+    """block, doc_ids, folds, lengths (tokens), words (distinct, frequent first), tokens (their places)."""
 
     def make(rows):
         doc_ids, folds, parts = zip(*rows)
-        words, tokens = np.unique(np.concatenate(parts), return_inverse=True)
-        return pa.RecordBatch.from_pydict({"block": pa.array([uuid.uuid4().hex]), "doc_ids": pa.array([list(doc_ids)], pa.list_(pa.int64())), "folds": pa.array([list(folds)], pa.list_(pa.int32())), "lengths": pa.array([[len(p) for p in parts]], pa.list_(pa.int32())), "words": pa.array([_pack(words)], pa.binary()), "tokens": pa.array([_pack(tokens.astype("<u4"))], pa.binary())})
+        words, tokens, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        return pa.RecordBatch.from_pydict({"block": pa.array([uuid.uuid4().hex]), "doc_ids": pa.array([list(doc_ids)], pa.list_(pa.int64())), "folds": pa.array([list(folds)], pa.list_(pa.int32())), "lengths": pa.array([[len(p) for p in parts]], pa.list_(pa.int32())), "words": pa.array([_pack(words[order])], pa.binary()), "tokens": pa.array([_pack_counts(place[tokens])], pa.binary())})
 
     def run(batches):
         rows, size = [], 0
@@ -84,15 +89,15 @@ class Block:
     A word is a context as often as it is a word, and the start as often as the end, so contexts need no
     keys of their own."""
 
-    def __init__(self, folds, lengths, words: bytes, tokens: bytes):
+    def __init__(self, folds, lengths, words: bytes, tokens: bytes, pair_bits: int):
         n = np.array(lengths, np.int64)
-        w = _unpack(words, "<u8")[_unpack(tokens, "<u4")]
+        w = _unpack(words, "<u8")[_unpack_counts(tokens)]
         self.first = np.cumsum(n) - n
         self.fold = np.repeat(np.array(folds, np.int64), n)
         before = np.concatenate([[START], w[:-1]])
         before[self.first] = START
         self.keys, self.at = {}, {}
-        for o, k in ((1, mix(w + np.uint64(1))), (2, mix(mix(before) + w))):
+        for o, k in ((1, mix(w + np.uint64(1))), (2, mix(mix(before) + w) >> np.uint64(64 - pair_bits))):
             self.keys[o], self.at[o] = np.unique(k, return_inverse=True)
 
     def counts(self, o: int, rows: np.ndarray) -> np.ndarray:
@@ -105,17 +110,17 @@ class Block:
         return out
 
 
-def _requests(blocks: DataFrame, bits: int) -> DataFrame:
+def _requests(blocks: DataFrame, bits: int, pair_bits: int) -> DataFrame:
     """order (1 word, 2 bigram), part, block, keys, c (training counts), d (those of the EM fold)."""
 
     def run(batches):
         for batch in batches:
             for block, folds, lengths, words, tokens in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
-                b = Block(folds, lengths, words, tokens)
+                b = Block(folds, lengths, words, tokens, pair_bits)
                 out: list[list] = [[] for _ in range(6)]
                 for o, keys in b.keys.items():
                     c, d = b.counts(o, b.fold != HELD_OUT), b.counts(o, b.fold == EM_FOLD)
-                    edge = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+                    edge = np.searchsorted(keys >> np.uint64((64 if o == 1 else pair_bits) - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
                     for p in np.flatnonzero(np.diff(edge)).tolist():
                         s = slice(edge[p], edge[p + 1])
                         for x, y in zip(out, (o, p, block, _pack(np.diff(keys[s], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T), _pack_counts(c[s]), _pack_counts(d[s]))):
@@ -126,7 +131,7 @@ def _requests(blocks: DataFrame, bits: int) -> DataFrame:
 
 
 def _totals(requests: DataFrame) -> DataFrame:
-    """For every request the totals of its keys (c, d), and the part's types and tokens: of all training counts
+    """For every request the totals of its keys (c; d where the block has the key in the EM fold), and the part's types and tokens: of all training counts
     (types, n) and without the EM fold (types_e, n_e)."""
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
@@ -135,7 +140,8 @@ def _totals(requests: DataFrame) -> DataFrame:
         rows, sums, ends = f[["o", "p", "block"]].copy(), {}, np.cumsum([len(k) for k in keys])[:-1]
         for name in ("c", "d"):
             sums[name] = np.bincount(where, np.concatenate([_unpack_counts(b) for b in f[name]]), len(distinct)).astype("<u4")
-            rows[name] = [_pack_counts(x) for x in np.split(sums[name][where], ends)]
+        rows["c"] = [_pack_counts(x) for x in np.split(sums["c"][where], ends)]
+        rows["d"] = [_pack_counts(np.where(_unpack_counts(own) > 0, x, 0)) for own, x in zip(f["d"], np.split(sums["d"][where], ends))]
         for end, x in (("", sums["c"]), ("_e", sums["c"] - sums["d"])):
             rows[f"types{end}"], rows[f"n{end}"] = int((x > 0).sum()), int(x.sum(dtype=np.int64))
         return rows
@@ -181,10 +187,11 @@ def em(cells: np.ndarray, v: float, rounds: int = 200) -> np.ndarray:
 def score(docs: DataFrame) -> DataFrame:
     keep = Scratch(docs.sparkSession)
     blocks = keep.write(_blocks(docs), "blocks")
-    n_blocks = blocks.count()
+    n_blocks, n_tokens = blocks.agg(F.count("*"), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()
+    pair_bits = min(64, SPARE_BITS + int(np.ceil(np.log2(n_tokens + 1))))
     bits = int(np.ceil(np.log2(min(MOST_PARTS, max(LEAST_PARTS, n_blocks / 4)))))
     sizes = ("types", "n", "types_e", "n_e")
-    totals = _totals(_requests(blocks, bits))
+    totals = _totals(_requests(blocks, bits, pair_bits))
     given = totals.groupBy("block").agg(F.collect_list(F.struct("o", "p", "c", "d")).alias("given"), F.collect_list(F.when(F.col("o") == 1, F.struct("p", *sizes))).alias("sizes"))
     met = keep.write(blocks.join(given, "block"), "met")
     keep.drop(blocks)
@@ -196,7 +203,7 @@ def score(docs: DataFrame) -> DataFrame:
         n = max(1, size["n_e"])
         for batch in batches:
             for _, folds, lengths, words, tokens, g in zip(*(batch.column(c).to_pylist() for c in cols)):
-                b = Block(folds, lengths, words, tokens)
+                b = Block(folds, lengths, words, tokens, pair_bits)
                 rows = b.fold == EM_FOLD
                 context, word, pair = (x[rows] for x in _parts(b, g, True))
                 p2, p1 = pair / np.maximum(1, context), word / n
@@ -212,7 +219,7 @@ def score(docs: DataFrame) -> DataFrame:
     def scores(batches):
         for batch in batches:
             for doc_ids, folds, lengths, words, tokens, g in zip(*(batch.column(c).to_pylist() for c in cols)):
-                b = Block(folds, lengths, words, tokens)
+                b = Block(folds, lengths, words, tokens, pair_bits)
                 context, word, pair = _parts(b, g)
                 a = weights[_bucket(context)]
                 p = a[:, 0] * pair / np.maximum(1, context) + a[:, 1] * word / max(1, n_all) + a[:, 2] / (v + 1)
