@@ -19,11 +19,11 @@ null; repeated rows are each counted and scored; without training documents ever
 from __future__ import annotations
 
 import uuid
-import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,11 +39,11 @@ END, START = np.uint64(0x1D8E4E27C47D124F), np.uint64(0x7C3D2B1A59F06E85)
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x).tobytes())
 
 
 def _unpack(b: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), kind)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         order = np.argsort(-n, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        return pa.RecordBatch.from_pydict({"block": pa.array([uuid.uuid4().hex]), "doc_ids": pa.array([list(doc_ids)], pa.list_(pa.int64())), "folds": pa.array([list(folds)], pa.list_(pa.int32())), "lengths": pa.array([[len(p) for p in parts]], pa.list_(pa.int32())), "words": pa.array([_pack(words[order])], pa.binary()), "tokens": pa.array([_pack_counts(place[tokens])], pa.binary())})
+        return pa.RecordBatch.from_pydict({"block": pa.array([uuid.uuid4().hex]), "doc_ids": pa.array([list(doc_ids)], pa.list_(pa.int64())), "folds": pa.array([list(folds)], pa.list_(pa.int32())), "lengths": pa.array([[len(p) for p in parts]], pa.list_(pa.int32())), "words": pa.array([_pack_keys(words[order])], pa.binary()), "tokens": pa.array([_pack_counts(place[tokens])], pa.binary())})
 
     def run(batches):
         rows, size = [], 0
@@ -74,6 +74,15 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", (digest_of(rows) % FOLDS).cast("int").alias("fold"), "text").mapInArrow(run, "block string, doc_ids array<long>, folds array<int>, lengths array<int>, words binary, tokens binary")
 
 
+def _pack_keys(x: np.ndarray) -> bytes:
+    """64-bit keys in sorted runs: their differences, by byte place."""
+    return _pack(np.diff(x, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+
+
+def _unpack_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(b, "u1").reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
+
+
 def _pack_counts(x: np.ndarray) -> bytes:
     """Counts by byte place: the upper places are nearly all zero."""
     return _pack(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
@@ -91,7 +100,7 @@ class Block:
 
     def __init__(self, folds, lengths, words: bytes, tokens: bytes, pair_bits: int):
         n = np.array(lengths, np.int64)
-        w = _unpack(words, "<u8")[_unpack_counts(tokens)]
+        w = _unpack_keys(words)[_unpack_counts(tokens)]
         self.first = np.cumsum(n) - n
         self.fold = np.repeat(np.array(folds, np.int64), n)
         before = np.concatenate([[START], w[:-1]])
@@ -123,7 +132,7 @@ def _requests(blocks: DataFrame, bits: int, pair_bits: int) -> DataFrame:
                     edge = np.searchsorted(keys >> np.uint64((64 if o == 1 else pair_bits) - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
                     for p in np.flatnonzero(np.diff(edge)).tolist():
                         s = slice(edge[p], edge[p + 1])
-                        for x, y in zip(out, (o, p, block, _pack(np.diff(keys[s], prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T), _pack_counts(c[s]), _pack_counts(d[s]))):
+                        for x, y in zip(out, (o, p, block, _pack_keys(keys[s]), _pack_counts(c[s]), _pack_counts(d[s]))):
                             x.append(y)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary()))], names=["o", "p", "block", "keys", "c", "d"])
 
@@ -135,7 +144,7 @@ def _totals(requests: DataFrame) -> DataFrame:
     (types, n) and without the EM fold (types_e, n_e)."""
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.cumsum(_unpack(b, "u1").reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64) for b in f["keys"]]
+        keys = [_unpack_keys(b) for b in f["keys"]]
         distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
         rows, sums, ends = f[["o", "p", "block"]].copy(), {}, np.cumsum([len(k) for k in keys])[:-1]
         for name in ("c", "d"):
