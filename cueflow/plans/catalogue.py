@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueflow.functions import text as T
-from cueflow.operators import intervals, lanes, rank
+from cueflow.functions.version import version_key
+from cueflow.operators import intervals, lanes, policy, rank
 from cueflow.sources import parse
 from cueflow.streaming import tracker
 
@@ -266,3 +267,24 @@ def weighted_progress(spark, d):
 def job_state(spark, d):
     final = F.when(F.col("event_type").isin("error", "purchase"), F.struct("ts", "event_id"))
     return read(spark, d, "events").groupBy("user_id").agg(F.coalesce(F.min_by(F.when(final.isNotNull(), F.col("event_type")), final), F.lit("running")).alias("state"))
+
+
+_VERSIONS = ("junk", "4", "v1.2-alpha", "1.2-Beta2", "1.2-beta10", "1.2-beta10.1", "1.2+build", "1.2.0.1")
+
+
+@query("SELECT * FROM (VALUES ('junk', 1), ('4', 1), ('v1.2-alpha', 2), ('1.2-Beta2', 3), ('1.2-beta10', 4), ('1.2-beta10.1', 5), ('1.2+build', 6), ('1.2.0.1', 7)) t(raw, place)")
+def version_order(spark, d):
+    rows = literal(spark, ", ".join(f"('{v}')" for v in _VERSIONS), "raw")
+    return rows.withColumn("place", F.dense_rank().over(Window.orderBy(version_key(F.col("raw")))))  # eight literal rows
+
+
+@query("SELECT * FROM (VALUES ('cpu', 6.0::DOUBLE, 16, 16), ('gpu', 6.0, 2, 4), (' AUTO ', 6.0, 2, 4), ('hybrid', 6.0, 2, 4), ('auto', NULL, 4, 4), ('gpu', NULL, 1, 1)) t(mode, vram, lanes, ceiling)")
+def lane_policy(spark, d):
+    rows = literal(spark, "('cpu', 6.0D), ('gpu', 6.0D), (' AUTO ', 6.0D), ('hybrid', 6.0D), ('auto', NULL), ('gpu', NULL)", "mode, vram")
+    at = (F.col("mode"), F.lit(32), F.lit(32 << 30), F.col("vram"))
+    return rows.withColumn("lanes", policy.lanes(*at)).withColumn("ceiling", policy.probe_ceiling(*at))
+
+
+@query("SELECT p_partkey, 2 * CAST(p_size AS BIGINT) * 1048576 + 536870912 AS needed FROM part")
+def disk_preflight(spark, d):
+    return read(spark, d, "part").select("p_partkey", policy.disk_needed(F.col("p_size").cast("long") * 1048576).alias("needed"))

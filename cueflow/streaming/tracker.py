@@ -5,10 +5,12 @@ One step function serves batch (a group per lane, ordered) and Structured Stream
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SAME, BETTER, LONGER, SHORTEST, LONGEST = 0.80, 0.035, 2, 0.12, 30.0
 CUES = "lane long, start double, end double, text string, confidence double"
@@ -101,3 +103,39 @@ def track(observations: DataFrame, fps: float = 4.0, low: float = 0.68, accept:
         return rows
 
     return observations.groupBy("lane").applyInPandas(run, CUES)
+
+
+#: Media time 0 as event time, so that it lies after the watermark that a stream starts with.
+_ZERO = 86400.0
+
+
+def track_stream(observations: DataFrame, fps: float = 4.0, low: float = 0.68, accept: Callable[[str], str | None] = lambda t: t, delay: str = "5 seconds", idle: float = 60.0) -> DataFrame:
+    """The same over a stream (append mode): rows may come unordered within the delay. A lane's rows wait until the
+    watermark has passed them and are then folded in order; a lane ends when the watermark is `idle` seconds of
+    media past its last row. What a lane keeps is its tracker and the rows that wait. Media times are 0 or more."""
+    span = 1 / max(0.25, fps)
+
+    def run(key, batches, state):
+        kept = json.loads(state.get[0]) if state.exists else {"tracker": start_state(), "wait": [], "last": None}
+        s, wait, out = kept["tracker"], kept["wait"], []
+        for f in batches:
+            wait += [[float(r.at), int(r.ord), r.text if isinstance(r.text, str) else None, float(r.confidence)] for r in f.itertuples()]
+        mark = state.getCurrentWatermarkMs() / 1000 - _ZERO
+        due = sorted((w for w in wait if w[0] <= mark), key=lambda w: (w[0], w[1]))
+        wait = [w for w in wait if w[0] > mark]
+        for at, _, text, confidence in due:
+            step(s, at, text, confidence, fps, low, accept, out)
+        last = due[-1][0] if due else kept["last"]
+        if not wait and mark >= last + idle:
+            finish(s, last + span, fps, out)
+            state.remove()
+        else:
+            state.update((json.dumps({"tracker": s, "wait": wait, "last": last}),))
+            wake = min(w[0] for w in wait) if wait else last + idle
+            state.setTimeoutTimestamp(max(int((wake + _ZERO) * 1000), int((mark + _ZERO) * 1000) + 1))
+        rows = pd.DataFrame(out, columns=["start", "end", "text", "confidence"])
+        rows.insert(0, "lane", key[0])
+        yield rows
+
+    timed = observations.withColumn("_time", F.timestamp_seconds(F.col("at") + _ZERO)).withWatermark("_time", delay)
+    return timed.groupBy("lane").applyInPandasWithState(run, CUES, "kept string", "append", "EventTimeTimeout")
