@@ -5,9 +5,11 @@ marked 0 the first wins; w minimises the logistic loss of feature differences ov
 score is a logistic curve of the strength that passes 0.3 at the strength below which lies the share of
 training rows that is marked 0 (a quantile), so `score >= 0.3` is that quantile as a threshold.
 
-Training rows: labelled documents outside the held-out fold, at most SAMPLE of each label, chosen by a hash
-of their id (a documented bound; what comes to the driver is that many rows of features). Scoring is one
-expression over one row: no shuffle and no Python.
+Training rows: labelled documents outside the held-out fold. The weights come from at most SAMPLE of each
+label, chosen by a hash of their id (a documented bound; what comes to the driver is that many rows of
+features). The threshold comes from all of them, whatever the sample: the strengths of all documents are
+written once, and the exact quantile of the training rows' is taken there. A strength is one expression over
+one row, without Python; only ids and strengths are shuffled, to meet the labels.
 
 Defined cases: null text is an empty text and has a score; null and repeated doc_id stay, one row each; a
 label that is null counts as none; without both labels every score is 0.5; an empty table gives no rows;
@@ -20,11 +22,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import digest_of, only, table
+from .common import Scratch, digest_of, only, table
 from .rules import MEASURES, _count, words
 
 SAMPLE, PAIRS, CUT = 20_000, 200_000, 0.3
 FOLDS, HELD_OUT = 5, 0
+#: Ranks of percentile_approx are off by 1 / RANKS of the rows at most.
+RANKS = 100_000
 
 
 def features(text: Column, words_: Column) -> list[Column]:
@@ -47,10 +51,15 @@ def measured(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.array(*features(F.col("text"), F.col("words"))).alias("x"))
 
 
+def training_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, quality of the training rows, one for each doc_id."""
+    known = only(labels, ("doc_id", "long"), ("quality", "int")).filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    return known.filter(digest_of(known) % FOLDS != HELD_OUT)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> list:
     """(x, quality) of a bounded sample."""
-    known = only(labels, ("doc_id", "long"), ("quality", "int")).filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = known.filter(digest_of(known) % FOLDS != HELD_OUT)
+    known = training_labels(labels)
     sizes = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20))
     wanted = F.lit(False)
@@ -62,11 +71,11 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list:
     return sorted(((r["x"], r["quality"]) for r in rows.limit(4 * SAMPLE).collect()), key=repr)
 
 
-def fit(rows: list, rounds: int = 60, ridge: float = 1e-3) -> tuple[list[float], float, float]:
-    """(w, strength at the quantile, spread), by Newton steps on the pairs."""
+def fit(rows: list, rounds: int = 60, ridge: float = 1e-3) -> list[float]:
+    """w, by Newton steps on the pairs; empty where a label is missing."""
     x, y = np.array([r[0] for r in rows], np.float64).reshape(len(rows), -1), np.array([r[1] for r in rows])
     if len(set(y.tolist())) < 2:
-        return [], 0.0, 1.0
+        return []
     rng = np.random.default_rng(8)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     d = x[rng.choice(good, PAIRS)] - x[rng.choice(bad, PAIRS)]
@@ -78,36 +87,63 @@ def fit(rows: list, rounds: int = 60, ridge: float = 1e-3) -> tuple[list[float],
         w -= step / max(1.0, np.abs(step).max() / 5)
         if np.abs(step).max() < 1e-6:
             break
-    s = x @ w
-    at = float(np.quantile(s, np.mean(y == 0)))
-    return w.tolist(), at, float(max(1e-6, np.std(s)))
-
-
-def train(docs: DataFrame, labels: DataFrame) -> tuple[list[float], float, float]:
-    return fit(training_rows(docs, labels))
+    return w.tolist()
+
+
+def strength(x: Column, w: list[float]) -> Column:
+    return F.aggregate(F.zip_with(x, F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+
+
+def threshold(strengths: DataFrame, labels: DataFrame) -> float:
+    """The quantile of all training rows' strengths (doc_id, strength) at their share of zeros, as numpy has it:
+    exact, from the few distinct strengths between two approximate quantiles."""
+    known = strengths.join(training_labels(labels), "doc_id").select("strength", "quality")
+    sizes = known.agg(F.count("*").alias("n"), F.sum(1 - F.col("quality")).alias("zeros")).first()
+    n, zeros = sizes["n"], sizes["zeros"] or 0
+    if not n:
+        return 0.0
+    at, over = divmod((n - 1) * zeros, n)
+    wide = 2 / RANKS
+    while True:
+        ends = [max(0.0, at / n - wide), min(1.0, (at + 2) / n + wide)]
+        low, high = known.agg(F.percentile_approx("strength", ends, RANKS)).first()[0]
+        before = known.filter(F.col("strength") < low).count()
+        values = known.filter(F.col("strength").between(low, high)).groupBy("strength").count().orderBy("strength").collect()
+        upto = before + np.cumsum([r["count"] for r in values])
+        if before <= at and upto[-1] > min(at + 1, n - 1):
+            break
+        wide *= 8
+    one, two = (values[int(np.searchsorted(upto, k, "right"))]["strength"] for k in (at, min(at + 1, n - 1)))
+    return one + (two - one) * (over / n)
 
 
-def score(x: Column, model: tuple[list[float], float, float]) -> Column:
-    w, at, _ = model
-    if not w:
-        return F.lit(0.5)
-    strength = F.aggregate(F.zip_with(x, F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return 1 / (1 + F.exp(-(strength - at + float(np.log(CUT / (1 - CUT))))))
+def score(strength_: Column, at: float) -> Column:
+    return 1 / (1 + F.exp(-(strength_ - at + float(np.log(CUT / (1 - CUT))))))
 
 
-def rank(docs: DataFrame, labels: DataFrame, model=None) -> DataFrame:
+def rank(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    model = train(docs, labels) if model is None else model
+    w = fit(training_rows(docs, labels))
     rows = measured(docs)
-    rows = rows.select("doc_id", (digest_of(rows) % FOLDS == HELD_OUT).alias("held_out"), score(F.col("x"), model).alias("score"))
+    fold = (digest_of(rows) % FOLDS == HELD_OUT).alias("held_out")
+    if w:
+        rows = Scratch(docs.sparkSession).write(rows.select("doc_id", fold, strength(F.col("x"), w).alias("strength")), "strengths")
+        rows = rows.select("doc_id", "held_out", score(F.col("strength"), threshold(rows, labels)).alias("score"))
+    else:
+        rows = rows.select("doc_id", fold, F.lit(0.5).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents predicted to be good, all columns as they were."""
-    model = train(docs, labels)
+    w = fit(training_rows(docs, labels))
+    if not w:
+        return docs  # every score is 0.5
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("_words", words(text)).withColumn("_score", score(F.array(*features(text, F.col("_words"))), model)).filter(F.col("_score") >= CUT).drop("_words", "_score")
+    rows = docs.withColumn("_words", words(text)).withColumn("_strength", strength(F.array(*features(text, F.col("_words"))), w)).drop("_words")
+    rows = Scratch(docs.sparkSession).write(rows, "strengths")  # the texts are measured once
+    at = threshold(only(rows, ("doc_id", "long"), ("_strength", "double")).withColumnRenamed("_strength", "strength"), labels)
+    return rows.filter(score(F.col("_strength"), at) >= CUT).drop("_strength")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,3 +101,31 @@ def test_forest_finds_exact_neighbours(spark):
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
     want = {q: set(np.argsort(-(x @ x[q] - 1e9 * (np.arange(200) == q)))[:5].tolist()) for q in range(0, 200, 20)}
     assert set(got) == set(want) and np.mean([len(got[q] & want[q]) / 5 for q in want]) >= 0.9
+
+
+def test_quality_threshold_is_of_all_training_rows(spark, monkeypatch):
+    """Labels past the sample's bound: as many training rows are rejected as are marked 0, as on a small table."""
+    import random
+
+    import numpy as np
+
+    from cueflow.llm import pairwise
+
+    rng = random.Random(5)
+    rows, marks = [], []
+    for i in range(900):
+        q = int(i % 9 != 0)
+        words_ = [rng.choice("abcdefgh") * rng.randrange(1, 9) + ("!" if rng.random() < (0.2 if q else 0.35) else "") for _ in range(rng.randrange(20, 90))]
+        rows.append((i, " ".join(words_)))
+        marks.append((i, q))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")
+    monkeypatch.setattr(pairwise, "SAMPLE", 100)
+    got = {r["doc_id"]: r for r in pairwise.rank(docs, labels).collect()}
+    training = [i for i in got if not got[i]["held_out"]]
+    zeros, n = sum(not marks[i][1] for i in training), len(training)
+    assert zeros < 100 < n - zeros  # ones are thinned, zeros are not
+    scores = np.array([got[i]["score"] for i in training])
+    assert abs(int((scores < pairwise.CUT).sum()) - zeros) <= 1
+    odds = np.log(scores / (1 - scores))
+    assert np.quantile(odds, zeros / n) == pytest.approx(np.log(pairwise.CUT / (1 - pairwise.CUT)), abs=1e-9)
+    assert {r["doc_id"] for r in pairwise.keep(docs, labels).collect()} == {i for i in got if got[i]["predicted"]}
