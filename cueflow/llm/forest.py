@@ -12,8 +12,9 @@ so that the nearest by angle are those with the largest product.
 
 `target` is calibrated: the exact neighbours of SAMPLE queries (a bounded sample, compared with every row
 in blocks) show which target finds at least AIM of them. Random directions, as in the test tables, need a
-large share of the rows; vectors with structure need few. Every row is indexed, nothing is capped: a query
-that finds too few rows ascends to the root.
+large share of the rows; vectors with structure need few. Every row is indexed, nothing is capped. As a row
+counts once for each tree, a target is never below TREES * (k + 1): some tree then has k rows besides the
+query's own, and a query that does not reach that ascends to the root.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor
 do rows without vec_id or of another length than most rows; rows that repeat a vec_id count once (the
@@ -116,6 +117,11 @@ def _totals(index: DataFrame, queries: DataFrame) -> DataFrame:
     return nodes(queries, "vec_id").join(count, ["tree", "level", "node"]).groupBy("vec_id", "level").agg(F.sum("n").alias("total"))
 
 
+def least_target(k: int) -> int:
+    """Rows over all trees among which are k distinct ones besides the query's own."""
+    return TREES * (k + 1)
+
+
 def calibrate(rows: DataFrame, index: DataFrame, queries: DataFrame, k: int) -> int:
     """The least target that finds AIM of the sample's exact neighbours (0 rows: 0; not to be had: all)."""
     sample = [(r["vec_id"], r["v"], r["hashes"]) for r in queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
@@ -130,7 +136,7 @@ def calibrate(rows: DataFrame, index: DataFrame, queries: DataFrame, k: int) ->
         totals[r["vec_id"]][r["level"]] = r["total"]
     shared = [(r["query_id"], max(HASH_BITS - int(x).bit_length() for x in own[r["query_id"]] ^ np.array(r["hashes"]))) for r in exact]
     everything = 1 << 62
-    for target in [int(50 * 1.15**i) for i in range(200)]:
+    for target in [int(least_target(k) * 1.15**i) for i in range(200)]:
         level = {i: max((x for x, n in t.items() if n >= target), default=0) for i, t in totals.items()}
         if shared and np.mean([n >= level[i] for i, n in shared]) >= AIM:
             found = target
@@ -152,6 +158,7 @@ def search(df: DataFrame, queries_of, k: int = 20, target: int | None = None) ->
     queries = keep.write(hashed(rows.filter(queries_of), longest, True), "queries")
     if target is None:
         target = calibrate(rows, index, queries, k)
+    target = max(target, least_target(k))
     reached = _totals(index, queries).filter(F.col("total") >= target).groupBy("vec_id").agg(F.max("level").alias("level"))
     asked = queries.join(reached, "vec_id", "left").fillna(0, ["level"])
 

@@ -129,3 +129,24 @@ def test_quality_threshold_is_of_all_training_rows(spark, monkeypatch):
     odds = np.log(scores / (1 - scores))
     assert np.quantile(odds, zeros / n) == pytest.approx(np.log(pairwise.CUT / (1 - pairwise.CUT)), abs=1e-9)
     assert {r["doc_id"] for r in pairwise.keep(docs, labels).collect()} == {i for i in got if got[i]["predicted"]}
+
+
+def test_forest_fills_every_query(spark):
+    """Copies of one vector share all bits in all trees: a small group counts once a tree and must not end a search."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from cueflow.llm.forest import search
+
+    x = np.random.default_rng(2).standard_normal((9, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    groups = [g for g in range(8) for _ in range(40)] + [8] * 8
+    df = spark.createDataFrame([(i, x[g].tolist()) for i, g in enumerate(groups)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in search(df, F.col("vec_id") % 4 == 0, k=20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert set(got) == set(range(0, len(groups), 4))
+    assert all(sorted(k for k, _ in v) == list(range(1, 21)) and len({i for _, i in v}) == 20 for v in got.values())
+    assert all({i for i in range(320, 328) if i != q} <= {i for _, i in got[q]} for q in (320, 324))
+    few = [r for r in search(df.filter("vec_id >= 320"), F.col("vec_id") == 320, k=20).collect()]
+    assert sorted(r["vec_id"] for r in few) == list(range(321, 328))
