@@ -24,7 +24,8 @@ so other texts are never shuffled.
 
 Defined cases: null text counts as empty; all texts without words are one class; null and repeated doc_id
 stay, one row each; class_id is the least doc_id of the class (null if all are null); an empty table gives
-no rows; other columns are ignored by `classes` and kept by `keep_one`.
+no rows; other columns are ignored by `classes` and kept by `keep_one`, which leaves one row of every class,
+whether ids are repeated or null: the one of the least doc_id (null after all others), then of the least hash of its text.
 """
 
 from __future__ import annotations
@@ -106,7 +107,7 @@ def node_of(text: Column) -> Column:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node, size (cells), bands (none for a text without words: such texts share one node)."""
+    """doc_id, hash (of the text), node, size (cells), bands (none for a text without words: such texts share one node)."""
 
     def run(batches):
         for batch in batches:
@@ -115,10 +116,10 @@ def _signed(docs: DataFrame) -> DataFrame:
                 items = as_items(shingles(words))
                 size.append(len(items))
                 bands.append(band_keys(signature(items)) if len(items) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "node": batch.column(1), "size": pa.array(size, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "hash": batch.column(1), "size": pa.array(size, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
-    rows = only(docs, ("doc_id", "long"), ("text", "string")).select("doc_id", node_of(F.col("text")).alias("node"), "text")
-    return rows.mapInArrow(run, "doc_id long, node binary, size long, bands array<long>").withColumn("node", F.when(F.col("size") == 0, F.lit(b"none")).otherwise(F.col("node")))
+    rows = only(docs, ("doc_id", "long"), ("text", "string")).select("doc_id", node_of(F.col("text")).alias("hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, hash binary, size long, bands array<long>").withColumn("node", F.when(F.col("size") == 0, F.lit(b"none")).otherwise(F.col("hash")))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -174,8 +175,8 @@ def _own_items(sets: DataFrame) -> DataFrame:
     return one.groupBy("id").agg(F.count("*").alias("own"))
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, n_links (compared pairs at or above the threshold of the document's text)."""
+def _roots(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The signed rows, and (node, root, n_links) of their nodes."""
     keep = Scratch(docs.sparkSession)
     signed = keep.write(_signed(docs), "signed")
     # ids are frozen by writing them out
@@ -213,18 +214,26 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     of_node = nodes.select("id", "node").join(root, "id", "left").join(degree, "id", "left").select("node", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return signed, of_node
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id, n_links (compared pairs at or above the threshold of the document's text)."""
+    signed, of_node = _roots(docs, similarity)
     least = signed.groupBy("node").agg(F.min("doc_id").alias("least")).join(of_node.select("node", "root"), "node").groupBy("root").agg(F.min("least").alias("class_id"))
     return signed.select("doc_id", "node").join(of_node.join(least, "root"), "node").select("doc_id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without the other members of each class: the row of its least doc_id stays (rows without doc_id stay)."""
-    found = classes(docs, similarity).filter("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
-    w = Window.partitionBy("doc_id").orderBy("_t")
-    some = docs.join(found, F.col("doc_id") == F.col("_id"), "left_semi")
-    # a doc_id that is repeated stands for one document: one of its rows stays
-    some = some.withColumn("_t", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_t", "_n")
-    return some.unionByName(docs.filter("doc_id is null"))
+    """docs without the other rows of each class: the first by (doc_id, nulls last, hash of the text) stays."""
+    signed, of_node = _roots(docs, similarity)
+    first = signed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first"))
+    first = first.join(of_node.select("node", "root"), "node").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.hash").alias("_kept"))
+    rows = docs.withColumn("_hash", node_of(F.col("text").cast("string")))
+    some = rows.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept")), "left_semi")
+    # rows that are equal in both stand for one document
+    w = Window.partitionBy("doc_id", "_hash").orderBy("_all")
+    return some.withColumn("_all", F.xxhash64(*docs.columns)).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_hash", "_all", "_n")
 
 
 def op9_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

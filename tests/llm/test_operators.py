@@ -150,3 +150,38 @@ def test_forest_fills_every_query(spark):
     assert all({i for i in range(320, 328) if i != q} <= {i for _, i in got[q]} for q in (320, 324))
     few = [r for r in search(df.filter("vec_id >= 320"), F.col("vec_id") == 320, k=20).collect()]
     assert sorted(r["vec_id"] for r in few) == list(range(321, 328))
+
+
+def test_keep_one_leaves_one_row_of_each_class(spark):
+    """Repeated and null ids, against all pairs by plain Python."""
+    import random
+    from collections import Counter
+
+    from cueflow.llm.dedup import keep_one
+
+    rng = random.Random(4)
+    fresh = lambda: [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    base = [fresh() for _ in range(40)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(base)]
+    for i in range(120):  # near copies under ids of their own, ids in use and no id
+        t = rng.choice(base) + ([f"x{i}"] if i % 3 else [])
+        rows.append(({0: None, 1: rng.randrange(40)}.get(i % 4, 100 + i), " ".join(t)))
+    for i in range(20):  # nobody's copies under ids in use and no id; two rows that are equal in all
+        rows.append((None if i % 2 else i, " ".join(fresh())))
+    lone = " ".join(fresh())
+    rows += [(None, lone), (None, lone), (7, lone + " tail"), (8, None), (None, ""), (7, " "), rows[3], rows[3]]
+
+    def cells(t):
+        w = (t or "").lower().split()
+        return Counter(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else Counter()
+
+    sets, root = [cells(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = sum((sets[i] & sets[j]).values())
+            if both >= 0.8 * sum((sets[i] | sets[j]).values()):
+                root = [root[j] if r == root[i] else r for r in root]
+    order = lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).digest())
+    want = [min((r for r, k in zip(rows, root) if k == c), key=order) for c in set(root)]
+    got = [tuple(r) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
