@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold
+
 GAP, FUZZY_GAP, ALIKE, SHORTEST = 0.15, 0.25, 0.82, 1.5
 
 
@@ -28,7 +29,8 @@ def own(cues: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def reconcile(cues: DataFrame, source: str = "source_id") -> DataFrame:
-    """Fuzzy coalescing against the island's first text, as a fold over each source's ordered cues."""
+    """Fuzzy coalescing against the island's first text, as a fold over each source's ordered cues;
+    what is held is the open island, however many cues a source has."""
     from pyspark.sql.types import StructType
 
     def distance(a: str, b: str) -> int:
@@ -43,14 +45,17 @@ def reconcile(cues: DataFrame, source: str = "source_id") -> DataFrame:
         n = max(len(a), len(b))
         return a == b or n > 0 and 1 - distance(a, b) / n >= ALIKE
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for r in f.sort_values(["start", "lane", "ord"]).itertuples():
-            if out and r.start <= out[-1][2] + FUZZY_GAP and alike(r.text, out[-1][3]):
-                out[-1][2], out[-1][4], out[-1][5] = max(out[-1][2], r.end), max(out[-1][4], r.confidence), out[-1][5] + 1
-            else:
-                out.append([getattr(r, source), r.start, r.end, r.text, r.confidence, 0])
-        return pd.DataFrame(out, columns=[source, "start", "end", "text", "confidence", "merges"])
+    def step(open_: list, row: list, out: list) -> None:
+        start, end, text, confidence = row
+        if open_ and start <= open_[1] + FUZZY_GAP and alike(text, open_[2]):
+            open_[1], open_[3], open_[4] = max(open_[1], end), max(open_[3], confidence), open_[4] + 1
+        else:
+            close(open_, out)
+            open_[:] = [start, end, text, confidence, 0]
+
+    def close(open_: list, out: list) -> None:
+        if open_:
+            out.append(tuple(open_))
 
     schema = StructType([cues.schema[source]]).add("start", "double").add("end", "double").add("text", "string").add("confidence", "double").add("merges", "long")
-    return cues.groupBy(source).applyInPandas(fold, schema)
+    return fold(cues, source, ["start", "lane", "ord"], ["start", "end", "text", "confidence"], list, step, close, schema)

@@ -1,6 +1,6 @@
 """The cue tracker: a confirmation state machine over a lane's ordered observations.
 
-One step function serves batch (a group per lane, ordered) and Structured Streaming (state kept per lane).
+One step function serves batch (a lane's rows in order, in batches) and Structured Streaming (state kept per lane).
 """
 
 from __future__ import annotations
@@ -11,6 +11,9 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from cueflow.operators.folds import fold
 
 SAME, BETTER, LONGER, SHORTEST, LONGEST = 0.80, 0.035, 2, 0.12, 30.0
 CUES = "lane long, start double, end double, text string, confidence double"
@@ -92,17 +95,18 @@ def finish(s: dict, end: float, fps: float, out: list) -> None:
 def track(observations: DataFrame, fps: float = 4.0, low: float = 0.68, accept: Callable[[str], str | None] = lambda t: t) -> DataFrame:
     """Confirmed cues of every lane, from (lane, ord, at, text, confidence); null text is an empty frame."""
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        s, out, at = start_state(), [], 0.0
-        for r in f.sort_values(["at", "ord"]).itertuples():
-            at = r.at
-            step(s, at, r.text if isinstance(r.text, str) else None, r.confidence, fps, low, accept, out)
-        finish(s, at + 1 / max(0.25, fps), fps, out)
-        rows = pd.DataFrame(out, columns=["start", "end", "text", "confidence"])
-        rows.insert(0, "lane", f["lane"].iloc[0])
-        return rows
+    def begin() -> dict:
+        return {"tracker": start_state(), "at": 0.0}
+
+    def one(s: dict, row: list, out: list) -> None:
+        at, text, confidence = row
+        s["at"] = at
+        step(s["tracker"], at, text, float("nan") if confidence is None else confidence, fps, low, accept, out)
+
+    def end(s: dict, out: list) -> None:
+        finish(s["tracker"], s["at"] + 1 / max(0.25, fps), fps, out)
 
-    return observations.groupBy("lane").applyInPandas(run, CUES)
+    return fold(observations, "lane", ["at", "ord"], ["at", "text", "confidence"], begin, one, end, StructType.fromDDL(CUES))
 
 
 #: Media time 0 as event time, so that it lies after the watermark that a stream starts with.

@@ -47,3 +47,38 @@ def test_tracker_confirmation():
     assert not _active([(0, "你好"), (0.25, "你好")], 1.5, 0.68)
     assert _active([(0, "你好"), (0.25, "你好"), (0.5, "你好")], 1.5, 0.68)
     assert not _active([(0, "你好"), (0.25, "A N"), (0.5, "你好")], 1.5, 0.58)
+
+
+def test_folds_hold_no_group(spark):
+    """Lanes that span many batches come out as by a plain fold, and no whole lane goes to one Python frame."""
+    rng = random.Random(6)
+    rows = [(lane, i, i / 4, rng.choice(["abcd", "abcd", "abcd", "wxyz", None]), 0.5 + rng.random() / 2) for lane in (1, 2, None) for i in range(300)]
+    cues = [(rng.choice([1, 1, 1, 2]), rng.randrange(4), i, round(rng.random() * 90, 2), rng.choice(["abcdefgh", "abcdefgx", "other"]), rng.random()) for i in range(600)]
+    cues = [(s, n, o, a, round(a + rng.random(), 2), t, c) for s, n, o, a, t, c in cues]
+    want, merged = [], []
+    for lane in (1, 2, None):
+        s, out = tracker.start_state(), []
+        for _, _, at, text, conf in (r for r in rows if r[0] == lane):
+            tracker.step(s, at, text, conf, 4.0, 0.68, lambda t: t, out)
+        tracker.finish(s, 299 / 4 + 0.25, 4.0, out)
+        want += [(lane, *x) for x in out]
+    for source in (1, 2):
+        out = []
+        for _, _, _, a, b, t, c in sorted((x for x in cues if x[0] == source), key=lambda x: (x[3], x[1], x[2])):
+            if out and a <= out[-1][1] + 0.25 and (t == out[-1][2] or {t, out[-1][2]} == {"abcdefgh", "abcdefgx"}):
+                out[-1][1], out[-1][3], out[-1][4] = max(out[-1][1], b), max(out[-1][3], c), out[-1][4] + 1
+            else:
+                out.append([a, b, t, c, 0])
+        merged += [(source, *x) for x in out]
+    rng.shuffle(rows)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, "7")
+    try:
+        tracked = tracker.track(spark.createDataFrame(rows, "lane long, ord long, at double, text string, confidence double"))
+        reconciled = intervals.reconcile(spark.createDataFrame(cues, "source_id long, lane int, ord long, start double, end double, text string, confidence double"))
+        assert sorted(map(tuple, tracked.collect()), key=repr) == sorted(want, key=repr) and len(want) > 30
+        assert sorted(map(tuple, reconciled.collect()), key=repr) == sorted(merged, key=repr) and any(x[5] for x in merged)
+        for df in (tracked, reconciled):
+            assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset(size)
