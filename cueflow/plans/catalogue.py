@@ -160,8 +160,10 @@ def done_semi(spark, d):
 SELECT o.o_orderkey, min(i.cue) AS cue FROM o JOIN i ON o.o_custkey = i.o_custkey AND o.t BETWEEN i.a AND i.b GROUP BY 1""")
 def point_in_interval(spark, d):
     o = read(spark, d, "orders").select("o_custkey", "o_orderkey", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("t"))
-    i = o.select("o_custkey", F.col("o_orderkey").alias("cue"), F.col("t").alias("a"))
-    return o.join(i, "o_custkey").filter("t between a and a + 86400 * 200").groupBy("o_orderkey").agg(F.min("cue").alias("cue"))
+    # the intervals that hold t are those of the customer's orders of the 200 days up to t
+    w = Window.partitionBy("o_custkey").orderBy("t").rangeBetween(-86400 * 200, Window.currentRow)
+    o = o.filter("o_custkey is not null and t is not null").withColumn("cue", F.min("o_orderkey").over(w))
+    return o.groupBy("o_orderkey").agg(F.min("cue").alias("cue"))
 
 
 @query("SELECT user_id, bool_and(event_type <> 'error') AS all_supported, round(sum(value), 4) AS value, CAST(sum(event_id) AS BIGINT) AS event_id FROM events GROUP BY 1")

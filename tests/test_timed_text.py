@@ -82,3 +82,19 @@ def test_folds_hold_no_group(spark):
             assert "FlatMapGroups" not in df._jdf.queryExecution().toString()
     finally:
         spark.conf.unset(size)
+
+
+def test_point_in_interval_makes_no_pairs(spark, tmp_path):
+    """Equal to its SQL on a customer with many orders, ties, nulls and repeated keys; no join of a customer with itself."""
+    import duckdb
+
+    from cueflow.plans.catalogue import ORACLES, QUERIES
+
+    rng = random.Random(8)
+    rows = [(rng.choice([1, 1, 1, 2, 3, None]), rng.randrange(300), None if i % 40 == 0 else f"{1992 + rng.randrange(3)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}") for i in range(400)]
+    spark.createDataFrame(rows, "o_custkey long, o_orderkey long, d string").selectExpr("o_custkey", "o_orderkey", "to_date(d) as o_orderdate").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = QUERIES["point_in_interval"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(ORACLES["point_in_interval"]).fetchall())
+    assert "Join" not in got._jdf.queryExecution().toString()
