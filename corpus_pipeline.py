@@ -37,7 +37,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("quality_classifier", quality_classifier), ("near_dedup", near_dedup), ("personal_data", personal_data), ("packing", pack)]
 
-#: The stages for near copies and packing are beyond SQL; tests hold them against brute force.
+#: The stages for near copies and packing are beyond SQL; a test holds the rows kept of near copies against all pairs,
+#: packing is tested on hard cases only.
 ORACLE_SQL = None
 
 
