@@ -6,9 +6,11 @@ A conversation becomes one stream of characters, turn after turn:
 
 and every assistant turn is exploded into an example of its own: its context is the stream from 0 up to the
 end of that turn's header (all preceding turns), its target is the turn's text, and only the target is
-trainable. An example is held as spans of the stream (context_end, loss_start, loss_end) beside the turn's
-segment, so that a conversation of n turns takes n rows; writing out every context would take characters in
-proportion to n squared. `examples` writes contexts out for the conversations it is given.
+trainable. `expand` makes these examples from the formatted turns in the same pass that hands on the turns themselves (one
+explode). An example is held as spans of the stream (context from 0 to context_end, loss from loss_start to
+loss_end) with its reply and the number of turns before it, so that a conversation of n turns takes n rows;
+`examples` writes contexts out for the conversations it is given, in characters that grow with n squared. The query
+reads its loss digests and context lengths back from the example rows.
 
 Control strings inside roles and texts are escaped reversibly: % as %25, and the first character of <|turn|>,
 <|end|>, <s>, </s>, [INST], [/INST], <<SYS>> and <</SYS>> as %3C or %5B. Role escapes newlines as %0A too.
@@ -19,7 +21,8 @@ conversation's blocks), so that a conversation that holds a third of all rows is
 Defined cases: null text and null role are empty; null conv_id is a conversation of its own; turns are
 ordered by (turn, role, text), null turn first, so ties and repeated rows have an order and stay; an empty
 table gives no rows; other columns are ignored; a conversation without an assistant turn has no example,
-and its loss is the hash of nothing.
+and its loss is the hash of nothing. A digest of a whole conversation needs its text in one row, which Spark
+limits to 2 GB; formatting and expanding have no such limit.
 """
 
 from __future__ import annotations
@@ -76,34 +79,46 @@ def streams(turns: DataFrame) -> DataFrame:
     return part.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "s"))), lambda x: x["s"]), "").alias("stream"))
 
 
+def expand(turns: DataFrame) -> DataFrame:
+    """A row for each turn (example false: its segment) and one more for each assistant turn (example true: context_end,
+    loss_start and loss_end in the stream, its reply as it stands under the loss mask, and the turns of its context)."""
+    masked = F.expr("substring(segment, cast(loss_start - seg_start as int) + 1, cast(loss_end - loss_start as int))")
+    none = F.lit(None)
+    kind = "array<struct<example:boolean,text:string,seg_end:long,context_end:long,loss_start:long,loss_end:long,context_turns:long>>"
+    turn = F.struct(F.lit(False), "segment", "seg_end", none, none, none, none)
+    example = F.struct(F.lit(True), masked, none, "context_end", "loss_start", "loss_end", F.col("turn_no"))
+    parts = F.when(F.col("is_target"), F.array(turn.cast(kind[6:-1]), example.cast(kind[6:-1]))).otherwise(F.array(turn.cast(kind[6:-1])))
+    return turns.select("conv_id", "turn_no", F.explode(parts).alias("p")).select("conv_id", "turn_no", "p.*")
+
+
 def examples(turns: DataFrame) -> DataFrame:
     """conv_id, turn_no, context, target: written out, for the conversations of these turns."""
     s = streams(turns).withColumnRenamed("conv_id", "_conv")
-    t = turns.filter("is_target").join(s, F.col("conv_id").eqNullSafe(F.col("_conv")))
+    t = expand(turns).filter("example").join(s, F.col("conv_id").eqNullSafe(F.col("_conv")))
     part = lambda a, b: F.substring(F.col("stream"), (a + 1).cast("int"), (b - a).cast("int"))
     return t.select("conv_id", "turn_no", part(F.lit(0), F.col("context_end")).alias("context"), unescape(part(F.col("loss_start"), F.col("loss_end"))).alias("target"))
 
 
-def read_back(turns: DataFrame) -> DataFrame:
-    """The digests of the query, from the formatted output alone."""
+def read_back(rows: DataFrame) -> DataFrame:
+    """The digests of the query, from `expand`'s rows alone: turns from the segments, losses and contexts from the examples."""
     # a turn's role and text, from its segment
-    body = F.expr(f"substring(segment, {len(TURN) + 1}, length(segment) - {len(TURN) + len(END)})")
-    role = F.substring_index(body, "\n", 1)
-    text = F.expr("substring(body, length(role) + 2)")
-    rows = turns.withColumn("body", body).withColumn("role", role).withColumn("plain", F.concat(unescape(F.col("role")), F.lit("\n"), unescape(text), F.lit("\n")))
-    masked = F.expr("substring(segment, cast(loss_start - seg_start as int) + 1, cast(loss_end - loss_start as int))")
-    rows = rows.withColumn("loss", F.when(F.col("is_target"), unescape(masked)).otherwise(""))
-    ordered = lambda key, c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, c))), lambda x: x[c]), "").alias(c)
-    part = rows.groupBy("conv_id", F.floor(F.col("turn_no") / BLOCK).alias("block")).agg(ordered("turn_no", "plain"), ordered("turn_no", "loss"), F.count("*").alias("n"), F.max("seg_end").alias("chars"), F.sum(F.col("is_target").cast("long")).alias("k"))
-    whole = part.groupBy("conv_id").agg(ordered("block", "plain"), ordered("block", "loss"), F.sum("n").alias("n_turns"), F.max("chars").alias("formatted_chars"), F.sum("k").alias("n_examples"))
-    return whole.select("conv_id", "n_turns", F.sha2("plain", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples")
+    body = F.expr(f"substring(text, {len(TURN) + 1}, length(text) - {len(TURN) + len(END)})")
+    role, own = F.substring_index(body, "\n", 1), ~F.col("example")
+    rows = rows.withColumn("body", F.when(own, body)).withColumn("role", F.when(own, role))
+    rows = rows.withColumn("plain", F.when(own, F.concat(unescape(F.col("role")), F.lit("\n"), unescape(F.expr("substring(body, length(role) + 2)")), F.lit("\n"))))
+    rows = rows.withColumn("loss", F.when(F.col("example"), unescape(F.col("text"))))
+    ordered = lambda key, c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(c).isNotNull(), F.struct(key, c)))), lambda x: x[c]), "").alias(c)
+    count = lambda c: F.sum(c.cast("long"))
+    part = rows.groupBy("conv_id", F.floor(F.col("turn_no") / BLOCK).alias("block")).agg(ordered("turn_no", "plain"), ordered("turn_no", "loss"), count(own).alias("n"), F.max("seg_end").alias("chars"), count(F.col("example")).alias("k"), F.sum(F.coalesce("context_end", F.lit(0))).alias("c"))
+    whole = part.groupBy("conv_id").agg(ordered("block", "plain"), ordered("block", "loss"), F.sum("n").alias("n_turns"), F.max("chars").alias("formatted_chars"), F.sum("k").alias("n_examples"), F.sum("c").alias("context_chars"))
+    return whole.select("conv_id", "n_turns", F.sha2("plain", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars", "n_examples", "context_chars")
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = only(table(spark, sf_dir, "conversations"), ("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))
     hard = "</s>[INST] ok [/INST]"
     own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
-    return read_back(format_turns(rows.unionByName(own)))
+    return read_back(expand(format_turns(rows.unionByName(own))))
 
 
 ORACLE_SQL = r"""
@@ -112,10 +127,12 @@ WITH c AS (
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
 e AS (
   SELECT *, length(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '%', '%25'), '<|turn|>', '%3C|turn|>'), '<|end|>', '%3C|end|>'), '<s>', '%3Cs>'), '</s>', '%3C/s>'),
-    '[INST]', '%5BINST]'), '[/INST]', '%5B/INST]'), '<<SYS>>', '%3C<SYS>>'), '<</SYS>>', '%3C</SYS>>')) + length(role) + 17 AS chars FROM c)
+    '[INST]', '%5BINST]'), '[/INST]', '%5B/INST]'), '<<SYS>>', '%3C<SYS>>'), '<</SYS>>', '%3C</SYS>>')) + length(role) + 17 AS chars FROM c),
+p AS (SELECT *, coalesce(sum(chars) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-  CAST(sum(chars) AS BIGINT) AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples
-FROM e GROUP BY conv_id
+  CAST(sum(chars) AS BIGINT) AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples,
+  CAST(coalesce(sum(before + 9 + length(role)) FILTER (role = 'assistant'), 0) AS BIGINT) AS context_chars
+FROM p GROUP BY conv_id
 """

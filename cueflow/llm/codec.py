@@ -9,7 +9,7 @@ whatever surrounds it (a space between two Latin letters), is encoded again, and
 its two ends agree with token boundaries of the neighbouring pieces.
 
 Steps: (1) chunk hashes are counted (summed in the task, then shuffled: 16 bytes a chunk), and those seen
-twice set two bits in a filter of fixed size (2^26 bits, 8 MB), all that is broadcast; (2) one scan writes
+twice set two bits in a filter (`sketch.py`, 128 MB at most), all that is broadcast; (2) one scan writes
 finished results of texts without shared chunks, and, for the others, the compressed text and its shared
 chunks; (3) each distinct shared chunk is encoded, joined back by its 128-bit hash, and the texts are put
 together. A false hit of the filter only sends a chunk through the dictionary; results never depend on it.
@@ -156,7 +156,9 @@ def encode(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False
     """A row for each document: counts and digests; with_ids: also the ids."""
     spark, path = docs.sparkSession, tokenizer or bpe.default_path()
     keep, docs = Scratch(spark), only(docs, ("doc_id", "long"), ("text", "string"))
-    shared = sketch.build(shared_hashes(docs))
+    twice = keep.write(shared_hashes(docs), "shared")
+    shared = sketch.build(twice)
+    keep.drop(twice)
 
     def result(rows: list[tuple], ids: list) -> dict:
         cols = list(zip(*rows)) or [()] * 6
@@ -200,7 +202,8 @@ def encode(docs: DataFrame, tokenizer: str | None = None, with_ids: bool = False
             yield pa.RecordBatch.from_pydict({"h": batch.column(0), "ids": pa.array(ids, pa.binary())})
 
     chunks = parts.filter("kind = 2")
-    encoded = chunks.select("h", "payload").dropDuplicates(["h"]).mapInArrow(encode_chunks, "h binary, chunk_ids binary")
+    # written, so that both sides of the join are plain tables: Spark then splits the rows of a passage that many texts share
+    encoded = keep.write(chunks.select("h", "payload").dropDuplicates(["h"]).mapInArrow(encode_chunks, "h binary, chunk_ids binary"), "encoded")
     given = chunks.select("uid", "pos", "h").join(encoded, "h").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("pos", "chunk_ids"))).alias("given"))
 
     def finish(batches):

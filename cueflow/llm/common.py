@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -22,21 +25,56 @@ def only(df: DataFrame, *types: tuple[str, str]) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in types])
 
 
+def fresh(columns: list[str], *stems: str) -> list[str]:
+    """Names for helper columns that none of these columns has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for stem in stems:
+        name = f"_{stem}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where it is unset (tests), a local one."""
+    """The folder that all executors share, from spark.checkpoint.dir. Only where it is unset and the session runs in
+    a single process (tests), a local one; elsewhere that is an error, as executors don't see each other's disks."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(scratch_root, "own", None) or "file://" + tempfile.mkdtemp(prefix="cueflow-")
         scratch_root.own = root
     return root.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _session_folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/cueflow-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes what operators of this session have written; results that were not yet written elsewhere need it.
+    Runs by itself when the driver's Python ends."""
+    with contextlib.suppress(Exception):
+        _delete(spark, _session_folder(spark))
+
+
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive a lost executor."""
+    """Tables written to the shared folder: they cut lineage and survive a lost executor. `drop` removes those that
+    no later read needs; the rest, which a returned DataFrame still reads, go with `clear_scratch`."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{scratch_root(spark)}/cueflow-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{_session_folder(spark)}/{uuid.uuid4().hex}"
         self.n = 0
+        if spark.sparkContext.applicationId not in _CLEARED:
+            _CLEARED.add(spark.sparkContext.applicationId)
+            atexit.register(clear_scratch, spark)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{self.n:03d}-{name}"
@@ -46,13 +84,14 @@ class Scratch:
         out.scratch_path = path
         return out
 
-    def drop(self, df: DataFrame | None) -> None:
-        """Removes a table that no later read needs."""
-        path = getattr(df, "scratch_path", None)
-        if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Removes tables that no later read needs."""
+        for df in tables:
+            if path := getattr(df, "scratch_path", None):
+                _delete(self.spark, path)
+
+
+_CLEARED: set[str] = set()
 
 
 def digest_of(df: DataFrame) -> Column:

@@ -19,11 +19,11 @@ they can share, and their known distances to the head bound theirs (weighted Jac
 (5) components again. Every pair of a bucket is so either linked, in one component, or proven or found to
 be below 0.8.
 
-Comparisons use exact sets of the nodes that have candidates; an 8 MB filter picks their texts in the scan,
-so other texts are never shuffled.
+Comparisons use exact sets of the nodes that have candidates; a filter of their hashes picks their texts in the scan,
+so other texts are never shuffled. Buckets are joined between written tables, so that Spark splits the rows of a hot one.
 
 Defined cases: null text counts as empty; all texts without words are one class; null and repeated doc_id
-stay, one row each; class_id is the least doc_id of the class (null if all are null); an empty table gives
+stay, one row each; a very long text takes memory in proportion to its words; class_id is the least doc_id of the class (null if all are null); an empty table gives
 no rows; other columns are ignored by `classes` and kept by `keep_one`, which leaves one row of every class,
 whether ids are repeated or null: the one of the least doc_id (null after all others), then of the least hash of its text.
 """
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import graph, sketch
-from .common import Scratch, only, table
+from .common import Scratch, fresh, only, table
 from .textnum import as_items, mix, shingles, word_hashes
 
 BANDS, ROWS = 25, 6
@@ -182,14 +182,18 @@ def _roots(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     # ids are frozen by writing them out
     nodes = keep.write(signed.select("node", "size", "bands").dropDuplicates(["node"]).withColumn("id", F.monotonically_increasing_id()), "nodes")
     entries = nodes.select("id", "size", F.posexplode("bands").alias("band", "key"))
-    crowd = entries.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    # what is joined by bucket is written first: both sides are then plain tables, so that a hot bucket's rows are split
+    crowd = keep.write(entries.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"), "crowd")
     member = keep.write(entries.join(crowd, ["band", "key"]), "members")  # of buckets with two nodes or more
     # a bucket's head is its most central node, the one with the fullest buckets over all bands
     central = member.groupBy("id").agg(F.sum("n").alias("c"))
     heads = member.join(central, "id").groupBy("band", "key").agg(F.max(F.struct("c", (-F.col("id")).alias("no"))).alias("top")).select("band", "key", (-F.col("top.no")).alias("head"))
-    member = keep.write(member.drop("n").join(heads, ["band", "key"]), "headed")
+    heads = keep.write(heads, "heads")
+    headed = keep.write(member.drop("n").join(heads, ["band", "key"]), "headed")
+    keep.drop(crowd, heads, member)
+    member = headed
     pairs = member.filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    wanted = member.select("id").distinct().join(nodes.select("id", "node"), "id")
+    wanted = keep.write(member.select("id").distinct().join(nodes.select("id", "node"), "id"), "wanted")
     sets = keep.write(_sets(docs, wanted), "sets")
     near = keep.write(compare(pairs, sets), "near")
     linked = near.filter(F.col("sim") >= similarity).select("a", "b")
@@ -197,8 +201,9 @@ def _roots(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
 
     # buckets that still hold several components: other pairs that could be similar
     known = near.select(F.col("a").alias("head"), F.col("b").alias("id"), "sim")
-    rest = member.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rest = keep.write(member.join(root, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     open_ = rest.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band", "key")
+    open_ = keep.write(open_, "openings")
     rest = keep.write(rest.join(open_, ["band", "key"]).join(known, ["head", "id"], "left").withColumn("sim", F.coalesce("sim", F.lit(1.0))), "open")
     own = _own_items(sets.join(rest.select("id").distinct(), "id"))
     rest = rest.join(nodes.select("id", "bands"), "id").join(own, "id", "left").withColumn("most", F.col("size") - F.coalesce("own", F.lit(0))).withColumn("step", F.floor(F.log(F.col("size")) / -math.log(similarity)))
@@ -228,12 +233,14 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without the other rows of each class: the first by (doc_id, nulls last, hash of the text) stays."""
     signed, of_node = _roots(docs, similarity)
     first = signed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first"))
-    first = first.join(of_node.select("node", "root"), "node").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.hash").alias("_kept"))
-    rows = docs.withColumn("_hash", node_of(F.col("text").cast("string")))
-    some = rows.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_kept")), "left_semi")
+    first = first.join(of_node.select("node", "root"), "node").groupBy("root").agg(F.min("first").alias("first"))
+    hash_, all_, no, id_, kept = fresh(docs.columns, "hash", "all", "no", "id", "kept")
+    first = first.select(F.col("first.doc_id").alias(id_), F.col("first.hash").alias(kept))
+    rows = docs.withColumn(hash_, node_of(F.col("text").cast("string")))
+    some = rows.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(hash_) == F.col(kept)), "left_semi")
     # rows that are equal in both stand for one document
-    w = Window.partitionBy("doc_id", "_hash").orderBy("_all")
-    return some.withColumn("_all", F.xxhash64(*docs.columns)).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_hash", "_all", "_n")
+    w = Window.partitionBy("doc_id", hash_).orderBy(all_)
+    return some.withColumn(all_, F.xxhash64(*docs.columns)).withColumn(no, F.row_number().over(w)).filter(F.col(no) == 1).drop(hash_, all_, no)
 
 
 def op9_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

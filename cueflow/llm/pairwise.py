@@ -6,24 +6,29 @@ score is a logistic curve of the strength that passes 0.3 at the strength below
 training rows that is marked 0 (a quantile), so `score >= 0.3` is that quantile as a threshold.
 
 Training rows: labelled documents outside the held-out fold. The weights come from at most SAMPLE of each
-label, chosen by a hash of their id (a documented bound; what comes to the driver is that many rows of
+label, those of the least hashes of their id (a documented bound; what comes to the driver is that many rows of
 features). The threshold comes from all of them, whatever the sample: the strengths of all documents are
-written once, and the exact quantile of the training rows' is taken there. A strength is one expression over
-one row, without Python; only ids and strengths are shuffled, to meet the labels.
+written once (id, fold and strength), and the exact quantile of the training rows' is taken there.
 
-Defined cases: null text is an empty text and has a score; null and repeated doc_id stay, one row each; a
-label that is null counts as none; without both labels every score is 0.5; an empty table gives no rows;
-other columns (lang, source) are never read.
+Measures are counts over the bytes of whole texts, made with numpy in batches of rows; a very long text takes
+memory in proportion to its own length. Only ids and strengths are shuffled, to meet the labels.
+
+Defined cases: null text is an empty text and has a score; null and repeated doc_id stay, one row each (a repeated
+doc_id takes part in training with every row of it); equal texts have equal scores; a label that is null counts as
+none, of repeated labels the least counts; without both labels every score is 0.5; an empty table gives no rows;
+other columns (lang, source) are never read, `keep` leaves them as they are whatever they are called.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Scratch, digest_of, only, table
-from .rules import MEASURES, _count, words
+from .common import Scratch, digest_of, fresh, only, table
+from .textnum import measures
 
 SAMPLE, PAIRS, CUT = 20_000, 200_000, 0.3
 FOLDS, HELD_OUT = 5, 0
@@ -31,24 +36,17 @@ FOLDS, HELD_OUT = 5, 0
 RANKS = 100_000
 
 
-def features(text: Column, words_: Column) -> list[Column]:
-    """Bounded measures: lengths, and shares of symbols, marks, capitals, distinct words and equal lines."""
-    n = F.greatest(F.size(words_), F.lit(1)).cast("double")
-    m = lambda name: MEASURES[name](text, words_).cast("double")
-    chars = F.greatest(m("word_chars"), F.lit(1.0))
-    share = lambda x, top: F.least(x, F.lit(float(top))) / float(top)
-    symbols, bangs, capitals = m("n_symbols") / n, m("n_bangs") / n, m("n_capitals") / chars
-    distinct = F.size(F.array_distinct(words_)) / n
-    return [
-        F.log1p(n) / 10.0, share(symbols, 0.1), share(symbols, 1), share(symbols, 4), share(bangs, 0.1), share(bangs, 2), share(capitals, 0.1), capitals,
-        distinct, F.sqrt(distinct), share(F.log1p(n) * (1 - distinct), 8), m("n_dup_lines") / F.greatest(m("n_lines"), F.lit(1.0)), share(chars / n, 12), share(m("n_lines") / n, 1),
-        share(_count(text, "0123456789") / chars, 0.2), share(_count(text, ".,;:?") / n, 0.5), (F.size(words_) < 10).cast("double"), F.least(n, F.lit(60.0)) / 60.0,
-    ]
-
-
-def measured(docs: DataFrame) -> DataFrame:
-    rows = only(docs, ("doc_id", "long"), ("text", "string")).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("words", words(F.col("text")))
-    return rows.select("doc_id", F.array(*features(F.col("text"), F.col("words"))).alias("x"))
+def features(texts: list[str | None]) -> np.ndarray:
+    """Bounded measures, a row for each text: lengths, and shares of symbols, marks, capitals, distinct words and equal lines."""
+    words, word_chars, symbols, bangs, capitals, digits, marks, lines, dup_lines, distinct = measures(texts).T
+    n, chars = np.maximum(words, 1), np.maximum(word_chars, 1)
+    share = lambda x, top: np.minimum(x, top) / top
+    distinct = distinct / n
+    return np.column_stack([
+        np.log1p(n) / 10, share(symbols / n, 0.1), share(symbols / n, 1), share(symbols / n, 4), share(bangs / n, 0.1), share(bangs / n, 2), share(capitals / chars, 0.1), capitals / chars,
+        distinct, np.sqrt(distinct), share(np.log1p(n) * (1 - distinct), 8), dup_lines / lines, share(chars / n, 12), share(lines / n, 1),
+        share(digits / chars, 0.2), share(marks / n, 0.5), words < 10, np.minimum(n, 60) / 60,
+    ]).astype(np.float64)
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -57,23 +55,30 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return known.filter(digest_of(known) % FOLDS != HELD_OUT)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> list:
-    """(x, quality) of a bounded sample."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and quality of a bounded sample, in an order of their own."""
     known = training_labels(labels)
     sizes = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
-    part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20))
+    h = F.xxhash64("doc_id", F.lit(7))
     wanted = F.lit(False)
     for q, n in sizes.items():
-        wanted = wanted | ((F.col("quality") == q) & (part < int(min(1.0, 0.9 * SAMPLE / n) * (1 << 20) if n > SAMPLE else 1 << 20)))
-    known = known.filter(wanted).limit(2 * SAMPLE)
-    text = only(docs, ("doc_id", "long"), ("text", "string")).join(F.broadcast(known), "doc_id")  # 2 x SAMPLE rows of two numbers
-    rows = measured(text).withColumnRenamed("doc_id", "id").join(F.broadcast(known), F.col("id") == F.col("doc_id")).select("x", "quality", "id")
-    return sorted(((r["x"], r["quality"]) for r in rows.limit(4 * SAMPLE).collect()), key=repr)
+        wanted = wanted | ((F.col("quality") == q) & (F.pmod(h, F.lit(1 << 20)) < int(min(1.0, 0.9 * SAMPLE / n) * (1 << 20) if n > SAMPLE else 1 << 20)))
+    known = known.filter(wanted).orderBy(h, "doc_id").limit(2 * SAMPLE)
+    # 2 x SAMPLE rows of two numbers are broadcast
+    rows = only(docs, ("doc_id", "long"), ("text", "string")).join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text")
+
+    def run(batches):
+        for batch in batches:
+            x = features(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "quality": batch.column(1), "x": pa.array(list(x), pa.list_(pa.float64()))})
+
+    found = rows.mapInArrow(run, "doc_id long, quality int, x array<double>").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "x").limit(2 * SAMPLE).toArrow()
+    y = found["quality"].to_numpy()
+    return np.array(found["x"].to_pylist(), np.float64).reshape(len(y), -1), y
 
 
-def fit(rows: list, rounds: int = 60, ridge: float = 1e-3) -> list[float]:
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> list[float]:
     """w, by Newton steps on the pairs; empty where a label is missing."""
-    x, y = np.array([r[0] for r in rows], np.float64).reshape(len(rows), -1), np.array([r[1] for r in rows])
     if len(set(y.tolist())) < 2:
         return []
     rng = np.random.default_rng(8)
@@ -90,8 +95,24 @@ def fit(rows: list, rounds: int = 60, ridge: float = 1e-3) -> list[float]:
     return w.tolist()
 
 
-def strength(x: Column, w: list[float]) -> Column:
-    return F.aggregate(F.zip_with(x, F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+def with_strength(docs: DataFrame, w: list[float], name: str, text: str = "text") -> DataFrame:
+    """docs with their strength; the sum has a fixed order, so that equal texts have equal strengths."""
+    at = docs.columns.index(text)
+    weights = np.array(w)
+
+    def run(batches):
+        for batch in batches:
+            strength = (features(batch.column(at).to_pylist()) * weights).sum(axis=1) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(strength, pa.float64())], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
+
+def strengths(docs: DataFrame, w: list[float]) -> DataFrame:
+    """doc_id, held_out, strength."""
+    rows = only(docs, ("doc_id", "long"), ("text", "string"))
+    rows = rows.select("doc_id", (digest_of(rows) % FOLDS == HELD_OUT).alias("held_out"), "text")
+    return with_strength(rows, w, "strength").drop("text")
 
 
 def threshold(strengths: DataFrame, labels: DataFrame) -> float:
@@ -123,27 +144,27 @@ def score(strength_: Column, at: float) -> Column:
 
 def rank(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
-    w = fit(training_rows(docs, labels))
-    rows = measured(docs)
-    fold = (digest_of(rows) % FOLDS == HELD_OUT).alias("held_out")
+    w = fit(*training_rows(docs, labels))
     if w:
-        rows = Scratch(docs.sparkSession).write(rows.select("doc_id", fold, strength(F.col("x"), w).alias("strength")), "strengths")
+        rows = Scratch(docs.sparkSession).write(strengths(docs, w), "strengths")
         rows = rows.select("doc_id", "held_out", score(F.col("strength"), threshold(rows, labels)).alias("score"))
     else:
-        rows = rows.select("doc_id", fold, F.lit(0.5).alias("score"))
+        rows = only(docs, ("doc_id", "long"))
+        rows = rows.select("doc_id", (digest_of(rows) % FOLDS == HELD_OUT).alias("held_out"), F.lit(0.5).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents predicted to be good, all columns as they were."""
-    w = fit(training_rows(docs, labels))
+    w = fit(*training_rows(docs, labels))
     if not w:
         return docs  # every score is 0.5
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("_words", words(text)).withColumn("_strength", strength(F.array(*features(text, F.col("_words"))), w)).drop("_words")
-    rows = Scratch(docs.sparkSession).write(rows, "strengths")  # the texts are measured once
-    at = threshold(only(rows, ("doc_id", "long"), ("_strength", "double")).withColumnRenamed("_strength", "strength"), labels)
-    return rows.filter(score(F.col("_strength"), at) >= CUT).drop("_strength")
+    scratch = Scratch(docs.sparkSession)
+    known = scratch.write(strengths(docs, w).select("doc_id", "strength"), "strengths")
+    at = threshold(known, labels)
+    scratch.drop(known)
+    (name,) = fresh(docs.columns, "strength")
+    return with_strength(docs, w, name).filter(score(F.col(name), at) >= CUT).drop(name)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import cache
 
 import numpy as np
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 
 
 @cache
@@ -100,3 +100,33 @@ def as_items(values: np.ndarray) -> np.ndarray:
     start = np.flatnonzero(first)
     turn = np.arange(len(v)) - np.repeat(start, np.diff(np.append(start, len(v))))
     return np.sort(np.where(turn == 0, v, mix(v + turn.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))))
+
+
+#: What `measures` counts of a text, in the order of its columns.
+MEASURED = ("n_words", "word_chars", "n_symbols", "n_bangs", "n_capitals", "n_digits", "n_marks", "n_lines", "n_dup_lines", "n_distinct")
+_CLASSES = {"n_symbols": b"#*$%&|<>", "n_bangs": b"!", "n_capitals": bytes(range(65, 91)), "n_digits": bytes(range(48, 58)), "n_marks": b".,;:?"}
+
+
+@cache
+def _class_masks() -> np.ndarray:
+    """(classes, 256): which byte values each class counts; the last row: bytes that begin a character of a word."""
+    out = np.zeros((len(_CLASSES) + 1, 256), np.uint8)
+    for row, chars in zip(out, _CLASSES.values()):
+        row[list(chars)] = 1
+    out[-1] = ~_tables()[1] & (np.arange(256) & 0xC0 != 0x80)
+    return out
+
+
+def measures(texts: list[str | None]) -> np.ndarray:
+    """(texts, MEASURED) as doubles; distinct words without regard to capitals A-Z."""
+    out = np.zeros((len(texts), len(MEASURED)))
+    for row, text, words in zip(out, texts, word_hashes(texts)):
+        raw = (text or "").encode()
+        seen = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+        n_lines, n_dup = raw.count(b"\n") + 1, 0
+        if n_lines > 1:
+            lines = [x for x in raw.split(b"\n") if x.strip()]
+            n_dup = len(lines) - len(set(lines))
+        by_class = _class_masks() @ seen
+        row[:] = (len(words), by_class[-1], *by_class[:-1], n_lines, n_dup, len(np.unique(words)))
+    return out
