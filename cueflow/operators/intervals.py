@@ -2,52 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from cueflow.functions.distance import similarity
+from cueflow.functions.names import fresh
 
 from .folds import fold
 
+# Gaps in seconds, likeness of texts, and the length of a cue that ends before it starts.
 GAP, FUZZY_GAP, ALIKE, SHORTEST = 0.15, 0.25, 0.82, 1.5
 
 
 def coalesce(cues: DataFrame, source: str = "source_id") -> DataFrame:
     """source, start, end, text: neighbours of equal text that touch within GAP become one (windows only)."""
+    new, run_, reach, island = fresh(cues.columns, "new", "run", "reach", "island")
     c = cues.withColumn("end", F.when(F.col("end") <= F.col("start"), F.col("start") + SHORTEST).otherwise(F.col("end")))
     order = Window.partitionBy(source).orderBy("start", "ord")
-    c = c.withColumn("_new", F.coalesce((F.lag("text").over(order) != F.col("text")).cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(order))
-    run = Window.partitionBy(source, "_run").orderBy("start", "ord")
-    c = c.withColumn("_reach", F.max("end").over(run.rowsBetween(Window.unboundedPreceding, -1)))
-    c = c.withColumn("_island", F.sum(F.coalesce((F.col("start") > F.col("_reach") + GAP).cast("int"), F.lit(1))).over(run))
-    return c.groupBy(source, "_run", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("text").alias("text")).drop("_run", "_island")
+    c = c.withColumn(new, F.coalesce((F.lag("text").over(order) != F.col("text")).cast("int"), F.lit(1))).withColumn(run_, F.sum(new).over(order))
+    run = Window.partitionBy(source, run_).orderBy("start", "ord")
+    c = c.withColumn(reach, F.max("end").over(run.rowsBetween(Window.unboundedPreceding, -1)))
+    c = c.withColumn(island, F.sum(F.coalesce((F.col("start") > F.col(reach) + GAP).cast("int"), F.lit(1))).over(run))
+    return c.groupBy(source, run_, island).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("text").alias("text")).drop(run_, island)
 
 
-def own(cues: DataFrame, segments: DataFrame) -> DataFrame:
-    """Cues that start in their lane's core; the last lane is closed on the right."""
+def own(cues: DataFrame, segments: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Cues that start in their lane's core; the last lane is closed on the right. keys: columns beside the lane that tell
+    plans apart (a plan for each source). How the plan travels is Spark's choice by its size."""
     last = F.col("index") == F.col("lanes") - 1
     inside = (F.col("start") >= F.col("core_start")) & ((F.col("start") < F.col("core_end")) | (last & (F.col("start") <= F.col("core_end"))))
-    return cues.join(F.broadcast(segments), cues["lane"] == segments["index"]).filter(inside)  # 16 segments at most
+    return cues.join(segments.withColumn("lane", F.col("index")), ["lane", *(keys or [])]).filter(inside)
 
 
-def reconcile(cues: DataFrame, source: str = "source_id") -> DataFrame:
-    """Fuzzy coalescing against the island's first text, as a fold over each source's ordered cues;
-    what is held is the open island, however many cues a source has."""
-    from pyspark.sql.types import StructType
+def islands(cues: DataFrame, source: str, gap: float, name: str) -> DataFrame:
+    """cues with a number that grows with start wherever no earlier cue of the source reaches within the gap: no merge crosses that."""
+    (reach,) = fresh(cues.columns, "reach")
+    order = Window.partitionBy(source).orderBy("start", "lane", "ord")
+    c = cues.withColumn(reach, F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    return c.withColumn(name, F.sum(F.coalesce((F.col("start") > F.col(reach) + gap).cast("int"), F.lit(1))).over(order)).drop(reach)
 
-    def distance(a: str, b: str) -> int:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
 
-    def alike(a: str, b: str) -> bool:
-        n = max(len(a), len(b))
-        return a == b or n > 0 and 1 - distance(a, b) / n >= ALIKE
+def reconcile(cues: DataFrame, source: str = "source_id", plan: DataFrame | None = None, plan_keys: list[str] | None = None, accept: Column | None = None) -> DataFrame:
+    """Cues of overlapping lanes as one track: only those that their lane owns (where a plan is given), with their accepted
+    text (null drops a cue), and neighbours within FUZZY_GAP whose text is like the island's first text as one; with the
+    number of merges. Windows cut a source where nothing can merge; only what lies between is folded, in order."""
+    if plan is not None:
+        cues = own(cues, plan, plan_keys).select(*cues.columns)
+    if accept is not None:
+        cues = cues.withColumn("text", accept).filter("text is not null")
+    (part,) = fresh(cues.columns, "part")
+    parts = islands(cues, source, FUZZY_GAP, part).withColumn(part, F.struct(source, part))
 
     def step(open_: list, row: list, out: list) -> None:
         start, end, text, confidence = row
-        if open_ and start <= open_[1] + FUZZY_GAP and alike(text, open_[2]):
+        if open_ and start <= open_[1] + FUZZY_GAP and similarity(text, open_[2]) >= ALIKE:
             open_[1], open_[3], open_[4] = max(open_[1], end), max(open_[3], confidence), open_[4] + 1
         else:
             close(open_, out)
@@ -57,5 +66,6 @@ def reconcile(cues: DataFrame, source: str = "source_id") -> DataFrame:
         if open_:
             out.append(tuple(open_))
 
-    schema = StructType([cues.schema[source]]).add("start", "double").add("end", "double").add("text", "string").add("confidence", "double").add("merges", "long")
-    return fold(cues, source, ["start", "lane", "ord"], ["start", "end", "text", "confidence"], list, step, close, schema)
+    schema = StructType([parts.schema[part]]).add("start", "double").add("end", "double").add("text", "string").add("confidence", "double").add("merges", "long")
+    merged = fold(parts, part, ["start", "lane", "ord"], ["start", "end", "text", "confidence"], list, step, close, schema)
+    return merged.select(F.col(part)[source].alias(source), "start", "end", "text", "confidence", "merges")

@@ -52,3 +52,75 @@ def probe_ceiling(mode: Column, cores: Column, memory: Column, vram_gib: Column)
 def disk_needed(size: Column) -> Column:
     """Twice the size and 512 MiB to spare; null where that is beyond a long."""
     return F.try_add(F.try_multiply(size.cast("long"), F.lit(2).cast("long")), F.lit(SPARE_BYTES).cast("long"))
+
+
+# Connections of a speed as shown and as used (any other name: the last).
+CONNECTIONS = {"stable": (1, 1), "turbo": (16, 8), None: (8, 4)}
+
+
+def connections(speed: Column) -> Column:
+    """struct<shown, used, video, audio>: connections of a speed (case and outer spaces ignored); where both streams are
+    fetched, sound takes one of those used and pictures the rest, or one each in turn."""
+    name = F.lower(F.trim(F.coalesce(speed, F.lit(""))))
+    of = lambda i: F.when(name == "stable", CONNECTIONS["stable"][i]).when(name == "turbo", CONNECTIONS["turbo"][i]).otherwise(CONNECTIONS[None][i])
+    return F.struct(of(0).alias("shown"), of(1).alias("used"), F.greatest(F.lit(1), of(1) - 1).alias("video"), F.lit(1).alias("audio"))
+
+
+def explicit_lanes(asked: Column, duration: Column, ceiling: Column) -> Column:
+    """1 to 16 lanes, no more than one for every two minutes nor than the ceiling."""
+    return F.greatest(F.lit(1), F.least(asked, F.lit(16), F.greatest(F.lit(1), F.floor(duration / 120).cast("int")), ceiling))
+
+
+# Settings, what they may be, and what they are otherwise (None: the caller's).
+CHOICES = {"theme": (("light", "dark"), "dark"), "subtitle_format": (("srt", "txt", "json"), "srt"), "video_speed": (("stable", "fast", "turbo"), "fast"), "video_container": (("mkv", "mp4"), "mp4"),
+           "video_mode": (("video+audio", "video-only", "audio-only"), "video+audio"), "ocr_device": (("cpu", "gpu", "hybrid", "auto"), "auto")}
+MARGINS = {"ocr_top": (1, 65), "ocr_bottom": (1, 94), "ocr_left": (0, 5), "ocr_right": (1, 95)}
+
+
+def normal_settings(df: DataFrame) -> DataFrame:
+    """df with every setting that it has as one of its choices, margins as positive numbers (left: 0 or more), else the default.
+    Names count as written, but for ocr_device, where case and outer spaces don't."""
+    out = {}
+    for name, (choices, default) in CHOICES.items():
+        if name in df.columns:
+            value = F.lower(F.trim(name)) if name == "ocr_device" else F.col(name)
+            out[name] = F.when(value.isin(*choices), value).otherwise(default)
+    out |= {name: F.when(F.col(name) >= least, F.col(name)).otherwise(default) for name, (least, default) in MARGINS.items() if name in df.columns}
+    return df.withColumns(out)
+
+
+def valid_release(version: Column, url: Column, size: Column, sha256: Column) -> Column:
+    filled = lambda x: F.coalesce(F.trim(x) != "", F.lit(False))
+    return filled(version) & filled(url) & F.coalesce((size > 0) & sha256.rlike("^[0-9a-fA-F]{64}$"), F.lit(False))
+
+
+def http_only(url: Column) -> Column:
+    """The url if it is an absolute one of http or https."""
+    return F.when(F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & F.try_parse_url(url, F.lit("HOST")).isNotNull(), url)
+
+
+def valid_region(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """Within the unit square (tolerance: 0.000001), and not empty."""
+    return F.coalesce((x >= 0) & (y >= 0) & (w > 0) & (h > 0) & (x < 1) & (y < 1) & (x + w <= 1.000001) & (y + h <= 1.000001), F.lit(False))
+
+
+def canonical_region(x: Column, y: Column, w: Column, h: Column) -> Column:
+    """struct<x,y,w,h> in whole percents: outwards, one at least; null where the region is not valid."""
+    clip = lambda v, a, b: F.greatest(F.lit(a), F.least(F.lit(b), v))
+    left, top = clip(F.floor(x * 100).cast("int"), 0, 99), clip(F.floor(y * 100).cast("int"), 0, 99)
+    right, bottom = clip(F.greatest(left + 1, F.ceil((x + w) * 100).cast("int")), 1, 100), clip(F.greatest(top + 1, F.ceil((y + h) * 100).cast("int")), 1, 100)
+    return F.when(valid_region(x, y, w, h), F.struct((left / 100.0).alias("x"), (top / 100.0).alias("y"), ((right - left) / 100.0).alias("w"), ((bottom - top) / 100.0).alias("h")))
+
+
+def pixel_region(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
+    """struct<x,y,w,h> in pixels, cut towards zero; null where it begins outside or is less than two pixels wide or high."""
+    px, py = (x * width).cast("int"), (y * height).cast("int")
+    pw, ph = (F.least(F.lit(1.0), x + w) * width).cast("int") - px, (F.least(F.lit(1.0), y + h) * height).cast("int") - py
+    fine = (x >= 0) & (y >= 0) & (w > 0) & (h > 0) & (x < 1) & (y < 1) & (pw >= 2) & (ph >= 2)
+    return F.when(fine, F.struct(px.alias("x"), py.alias("y"), pw.alias("w"), ph.alias("h")))
+
+
+def time_guard(start: Column, end: Column, duration: Column, whole: Column) -> Column:
+    """between(t,start,end) with three decimals, empty for the whole length; null where nothing lies between."""
+    a, b = F.greatest(F.lit(0.0), start), F.when(duration > 0, F.least(duration, end)).otherwise(end)
+    return F.when(whole, "").when(b > a, F.format_string("between(t,%.3f,%.3f)", a, b))

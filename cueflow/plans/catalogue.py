@@ -6,39 +6,15 @@ each query), the operators are those of the survey's inventory.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueflow.functions import text as T
 from cueflow.functions.version import version_key
 from cueflow.operators import intervals, lanes, policy, rank
-from cueflow.sources import parse
+from cueflow.plans.registry import ORACLES, QUERIES, query, read  # noqa: F401
 from cueflow.streaming import tracker
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def literal(spark: SparkSession, rows: str, names: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({names})")
-
-
 def event_cues(spark: SparkSession, d: str) -> DataFrame:
     """A user's events as cues: start in seconds, as long as the value, the type as text."""
     e = read(spark, d, "events")
@@ -141,9 +117,12 @@ def url_fingerprint_dedupe(spark, d):
     return rank.first_by(p, ["url_key"], [F.col("page_id")])
 
 
-@query("SELECT c_custkey, c_mktsegment, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
+@query("SELECT o_orderkey, o_custkey, c_mktsegment FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_nationkey < 12")
 def enrich_left(spark, d):
-    return read(spark, d, "customer").join(read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_mktsegment", "o_orderkey")
+    """Orders with their customer's segment, where it is known."""
+    known = read(spark, d, "customer").filter("c_nationkey < 12").select("c_custkey", "c_mktsegment")
+    out = rank.enrich(read(spark, d, "orders"), known, F.concat(F.lit("K"), F.col("o_custkey").cast("string")), F.concat(F.lit("k"), F.col("c_custkey").cast("string")))
+    return out.select("o_orderkey", "o_custkey", "c_mktsegment")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -168,8 +147,7 @@ def point_in_interval(spark, d):
 
 @query("SELECT user_id, bool_and(event_type <> 'error') AS all_supported, round(sum(value), 4) AS value, CAST(sum(event_id) AS BIGINT) AS event_id FROM events GROUP BY 1")
 def transport_rollup(spark, d):
-    e = read(spark, d, "events")
-    return e.groupBy("user_id").agg(F.coalesce(F.bool_and(F.col("event_type") != "error"), F.lit(False)).alias("all_supported"), F.round(F.sum("value"), 4).alias("value"), F.sum("event_id").alias("event_id"))
+    return lanes.transport_rollup(read(spark, d, "events"), ["user_id"], F.col("event_type") != "error", ["value", "event_id"])
 
 
 @query("WITH s AS (SELECT event_type, count(*)::DOUBLE AS n FROM events GROUP BY 1) SELECT event_type, n, round(n / greatest(1.0, max(n) OVER ()), 9) AS share FROM s")
@@ -184,22 +162,19 @@ def last_n(spark, d):
 
 
 @query(r"""WITH t AS (SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS x FROM pages),
-u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), chr(13), '') AS x FROM t)
+u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), chr(13), '') AS x FROM t)
 SELECT page_id, array_to_string(list_filter(list_transform(string_split(x, chr(10)), lambda s: regexp_replace(s, '^[ \t\x0B\f]+|[ \t\x0B\f]+$', '', 'g')), lambda s: s <> ''), chr(10)) AS text FROM u""")
 def tag_strip_clean(spark, d):
     return read(spark, d, "pages").select("page_id", T.clean_lines(T.strip_tags(F.col("html"))).alias("text"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\b(token|sessdata|cookie|password|auth|secret)(\s*[:=]\s*)"?[^\s";&]+"?', '\1\2***', 'g'), '(?i)([a-z]:\\users\\)[^\\\s]+', '\1***', 'g'), '(?i)([?&](?:auth|token|key|sig)=)[^&\s]+', '\1***', 'g') AS text FROM documents""")
+@query(r"""WITH t AS (SELECT doc_id, coalesce(text, '') || chr(10) || 'Cookie: a=' || doc_id || '; C:\Users\me' || doc_id || '\x http://h/?auth=' || doc_id || '&x=1 SESSDATA = s' || doc_id AS x FROM documents)
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(x, '(?i)(SESSDATA|bili_jct|buvid\d*|DedeUserID|authorization|token|cookie)\s*[:=]\s*([^\s;&]+)', '\1=[ĐÃ ẨN]', 'g'), '(?i)C:\\Users\\[^\\\s]+', 'C:\\Users\\[ĐÃ ẨN]', 'g'), '(?i)([?&](?:token|auth|cookie|sessdata)=)[^&#\s]+', '\1[ĐÃ ẨN]', 'g') AS text FROM t""")
 def redact(spark, d):
-    return read(spark, d, "documents").select("doc_id", T.redact(F.col("text")).alias("text"))
-
-
-@query("""SELECT event_id, CASE WHEN event_type = 'view' AND contains(lower(props), '"k": 6') THEN 'Warning' WHEN event_type = 'error' THEN 'Error' ELSE 'Info' END AS level FROM events""")
-def level_promote(spark, d):
-    marked = F.lower("props").contains('"k": 6')
-    level = F.when((F.col("event_type") == "view") & marked, "Warning").when(F.col("event_type") == "error", "Error").otherwise("Info")
-    return read(spark, d, "events").select("event_id", level.alias("level"))
+    """Whole texts, with a line of secrets of each sort at the end."""
+    k = F.col("doc_id").cast("string")
+    secrets = F.concat(F.lit("\nCookie: a="), k, F.lit("; C:\\Users\\me"), k, F.lit("\\x http://h/?auth="), k, F.lit("&x=1 SESSDATA = s"), k)
+    return read(spark, d, "documents").select("doc_id", T.redact(F.concat(F.coalesce("text", F.lit("")), secrets)).alias("text"))
 
 
 @query(r"""WITH c AS (SELECT page_id, substr(regexp_replace(regexp_replace(url, '[<>:"/\\|?*\x00-\x1F]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), 1, 150) AS n FROM pages) SELECT page_id, CASE WHEN n = '' THEN 'file' ELSE n END AS name FROM c""")
@@ -207,41 +182,29 @@ def filename_sanitize(spark, d):
     return read(spark, d, "pages").select("page_id", T.safe_filename(F.col("url")).alias("name"))
 
 
-_TIMES = "('00:01.000'), ('1:02:03,500'), ('59:59.999'), ('60:00'), ('00:60'), ('x:1'), ('5'), ('10:00:00.25')"
-
-
-@query("SELECT * FROM (VALUES ('00:01.000', 1.0::DOUBLE), ('1:02:03,500', 3723.5), ('59:59.999', 3599.999), ('60:00', NULL), ('00:60', NULL), ('x:1', NULL), ('5', NULL), ('10:00:00.25', 36000.25)) t(raw, seconds)")
+@query("""WITH t AS (SELECT o_orderkey AS k, o_orderkey % 60 AS m, o_orderkey % 75 AS s, o_orderkey // 60 AS h FROM orders)
+SELECT k AS o_orderkey, CASE WHEN s >= 60 THEN NULL ELSE h * 3600.0 + m * 60.0 + s + 0.25 END::DOUBLE AS whole, CASE WHEN s >= 60 THEN NULL ELSE m * 60.0 + s END::DOUBLE AS "short", NULL::DOUBLE AS bad FROM t""")
 def timestamp_parse(spark, d):
-    return literal(spark, _TIMES, "raw").withColumn("seconds", T.parse_time(F.col("raw")))
+    """An order's key as times of three parts and of two, and as what is none."""
+    k = F.col("o_orderkey")
+    raw = F.format_string(" %d:%02d:%02d,25", F.floor(k / 60), k % 60, k % 75)
+    bad = F.when(k % 4 == 0, F.concat(F.lit("-"), F.trim(raw))).when(k % 4 == 1, F.format_string("1.5:%02d:00", k % 60)).when(k % 4 == 2, "1e1:05").otherwise("00:01.5:02")
+    return read(spark, d, "orders").select("o_orderkey", T.parse_time(raw).alias("whole"), T.parse_time(F.format_string("%d:%02d", k % 60, k % 75)).alias("short"), T.parse_time(bad).alias("bad"))
 
 
-@query("SELECT * FROM (VALUES ('你好， ，世界！', '你好，世界！'), ('你好 ABC', NULL), ('123!?', NULL), ('B站', 'B站'), ('VIP会员', 'VIP会员'), ('OpenAI模型', 'OpenAI模型'), ('今天看4K视频', '今天看4K视频'), ('你好 A N', NULL), ('你好 テスト', NULL), ('你好 테스트', NULL)) t(raw, clean)")
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '你好 ' || event_id || '，世界！' WHEN 1 THEN NULL WHEN 2 THEN 'VIP会员' || event_id WHEN 3 THEN NULL ELSE '今天！' || event_id END AS clean FROM events""")
 def script_normalize(spark, d):
-    rows = "('你好， ，世界！'), ('你好 ABC'), ('123!?'), ('B站'), ('VIP会员'), ('OpenAI模型'), ('今天看4K视频'), ('你好 A N'), ('你好 テスト'), ('你好 테스트')"
-    return literal(spark, rows, "raw").withColumn("clean", T.script_normalize(F.col("raw")))
+    """An event's id within Han text: marks collapse; a lone Latin word and another script are refused."""
+    k, n = F.col("event_id").cast("string"), F.col("event_id") % 5
+    raw = F.when(n == 0, F.concat(F.lit("你好  "), k, F.lit("， ，世界！！"))).when(n == 1, F.concat(F.lit("你好 ABC "), k)).when(n == 2, F.concat(F.lit("VIP会员"), k)).when(n == 3, F.concat(F.lit("你好 テスト"), k)).otherwise(F.concat(F.lit(" 今天！ ！"), k))
+    return read(spark, d, "events").select("event_id", T.script_normalize(raw).alias("clean"))
 
 
-@query("SELECT a.n_name AS a, b.n_name AS b, round(1 - levenshtein(a.n_name, b.n_name) / greatest(length(a.n_name), length(b.n_name)), 9) AS sim FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+@query("SELECT page_id, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 9) AS sim FROM (SELECT page_id, regexp_replace(url, '[^ -~]', '', 'g') AS a, reverse(regexp_replace(url, '[^ -~]', '', 'g')) AS b FROM pages)")
 def similarity(spark, d):
-    n = read(spark, d, "nation")
-    a, b = n.select("n_regionkey", F.col("n_nationkey").alias("i"), F.col("n_name").alias("a")), n.select("n_regionkey", F.col("n_nationkey").alias("j"), F.col("n_name").alias("b"))
-    return a.join(b, "n_regionkey").filter("i < j").select("a", "b", F.round(T.similarity(F.col("a"), F.col("b")), 9).alias("sim"))
-
-
-@query("SELECT * FROM (VALUES ('j', 0, 1.0::DOUBLE, 2.0::DOUBLE, '你好'), ('j', 1, 2.05, 3.0, '你好')) t(source_id, ord, \"start\", \"end\", text)")
-def subtitle_parse_json(spark, d):
-    return parse.flat_json(literal(spark, """('j', '{"body":[{"from":1.0,"to":2.0,"content":"你好"},{"from":2.05,"to":3.0,"content":"你好"},{"content":" "}]}')""", "source_id, payload"))
-
-
-@query("SELECT * FROM (VALUES ('s', 0, 1.5::DOUBLE, 2.25::DOUBLE, 'ab')) t(source_id, ord, \"start\", \"end\", text)")
-def subtitle_parse_segments(spark, d):
-    return parse.segmented_json(literal(spark, """('s', '{"events":[{"tStartMs":1500,"dDurationMs":750,"segs":[{"utf8":"a"},{"x":1},{"utf8":"b"}]},{"tStartMs":9}]}')""", "source_id, payload"))
-
-
-@query("SELECT * FROM (VALUES ('v', 1, 1.0::DOUBLE, 2.25::DOUBLE, '你好'), ('v', 2, 2.3, 3.0, '世界'), ('r', 0, 4.0, 5.5, '再见')) t(source_id, ord, \"start\", \"end\", text)")
-def subtitle_parse_timed(spark, d):
-    vtt = r"WEBVTT\n\n00:01.000 --> 00:02.250 position:50%\n<c.green>你好</c>\n\n00:02.300 --> 00:03.000\n世界"
-    return parse.timed_text(literal(spark, rf"('v', '{vtt}'), ('r', '1\r\n00:00:04,000 --> 00:00:05,500\r\n再见\r\n')", "source_id, payload"))
+    """An url against itself read backwards, in ASCII (DuckDB's distance is one of bytes)."""
+    a = F.regexp_replace("url", "[^ -~]", "")
+    return read(spark, d, "pages").select("page_id", F.round(T.similarity(a, F.reverse(a)), 9).alias("sim"))
 
 
 @query()
@@ -255,36 +218,37 @@ def cue_tracker(spark, d):
 
 @query()
 def boundary_reconcile(spark, d):
-    cues = event_cues(spark, d).withColumn("lane", F.pmod("ord", F.lit(4)).cast("int")).withColumn("confidence", F.lit(0.9))
-    return intervals.reconcile(cues)
-
-
-@query("SELECT user_id, round(100.0 * sum(w) / 100, 6) AS percent FROM (SELECT user_id, event_type, max(CASE event_type WHEN 'view' THEN 5 WHEN 'click' THEN 85 WHEN 'purchase' THEN 10 ELSE 0 END) AS w FROM events GROUP BY 1, 2) GROUP BY 1")
-def weighted_progress(spark, d):
-    w = F.when(F.col("event_type") == "view", 5).when(F.col("event_type") == "click", 85).when(F.col("event_type") == "purchase", 10).otherwise(0)
-    return read(spark, d, "events").select("user_id", "event_type", w.alias("w")).distinct().groupBy("user_id").agg(F.round(F.lit(100.0) * F.sum("w") / 100, 6).alias("percent"))
-
-
-@query("SELECT user_id, coalesce(min_by(event_type, (ts, event_id)) FILTER (event_type IN ('error', 'purchase')), 'running') AS state FROM events GROUP BY 1")
-def job_state(spark, d):
-    final = F.when(F.col("event_type").isin("error", "purchase"), F.struct("ts", "event_id"))
-    return read(spark, d, "events").groupBy("user_id").agg(F.coalesce(F.min_by(F.when(final.isNotNull(), F.col("event_type")), final), F.lit("running")).alias("state"))
-
-
-_VERSIONS = ("junk", "4", "v1.2-alpha", "1.2-Beta2", "1.2-beta10", "1.2-beta10.1", "1.2+build", "1.2.0.1")
+    """Events of a month as cues that two lanes see at every border: owned, cleaned, and merged where they are alike."""
+    seg = lanes.lane_plan(spark, 2764800.0, 16, 24.0)
+    at = (F.dayofmonth("ts") - 1) * 86400.0 + F.unix_micros(F.col("ts").cast("timestamp")) % 86400000000 / 1e6
+    e = read(spark, d, "events").select(F.col("user_id").alias("source_id"), F.col("event_id").alias("ord"), at.alias("start"), (at + F.col("value") * 600).alias("end"), F.concat(F.lit(" "), "event_type", F.lit("!  !")).alias("text"), F.lit(0.9).alias("confidence"))
+    seen = e.join(seg.select(F.col("index").alias("lane"), "scan_start", "scan_end"), F.col("start").between(F.col("scan_start"), F.col("scan_end"))).drop("scan_start", "scan_end")
+    clean = F.regexp_replace(T.collapse_space(F.col("text")), rf"([{T.MARKS}])(?:\s*\1)+", "$1")
+    return intervals.reconcile(seen, plan=seg, accept=F.when(clean != "", clean))
 
 
-@query("SELECT * FROM (VALUES ('junk', 1), ('4', 1), ('v1.2-alpha', 2), ('1.2-Beta2', 3), ('1.2-beta10', 4), ('1.2-beta10.1', 5), ('1.2+build', 6), ('1.2.0.1', 7)) t(raw, place)")
+@query("""WITH v AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity::INT AS q, CASE l_linenumber % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS form FROM lineitem)
+SELECT k AS l_orderkey, n AS l_linenumber, dense_rank() OVER (PARTITION BY k ORDER BY q, form, CASE WHEN form = 2 THEN 0 ELSE n END) AS place FROM v""")
 def version_order(spark, d):
-    rows = literal(spark, ", ".join(f"('{v}')" for v in _VERSIONS), "raw")
-    return rows.withColumn("place", F.dense_rank().over(Window.orderBy(version_key(F.col("raw")))))  # eight literal rows
-
-
-@query("SELECT * FROM (VALUES ('cpu', 6.0::DOUBLE, 16, 16), ('gpu', 6.0, 2, 4), (' AUTO ', 6.0, 2, 4), ('hybrid', 6.0, 2, 4), ('auto', NULL, 4, 4), ('gpu', NULL, 1, 1)) t(mode, vram, lanes, ceiling)")
+    """An order's lines as versions: 1.q-alpha.n before 1.q-Beta n, and these before v1.q+n, whatever follows the plus."""
+    q, n = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string")
+    form = F.col("l_linenumber") % 3
+    raw = F.when(form == 0, F.concat(F.lit("v1."), q, F.lit("+"), n)).when(form == 1, F.concat(F.lit("1."), q, F.lit("-alpha."), n)).otherwise(F.concat(F.lit("1."), q, F.lit(".0-Beta"), n))
+    place = F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy(version_key(raw)))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", place.cast("long").alias("place"))
+
+
+@query("""WITH p AS (SELECT p_partkey, CAST(p_size AS INT) AS cores, p_size::DOUBLE AS vram, ['cpu', ' GPU ', 'Hybrid', 'auto'][p_partkey % 4 + 1] AS mode, p_partkey % 5 = 0 AS none FROM part),
+b AS (SELECT *, CASE WHEN cores >= 32 THEN 16 WHEN cores >= 16 THEN 8 WHEN cores >= 8 THEN 4 WHEN cores >= 4 THEN 2 ELSE 1 END AS base, CASE WHEN vram < 3.5 THEN 1 WHEN vram < 7 THEN 2 WHEN vram < 14 THEN 4 WHEN vram < 28 THEN 8 ELSE 16 END AS gpu FROM p),
+h AS (SELECT *, least(base, 16, gpu + 1) AS lim FROM b),
+l AS (SELECT *, CASE WHEN mode = 'cpu' THEN base WHEN none THEN CASE WHEN mode = 'auto' THEN least(base, 4) ELSE 1 END WHEN mode = 'Hybrid' THEN CASE WHEN lim >= 16 THEN 16 WHEN lim >= 8 THEN 8 WHEN lim >= 4 THEN 4 WHEN lim >= 2 THEN 2 ELSE 1 END ELSE least(base, gpu) END AS lanes FROM h)
+SELECT p_partkey, lanes, CASE WHEN mode = 'cpu' OR none THEN lanes ELSE least(base, 16, 2 * lanes) END AS ceiling FROM l""")
 def lane_policy(spark, d):
-    rows = literal(spark, "('cpu', 6.0D), ('gpu', 6.0D), (' AUTO ', 6.0D), ('hybrid', 6.0D), ('auto', NULL), ('gpu', NULL)", "mode, vram")
-    at = (F.col("mode"), F.lit(32), F.lit(32 << 30), F.col("vram"))
-    return rows.withColumn("lanes", policy.lanes(*at)).withColumn("ceiling", policy.probe_ceiling(*at))
+    """Parts as machines: the size gives processors and graphics memory, every fifth has no graphics device."""
+    k, n = F.col("p_partkey"), F.col("p_size").cast("int")
+    mode = F.element_at(F.array(*map(F.lit, ("cpu", " GPU ", "Hybrid", "auto"))), (k % 4 + 1).cast("int"))
+    at = (mode, n, F.lit(32 << 30), F.when(k % 5 != 0, n.cast("double")))
+    return read(spark, d, "part").select("p_partkey", policy.lanes(*at).alias("lanes"), policy.probe_ceiling(*at).alias("ceiling"))
 
 
 @query("SELECT p_partkey, 2 * CAST(p_size AS BIGINT) * 1048576 + 536870912 AS needed FROM part")

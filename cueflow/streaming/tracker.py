@@ -1,6 +1,17 @@
 """The cue tracker: a confirmation state machine over a lane's ordered observations.
 
-One step function serves batch (a lane's rows in order, in batches) and Structured Streaming (state kept per lane).
+A lane knows a shown cue (active) and one that awaits confirmation (candidate). An observation is of one of five
+classes, and each class is one row of the table below; `observe` finds the class and applies its row. The same code
+serves batch (a lane's rows in order, in batches) and Structured Streaming (state kept per lane).
+
+    class        candidate           active                      empty frames
+    blank        dropped             ended by the second one     counted while a cue is active
+    refused      dropped             as it is                    as they are
+    the active   dropped             prolonged, text refined     none
+    a new text   starts              as it is                    none
+    the same     confirmed further   replaced once confirmed     none
+
+Lengths of texts are code points.
 """
 
 from __future__ import annotations
@@ -13,83 +24,87 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from cueflow.functions.distance import similarity
 from cueflow.operators.folds import fold
 
-SAME, BETTER, LONGER, SHORTEST, LONGEST = 0.80, 0.035, 2, 0.12, 30.0
+# Likeness of texts; what makes a later reading the better one (confidence, length); bounds of a cue in
+# seconds; empty frames that end a cue; readings that confirm one, and a doubtful one; seconds between them.
+SAME, SURER, LONGER = 0.80, 0.035, 2
+SHORTEST, LONGEST, EMPTY_ENDS = 0.12, 30.0, 2
+READINGS, DOUBTFUL_READINGS, READING_GAP, READING_FRAMES = 2, 3, 0.75, 2.5
 CUES = "lane long, start double, end double, text string, confidence double"
 
 
-def alike(a: str, b: str) -> bool:
-    if a == b:
-        return True
-    if not a or not b:
-        return False
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return 1 - row[-1] / max(len(a), len(b)) >= SAME
+def start_state(active: dict | None = None, accept: Callable[[str], str | None] = lambda t: t) -> dict:
+    """A new lane's state, or that of one restored with its active cue {start, end, text, conf} (its text accepted anew);
+    candidates and empty frames are not restored."""
+    text = accept(active["text"]) if active else None
+    return {"cand": None, "active": {**active, "text": text} if text is not None else None, "empty": 0, "since": 0.0}
 
 
-def start_state() -> dict:
-    return {"cand": None, "active": None, "empty": 0, "since": 0.0}
+def safe_to_stop(s: dict) -> bool:
+    """Whether nothing is under way that a restart would lose."""
+    return s["cand"] is None and s["empty"] == 0
 
 
-def _commit(s: dict, end: float, out: list) -> None:
-    a, s["active"] = s["active"], None
-    out.append((a["start"], min(max(end, a["start"] + SHORTEST), a["start"] + LONGEST), a["text"], a["conf"]))
+def _end_cue(s: dict, end: float, accept: Callable, out: list) -> None:
+    """The active cue goes out, its length within bounds and its text accepted once more."""
+    cue, s["active"] = s["active"], None
+    if cue is not None and (text := accept(cue["text"])) is not None:
+        out.append((cue["start"], min(max(end, cue["start"] + SHORTEST), cue["start"] + LONGEST), text, cue["conf"]))
 
 
-def _merge(c: dict, text: str, conf: float) -> None:
-    if conf > c["conf"] + BETTER or len(text) > len(c["text"]) + LONGER:
-        c["text"] = text
-    c["conf"] = max(c["conf"], conf)
+def _refine(cue: dict, text: str, conf: float) -> None:
+    better = conf > cue["conf"] + SURER or len(text) > len(cue["text"]) + LONGER
+    cue.update(text=text if better else cue["text"], conf=max(cue["conf"], conf))
 
 
-def step(s: dict, at: float, text: str | None, conf: float, fps: float, low: float, accept: Callable[[str], str | None], out: list) -> None:
-    """One observation; text is None for an empty frame. Confirmed cues go to out."""
-    span = 1 / max(0.25, fps)
-    if text is None or not text.strip():
-        s["cand"] = None
-        if s["active"] is None:
-            s["empty"] = 0
-            return
-        if s["empty"] == 0:
-            s["since"] = at
-        s["empty"] += 1
-        if s["empty"] >= 2:
-            _commit(s, max(s["since"], s["active"]["start"] + span), out)
-            s["empty"] = 0
-        return
-    text = accept(text)
-    if text is None:
-        s["cand"] = None
-        return
-    a = s["active"]
-    if a is not None and alike(text, a["text"]):
-        s["empty"], s["cand"] = 0, None
-        a["end"] = max(a["end"], at + span)
-        _merge(a, text, conf)
+def _on_blank(s: dict, at: float, span: float, accept: Callable, out: list) -> None:
+    s["cand"] = None
+    if s["active"] is None:
+        s["empty"] = 0
         return
-    c, need = s["cand"], 3 if len(text) <= 1 or conf < low else 2
+    s.update(since=s["since"] if s["empty"] else at, empty=s["empty"] + 1)
+    if s["empty"] >= EMPTY_ENDS:
+        _end_cue(s, max(s["since"], s["active"]["start"] + span), accept, out)
+        s["empty"] = 0
+
+
+def _on_reading(s: dict, at: float, text: str, conf: float, span: float, low: float, accept: Callable, out: list) -> None:
+    doubtful, seen = len(text) <= 1 or conf < low, s["cand"]
+    needs = DOUBTFUL_READINGS if doubtful else READINGS
     s["empty"] = 0
-    if c is None or at - c["last"] > max(0.75, 2.5 * span) or not alike(text, c["text"]):
-        s["cand"] = {"text": text, "start": at, "last": at, "conf": conf, "hits": 1, "need": need}
+    again = seen is not None and at - seen["last"] <= max(READING_GAP, READING_FRAMES * span) and similarity(text, seen["text"]) >= SAME
+    if not again:
+        s["cand"] = {"text": text, "start": at, "last": at, "conf": conf, "hits": 1, "need": needs}
         return
-    c["hits"], c["last"], c["need"] = c["hits"] + 1, at, max(c["need"], need)
-    _merge(c, text, conf)
-    if c["hits"] >= c["need"]:
-        if a is not None:
-            _commit(s, c["start"], out)
-        s["active"] = {"start": c["start"], "end": c["last"] + span, "text": c["text"], "conf": c["conf"]}
+    _refine(seen, text, conf)
+    seen.update(hits=seen["hits"] + 1, last=at, need=max(seen["need"], needs))
+    if seen["hits"] >= seen["need"]:
+        _end_cue(s, seen["start"], accept, out)
+        s.update(cand=None, active={"start": seen["start"], "end": seen["last"] + span, "text": seen["text"], "conf": seen["conf"]})
+
+
+def observe(s: dict, at: float, text: str | None, conf: float, fps: float, low: float, accept: Callable[[str], str | None], out: list) -> None:
+    """One observation; text is None for an empty frame. Confirmed cues go to out."""
+    span, active = 1 / max(0.25, fps), s["active"]
+    if text is None or not text.strip():
+        _on_blank(s, at, span, accept, out)
+    elif (text := accept(text)) is None:
         s["cand"] = None
+    elif active is not None and similarity(text, active["text"]) >= SAME:
+        _refine(active, text, conf)
+        active["end"] = max(active["end"], at + span)
+        s.update(empty=0, cand=None)
+    else:
+        _on_reading(s, at, text, conf, span, low, accept, out)
 
 
-def finish(s: dict, end: float, fps: float, out: list) -> None:
+def finish(s: dict, end: float, fps: float, out: list, accept: Callable[[str], str | None] = lambda t: t) -> None:
+    """The lane's end: what is active goes out."""
     s["cand"] = None
     if s["active"] is not None:
-        _commit(s, max(end, s["active"]["start"] + 1 / max(0.25, fps)), out)
+        _end_cue(s, max(end, s["active"]["start"] + 1 / max(0.25, fps)), accept, out)
 
 
 def track(observations: DataFrame, fps: float = 4.0, low: float = 0.68, accept: Callable[[str], str | None] = lambda t: t) -> DataFrame:
@@ -101,10 +116,10 @@ def track(observations: DataFrame, fps: float = 4.0, low: float = 0.68, accept:
     def one(s: dict, row: list, out: list) -> None:
         at, text, confidence = row
         s["at"] = at
-        step(s["tracker"], at, text, float("nan") if confidence is None else confidence, fps, low, accept, out)
+        observe(s["tracker"], at, text, float("nan") if confidence is None else confidence, fps, low, accept, out)
 
     def end(s: dict, out: list) -> None:
-        finish(s["tracker"], s["at"] + 1 / max(0.25, fps), fps, out)
+        finish(s["tracker"], s["at"] + 1 / max(0.25, fps), fps, out, accept)
 
     return fold(observations, "lane", ["at", "ord"], ["at", "text", "confidence"], begin, one, end, StructType.fromDDL(CUES))
 
@@ -128,10 +143,10 @@ def track_stream(observations: DataFrame, fps: float = 4.0, low: float = 0.68, a
         due = sorted((w for w in wait if w[0] <= mark), key=lambda w: (w[0], w[1]))
         wait = [w for w in wait if w[0] > mark]
         for at, _, text, confidence in due:
-            step(s, at, text, confidence, fps, low, accept, out)
+            observe(s, at, text, confidence, fps, low, accept, out)
         last = due[-1][0] if due else kept["last"]
         if not wait and mark >= last + idle:
-            finish(s, last + span, fps, out)
+            finish(s, last + span, fps, out, accept)
             state.remove()
         else:
             state.update((json.dumps({"tracker": s, "wait": wait, "last": last}),))

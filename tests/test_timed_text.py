@@ -8,15 +8,6 @@ from cueflow.streaming import tracker
 D = "/root/testdata/sf0.001"
 
 
-def test_literal_queries(spark):
-    from cueflow.plans.catalogue import QUERIES
-
-    assert [r["seconds"] for r in QUERIES["timestamp_parse"](spark, D).collect()] == [1.0, 3723.5, 3599.999, None, None, None, None, 36000.25]
-    clean = [r["clean"] for r in QUERIES["script_normalize"](spark, D).collect()]
-    assert clean[0] == "你好，世界！" and clean[1:3] == [None, None] and clean[3] == "B站"
-    assert {r["text"] for r in QUERIES["subtitle_parse_timed"](spark, D).collect()} == {"你好", "世界", "再见"}
-
-
 def test_coalesce_is_the_fold(spark):
     rng = random.Random(3)
     cues = [(rng.randrange(3), i, round(rng.random() * 20, 2), 0.0, rng.choice("ab")) for i in range(200)]
@@ -38,7 +29,7 @@ def test_coalesce_is_the_fold(spark):
 def _active(frames, fps, low):
     s, out = tracker.start_state(), []
     for at, text in frames:
-        tracker.step(s, at, text, 0.60, fps, low, lambda t: None if t == "A N" else t, out)
+        tracker.observe(s, at, text, 0.60, fps, low, lambda t: None if t == "A N" else t, out)
     return s["active"] is not None
 
 
@@ -59,7 +50,7 @@ def test_folds_hold_no_group(spark):
     for lane in (1, 2, None):
         s, out = tracker.start_state(), []
         for _, _, at, text, conf in (r for r in rows if r[0] == lane):
-            tracker.step(s, at, text, conf, 4.0, 0.68, lambda t: t, out)
+            tracker.observe(s, at, text, conf, 4.0, 0.68, lambda t: t, out)
         tracker.finish(s, 299 / 4 + 0.25, 4.0, out)
         want += [(lane, *x) for x in out]
     for source in (1, 2):
