@@ -72,20 +72,27 @@ def hashed(rows: DataFrame, longest: float, as_query: bool) -> DataFrame:
     return rows.mapInPandas(run, "vec_id long, v array<double>, hashes array<long>")
 
 
+def _products(q, x, a, b) -> np.ndarray:
+    """The inner products of pairs of rows, each summed in the same order wherever it stands."""
+    step = max(1, (1 << 22) // max(1, x.shape[1]))
+    return np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", q[a[i : i + step]], x[b[i : i + step]]) for i in range(0, len(a), step)]])
+
+
 def _best(q_ids, q, ids, x, k: int):
-    """The k best rows for each query, without its own: (query, row, score)."""
+    """The k best rows for each query, without its own: (query, row, score). A matrix product, whose last bits depend on a
+    row's place, only chooses what can be among them; scores and ties are decided by `_products`."""
     score = q @ x.T
     score[q_ids[:, None] == ids[None, :]] = -np.inf
     if len(ids) > k:
         edge = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
     else:
         edge = np.full(len(q_ids), -np.inf)
-    a, b = np.nonzero(score >= edge[:, None])
-    s = score[a, b]
+    doubt = 1e-12 * np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1).max(initial=0)) * x.shape[1]
+    a, b = np.nonzero((score >= (edge - doubt)[:, None]) & (score > -np.inf))
+    s = _products(q, x, a, b)
     order = np.lexsort((ids[b], -s, a))
     a, b, s = a[order], b[order], s[order]
-    within = np.arange(len(a)) - np.searchsorted(a, a)
-    ok = (within < k) & (s > -np.inf)
+    ok = np.arange(len(a)) - np.searchsorted(a, a) < k
     return q_ids[a[ok]], ids[b[ok]], s[ok]
 
 
@@ -166,7 +173,8 @@ def search(df: DataFrame, queries_of, k: int = 20, target: int | None = None) ->
     page = F.expr(f"shiftright(hash, {HASH_BITS - page_bits})")
     data = _by_tree(index, "vec_id", "v").withColumn("page", page)
     # a query's pages: its own, or those below its prefix where that is shorter than a page's
-    q = _by_tree(asked, "vec_id", "v", "level").withColumn("short", F.greatest(F.lit(0), F.lit(page_bits) - F.col("level")))
+    # a query that ascends to the root sees all rows in any tree: it looks in the first one only
+    q = _by_tree(asked, "vec_id", "v", "level").filter("level > 0 or tree = 0").withColumn("short", F.greatest(F.lit(0), F.lit(page_bits) - F.col("level")))
     first = F.expr(f"shiftleft(shiftright(hash, {HASH_BITS - page_bits} + short), short)")
     q = q.withColumn("page", F.explode(F.sequence(first, first + F.expr("shiftleft(1L, short)") - 1)))
     size = data.groupBy("tree", "page").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
