@@ -9,7 +9,10 @@ Steps: documents become blocks of about BLOCK_CHARS characters, held as word has
 distinct words and bigrams with their training counts, summed within the block, to partitions by key; a
 partition adds them up and returns to every block the totals of its own keys; blocks and totals are written
 together, for EM statistics and for scores. What travels grows with the distinct n-grams of a block, and a frequent
-word is one row a block. EM itself sees at most BUCKETS x LEVELS x LEVELS cells.
+word is one row a block. There are as many partitions as blocks, so that a partition holds about a block's number of
+keys, and a block gets back one total for each of its own keys, whatever the size of the corpus: all that a task holds
+is bounded by BLOCK_CHARS (or one text, if longer). Exchanges have a row for each block and partition that share a key,
+at most one for each distinct n-gram of a block. EM itself sees at most BUCKETS x LEVELS x LEVELS cells.
 
 Defined cases: null text is empty (one token, the end); null doc_id hashes as an empty string and stays
 null; repeated rows are each counted and scored; without training documents every probability is
@@ -31,7 +34,7 @@ from .common import Scratch, digest_of, only, table
 from .textnum import mix, word_hashes
 
 FOLDS, HELD_OUT, EM_FOLD = 7, 2, 3
-BLOCK_CHARS, LEAST_PARTS, MOST_PARTS = 8_000_000, 64, 4096
+BLOCK_CHARS, LEAST_PARTS = 8_000_000, 16
 BUCKETS, LEVELS = 24, 40
 #: A bigram is known by so many bits more than its number could have: it meets another with a chance of at most 2^-20.
 SPARE_BITS = 20
@@ -198,9 +201,9 @@ def score(docs: DataFrame) -> DataFrame:
     blocks = keep.write(_blocks(docs), "blocks")
     n_blocks, n_tokens = blocks.agg(F.count("*"), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()
     pair_bits = min(64, SPARE_BITS + int(np.ceil(np.log2(n_tokens + 1))))
-    bits = int(np.ceil(np.log2(min(MOST_PARTS, max(LEAST_PARTS, n_blocks / 4)))))
+    bits = int(np.ceil(np.log2(max(LEAST_PARTS, n_blocks))))
     sizes = ("types", "n", "types_e", "n_e")
-    totals = _totals(_requests(blocks, bits, pair_bits))
+    totals = _totals(_requests(blocks, bits, pair_bits).repartition(2 << bits, "o", "p"))
     given = totals.groupBy("block").agg(F.collect_list(F.struct("o", "p", "c", "d")).alias("given"), F.collect_list(F.when(F.col("o") == 1, F.struct("p", *sizes))).alias("sizes"))
     met = keep.write(blocks.join(given, "block"), "met")
     keep.drop(blocks)
