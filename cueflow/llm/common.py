@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cueflow.functions.names import fresh, let  # noqa: F401
+
 #: The white space of the query contracts, as a regular-expression class body.
 WS = r"\x20\x09-\x0D"
 
@@ -25,18 +27,6 @@ def only(df: DataFrame, *types: tuple[str, str]) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in types])
 
 
-def fresh(columns: list[str], *stems: str) -> list[str]:
-    """Names for helper columns that none of these columns has, whatever its case."""
-    taken, out = {c.lower() for c in columns}, []
-    for stem in stems:
-        name = f"_{stem}"
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def scratch_root(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir. Only where it is unset and the session runs in
     a single process (tests), a local one; elsewhere that is an error, as executors don't see each other's disks."""

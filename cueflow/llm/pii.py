@@ -34,8 +34,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, only, table
-from .rules import let
+from .common import fresh, let, only, table
 
 #: The four kinds of the contract, then what the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")

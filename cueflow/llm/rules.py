@@ -27,17 +27,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, Scratch, only, table
+from .common import WS, Scratch, let, only, table
 
 SAMPLE_ROWS, TIMED_ROWS, REPEATS = 2000, 200, 8
 SPACES, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def words(text: Column) -> Column:
     return F.array_remove(F.split(text, f"[{WS}]+"), "")
 

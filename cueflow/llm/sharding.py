@@ -8,7 +8,7 @@ without a shuffle and whatever the skew of any other column.
 
 Defined cases: a null key is placed by the row's text, so that rows without a key spread as well (null
 key and null text: as an empty text); equal keys always share a shard; an empty table gives no rows;
-extra columns are kept as they are.
+extra columns are kept as they are, but columns named slot or shard are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 SLOTS = 65537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -57,11 +57,12 @@ def place(df: DataFrame, key: str = "doc_id", text: str = "text", shards=SHARDS,
     """df with slot (long) and shard (string)."""
     found = lookup(shards, slots, weights)
     names = np.asarray(shards, dtype=object)[found]
-    small = df.sparkSession.createDataFrame(pa.table({"_slot": pa.array(np.arange(slots, dtype=np.int64)), "shard": pa.array(names.tolist(), pa.string())}))
+    (own,) = fresh(df.columns, "slot")
+    small = df.sparkSession.createDataFrame(pa.table({own: pa.array(np.arange(slots, dtype=np.int64)), "shard": pa.array(names.tolist(), pa.string())}))
     fallback = F.coalesce(F.col(text), F.lit("")) if text in df.columns else F.lit("")
     hashed = F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key).cast("string"))).otherwise(F.xxhash64(F.lit("text"), fallback))
     df = df.drop(*({"slot", "shard"} & set(df.columns)))
-    return df.withColumn("slot", F.pmod(hashed, F.lit(slots))).join(F.broadcast(small), F.col("slot") == F.col("_slot"), "left").drop("_slot")
+    return df.withColumn("slot", F.pmod(hashed, F.lit(slots))).join(F.broadcast(small), F.col("slot") == F.col(own), "left").drop(own)
 
 
 def write_shards(df: DataFrame, path: str, **how) -> None:
