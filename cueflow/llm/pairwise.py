@@ -74,7 +74,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.nd
 
     found = rows.mapInArrow(run, "doc_id long, quality int, x array<double>").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "x").limit(2 * SAMPLE).toArrow()
     y = found["quality"].to_numpy()
-    return np.array(found["x"].to_pylist(), np.float64).reshape(len(y), -1), y
+    return np.array(found["x"].to_pylist() or np.zeros((0, 0)), np.float64), y
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> list[float]:
