@@ -195,8 +195,8 @@ def search(df: DataFrame, queries_of, k: int = 20, target: int | None = None) ->
             lo = a["hash"].to_numpy(np.int64) >> cut << cut
             for (low, c), same in a.assign(low=lo, cut=cut).groupby(["low", "cut"]):
                 s, e = np.searchsorted(h, [low, low + (1 << c)])
-                for at in range(0, len(same), 256):
-                    part = same.iloc[at : at + 256]
+                for at in range(0, len(same), 64):
+                    part = same.iloc[at : at + 64]
                     if e > s:
                         out.append(_best(part["vec_id"].to_numpy(np.int64), _matrix(part["v"]), ids[s:e], x[s:e], k))
         return pd.DataFrame({n: np.concatenate([o[i] for o in out]) for i, n in enumerate(("query_id", "vec_id", "score"))})
