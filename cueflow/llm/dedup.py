@@ -34,6 +34,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -122,6 +123,23 @@ def _signed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, hash binary, size long, bands array<long>").withColumn("node", F.when(F.col("size") == 0, F.lit(b"none")).otherwise(F.col("hash")))
 
 
+def _entries(nodes: DataFrame, crowd: DataFrame) -> DataFrame:
+    """id, size, band, key of the nodes' buckets that may be in `crowd`: a filter of its keys spares the others a shuffle."""
+    table_ = sketch.build(crowd, "key")
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            n, keys = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            row = np.repeat(np.arange(len(n)), n)
+            band = np.arange(len(keys)) - np.repeat(np.cumsum(n) - n, n)
+            hit = np.flatnonzero(sketch.hits(table_.value, keys))
+            at = pa.array(row[hit])
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0).take(at), "size": batch.column(1).take(at), "band": pa.array(band[hit].astype(np.int32)), "key": pa.array(keys[hit].view(np.int64))})
+
+    return nodes.select("id", "size", "bands").mapInArrow(run, "id long, size long, band int, key long")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, items): the sorted cells of the wanted nodes (id long, node binary)."""
     table_ = sketch.build(wanted.select(_short(F.col("node")).alias("h")))
@@ -181,10 +199,9 @@ def _roots(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     signed = keep.write(_signed(docs), "signed")
     # ids are frozen by writing them out
     nodes = keep.write(signed.select("node", "size", "bands").dropDuplicates(["node"]).withColumn("id", F.monotonically_increasing_id()), "nodes")
-    entries = nodes.select("id", "size", F.posexplode("bands").alias("band", "key"))
     # what is joined by bucket is written first: both sides are then plain tables, so that a hot bucket's rows are split
-    crowd = keep.write(entries.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1"), "crowd")
-    member = keep.write(entries.join(crowd, ["band", "key"]), "members")  # of buckets with two nodes or more
+    crowd = keep.write(nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "crowd")
+    member = keep.write(_entries(nodes, crowd).join(crowd, "key"), "members")  # of buckets with two nodes or more
     # a bucket's head is its most central node, the one with the fullest buckets over all bands
     central = member.groupBy("id").agg(F.sum("n").alias("c"))
     heads = member.join(central, "id").groupBy("band", "key").agg(F.max(F.struct("c", (-F.col("id")).alias("no"))).alias("top")).select("band", "key", (-F.col("top.no")).alias("head"))
