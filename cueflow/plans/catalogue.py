@@ -227,15 +227,15 @@ def boundary_reconcile(spark, d):
     return intervals.reconcile(seen, plan=seg, accept=F.when(clean != "", clean))
 
 
-@query("""WITH v AS (SELECT l_orderkey AS k, l_linenumber AS n, l_quantity::INT AS q, CASE l_linenumber % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS form FROM lineitem)
-SELECT k AS l_orderkey, n AS l_linenumber, dense_rank() OVER (PARTITION BY k ORDER BY q, form, CASE WHEN form = 2 THEN 0 ELSE n END) AS place FROM v""")
+@query("""WITH v AS (SELECT o_orderkey, o_custkey AS k, o_orderkey % 7 AS n, o_orderkey % 50 AS q, CASE o_orderkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS form FROM orders)
+SELECT o_orderkey, dense_rank() OVER (PARTITION BY k ORDER BY q, form, CASE WHEN form = 2 THEN 0 ELSE n END) AS place FROM v""")
 def version_order(spark, d):
-    """An order's lines as versions: 1.q-alpha.n before 1.q-Beta n, and these before v1.q+n, whatever follows the plus."""
-    q, n = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string")
-    form = F.col("l_linenumber") % 3
-    raw = F.when(form == 0, F.concat(F.lit("v1."), q, F.lit("+"), n)).when(form == 1, F.concat(F.lit("1."), q, F.lit("-alpha."), n)).otherwise(F.concat(F.lit("1."), q, F.lit(".0-Beta"), n))
-    place = F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy(version_key(raw)))
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", place.cast("long").alias("place"))
+    """A customer's orders as versions: 1.q-alpha.n before 1.q-Beta n, and these before v1.q+n, whatever follows the plus."""
+    k = F.col("o_orderkey")
+    q, n = (k % 50).cast("string"), (k % 7).cast("string")
+    raw = F.when(k % 3 == 0, F.concat(F.lit("v1."), q, F.lit("+"), n)).when(k % 3 == 1, F.concat(F.lit("1."), q, F.lit("-alpha."), n)).otherwise(F.concat(F.lit("1."), q, F.lit(".0-Beta"), n))
+    place = F.dense_rank().over(Window.partitionBy("o_custkey").orderBy(version_key(raw)))
+    return read(spark, d, "orders").select("o_orderkey", place.cast("long").alias("place"))
 
 
 @query("""WITH p AS (SELECT p_partkey, CAST(p_size AS INT) AS cores, p_size::DOUBLE AS vram, ['cpu', ' GPU ', 'Hybrid', 'auto'][p_partkey % 4 + 1] AS mode, p_partkey % 5 = 0 AS none FROM part),
