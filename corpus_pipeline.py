@@ -1,4 +1,10 @@
-"""A corpus pipeline of five of the operators; every stage works on what the one before kept."""
+"""A corpus pipeline of five of the operators; every stage works on what the one before kept.
+
+Defined cases of every stage: a null text counts as empty, which the first stage rejects for too few words; rows with a
+null or repeated doc_id are documents of their own, of which the third stage leaves one where their texts are near copies
+(the least doc_id, then the least hash of the text); very long texts are worked on whole; extra columns, also clashing
+ones, go with the first stage; an empty table gives an empty table of the same columns.
+"""
 
 from __future__ import annotations
 
@@ -11,12 +17,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule rejects."""
+    """Documents that no rule rejects, whatever the order of the rules."""
     return rules.keep(docs).select(*COLUMNS)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents at or above the score's threshold."""
+    """Documents at or above the score's threshold; all of them where a label is missing among the training rows."""
     return pairwise.keep(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
@@ -37,8 +43,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("quality_classifier", quality_classifier), ("near_dedup", near_dedup), ("personal_data", personal_data), ("packing", pack)]
 
-#: The stages for near copies and packing are beyond SQL; a test holds the rows kept of near copies against all pairs,
-#: packing is tested on hard cases only.
+#: The stages for near copies and packing are beyond SQL; a test holds every stage against plain Python or its operator,
+#: near copies against all pairs.
 ORACLE_SQL = None
 
 
@@ -46,5 +52,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; the others are written to the shared folder and read again."""
     docs, keep = table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = keep.write(stage(spark, docs, sf_dir), name)
+        kept = keep.write(stage(spark, docs, sf_dir), name)
+        keep.drop(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
