@@ -153,8 +153,8 @@ def candidates(text: Column) -> Column:
     }
 
     def strict(k: str) -> Column:
-        """Matches of the base pattern, those that fail their check marked as no base spans."""
-        long = lambda x: F.length(_digits(x["m"])) >= 9 if k in ("card", "phone") else F.lit(True)
+        """Matches of the base pattern; numbers that fail their check are no base spans, an address that fails is nothing."""
+        long = lambda x: F.length(_digits(x["m"])) >= 9 if k in ("card", "phone") else valid(k, x["m"])
         return F.transform(F.filter(F.when(could[k], _matches(text, BASE[k])).otherwise(none), long), lambda x: _votes(k, x, valid(k, x["m"])))
 
     def loose(k: str) -> Column:

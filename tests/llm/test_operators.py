@@ -72,7 +72,7 @@ def test_chat_round_trip(spark):
     from cueflow.llm import chat
 
     rows = [(1, 0, "user", "a % </s> <|end|>\n b"), (1, 1, "assistant", "[INST] %3C ok"), (1, 2, "assistant", None), (None, None, None, "x"), (2, 0, "user", "q")]
-    got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    got = {r["conv_id"]: r for r in chat.read_back(chat.expand(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()}
     text = "".join(f"{r or ''}\n{t or ''}\n" for c, _, r, t in rows if c == 1)
     assert got[1]["turns_sha256"] == hashlib.sha256(text.encode()).hexdigest() and got[1]["loss_chars"] == 13 and got[1]["n_examples"] == 2
     assert got[None]["n_turns"] == 1 and got[2]["loss_sha256"] == hashlib.sha256(b"").hexdigest()
