@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import itertools
 import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueflow.functions.names import fresh, let  # noqa: F401
@@ -87,3 +88,21 @@ _CLEARED: set[str] = set()
 def digest_of(df: DataFrame) -> Column:
     """crc32 of doc_id as text, the fold function of the contracts (null: of the empty string)."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+
+
+def running(df: DataFrame, order: list[Column], value: Column, name: str, keep: Scratch) -> DataFrame:
+    """df with `name`: the sum of value (long) over all rows before this one in the order, which must tell rows apart.
+
+    Rows are dealt to tasks by ranges of the order and written; each task sums its own, the driver adds up one sum a task,
+    and what comes before a task's rows goes back by a broadcast of as many rows as there are tasks. No task holds more
+    than its range, whatever key holds most rows. df is read twice (a sample finds the ranges), so it should be a table."""
+    spark = df.sparkSession
+    part, before, own = fresh(df.columns, "part", "before", "value")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keep.write(df.withColumn(own, value.cast("long")).repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()), name)
+    sums = sorted((r[0], r[1]) for r in dealt.groupBy(part).agg(F.sum(own)).collect())
+    starts = itertools.accumulate([s for _, s in sums], initial=0)
+    small = spark.createDataFrame([(p, at) for (p, _), at in zip(sums, starts)], f"`{part}` int, `{before}` long")
+    w = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.withColumn(name, F.coalesce(F.sum(own).over(w), F.lit(0)))
+    return out.join(F.broadcast(small), part).withColumn(name, F.col(name) + F.col(before)).drop(part, before, own)

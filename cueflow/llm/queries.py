@@ -16,6 +16,9 @@ MODULES = {
     "op8_quality": "pairwise",
     "op9_dedup": "dedup",
     "op10_rules": "rules",
+    "op11_audit": "audit",
+    "op12_mixing": "apportion",
+    "op13_spelling": "spelling",
 }
 
 
