@@ -11,7 +11,7 @@ of them. The quotients are not listed: a divisor gives all seats but about as ma
 next to the border are ranked. A source's k-th block is then the k-th of its line from a seeded start on, around and
 around; the line being in seeded order, that is a seeded choice.
 
-Blocks have one word for every 2^20 of all words, 1 to 1,024. A document's pieces are found from its place in the line:
+Blocks have one word for every 2^18 of all words, 1 to 1,024. A document's pieces are found from its place in the line:
 one row a document, no row for a block. Its place is a running sum over ranges of (source, hash), so a source that holds
 most rows is spread over as many tasks as its rows need; sources are a table, joined as its size allows.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import WS, Scratch, only, running, table
 
 WEIGHTS, MOST, SHARDS, SEED = (5, 2, 1), 3, 8, "mix"
-BLOCKS, LONGEST_BLOCK = 1 << 20, 1024
+BLOCKS, LONGEST_BLOCK = 1 << 18, 1024
 PIECE = "array<struct<shard: int, block: long, pass: int, word_start: long, word_end: long>>"
 
 
@@ -132,7 +132,7 @@ ORACLE_SQL = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS uid, doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) END AS size,
   md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h FROM documents),
 p AS (SELECT *, [5, 2, 1][place % 3 + 1] AS w FROM (SELECT source, sum(size)::HUGEINT AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source)),
-g AS (SELECT sum(s)::HUGEINT AS t, greatest(1, least(1024, sum(s) // 1048576))::BIGINT AS b FROM p),
+g AS (SELECT sum(s)::HUGEINT AS t, greatest(1, least(1024, sum(s) // 262144))::BIGINT AS b FROM p),
 v AS (SELECT 0 AS i, t AS num, (SELECT sum(w)::HUGEINT FROM p) AS den FROM g
   UNION ALL SELECT i + 1, n.num, n.den FROM (SELECT any_value(v.i) AS i, any_value(v.num) AS o, any_value(v.den) AS od, any_value(g.t) - coalesce(sum(CASE WHEN 3 * s * v.den <= w * v.num THEN 3 * s END), 0) AS num, coalesce(sum(CASE WHEN 3 * s * v.den > w * v.num THEN w END), 0)::HUGEINT AS den FROM v, p, g) n
     WHERE n.i < 1000 AND n.den > 0 AND (n.num <> n.o OR n.den <> n.od)),
