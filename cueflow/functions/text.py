@@ -25,7 +25,7 @@ def script_normalize(x: Column) -> Column:
     clean = F.regexp_replace(collapse_space(x), rf"([{MARKS}])(?:\s*\1)+", "$1")
     han, latin = F.regexp_count(clean, F.lit(f"[{HAN}]")), F.regexp_count(clean, F.lit("[A-Za-z]"))
     foreign = clean.rlike(f"[{OTHER_SCRIPTS}]") | clean.rlike(rf"[\p{{L}}&&[^A-Za-z{HAN}]]")
-    lone = clean.rlike(rf"(?U)(?:^|\s)[A-Za-z]+(?=\s|[{MARKS}]|$)")
+    lone = clean.rlike(rf"(?U)(?:^|\s)[A-Za-z]+(?=\s|[{MARKS}…]|$)")
     return F.when((han > 0) & ~foreign & ~lone & (latin <= F.greatest(F.lit(6), 2 * han)), clean)
 
 
@@ -200,8 +200,8 @@ def first_filled(*values: Column) -> Column:
 def lower_keys(m: Column) -> Column:
     """A map whose keys don't depend on case; of equal ones the last in order stays."""
     entries = F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
-    later = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])
-    return F.map_from_entries(F.filter(entries, lambda e, i: ~later(e, i)))
+    later = lambda es, e, i: F.exists(F.slice(es, i + 2, F.size(es)), lambda x: x["key"] == e["key"])
+    return F.map_from_entries(let(entries, lambda es: F.filter(es, lambda e, i: ~later(es, e, i))))
 
 
 def identity_key(*parts: Column, length: int = 64) -> Column:
@@ -220,15 +220,18 @@ def key_values(x: Column) -> Column:
     split = lambda p: F.struct(trimmed(F.substring_index(p, "=", 1)).alias("name"), trimmed(F.substr(p, F.instr(p, "=") + 1)).alias("value"))
     fine = lambda e: e["name"].rlike(r"^[a-zA-Z0-9!#$%&'*+.^_`|~-]+$") & e["value"].rlike(r"^[^\x00-\x1F\x7F;]*$")
     parts = F.filter(F.transform(F.filter(F.split(plain, ";"), lambda p: p.contains("=")), split), fine)
-    seen = lambda e, i: F.exists(F.slice(parts, F.lit(1), i), lambda y: F.lower(y["name"]) == F.lower(e["name"]))
-    return F.filter(parts, lambda e, i: ~seen(e, i))
+    seen = lambda ps, e, i: F.exists(F.slice(ps, F.lit(1), i), lambda y: F.lower(y["name"]) == F.lower(e["name"]))
+    return let(parts, lambda ps: F.filter(ps, lambda e, i: ~seen(ps, e, i)))
 
 
 # File names that the system keeps for itself.
 RESERVED = ("CON", "PRN", "AUX", "NUL", *(f"{d}{i}" for d in ("COM", "LPT") for i in range(1, 10)))
 
 
-def safe_filename(x: Column) -> Column:
-    clean = F.substring(F.regexp_replace(F.regexp_replace(x, r'[<>:"/\\|?*\x00-\x1F]', "_"), r"^[ .]+|[ .]+$", ""), 1, 150)
-    clean = F.when(F.length(clean) == 0, "file").otherwise(clean)
-    return F.when(F.upper(F.substring_index(clean, ".", 1)).isin(*RESERVED), F.concat(F.lit("_"), clean)).otherwise(clean)
+def safe_filename(x: Column, fallback: str = "file") -> Column:
+    """Trimmed, characters that no name may have as _, blanks and dots at the ends gone, 150 characters at most; null or
+    blank is the fallback. A name that is reserved up to its last dot gets a _ before it."""
+    clean = F.regexp_replace(trimmed(F.coalesce(x, F.lit(""))), r'[<>:"/\\|?*\x00-\x1F]', "_")
+    clean = F.substring(F.regexp_replace(clean, r"^[ .]+|[ .]+$", ""), 1, 150)
+    named = lambda c: F.when(trimmed(c) == "", fallback).when(F.upper(F.regexp_replace(c, r"\.[^.]*$", "")).isin(*RESERVED), F.concat(F.lit("_"), c)).otherwise(c)
+    return let(clean, named)

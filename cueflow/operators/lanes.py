@@ -11,12 +11,23 @@ from cueflow.functions.names import fresh
 CHUNK_MOST, CHUNK_LEAST = 4 << 20, 1 << 20
 
 
+def lane_plans(df: DataFrame, duration: Column, lanes: Column, overlap: Column) -> DataFrame:
+    """df with index, core_start, core_end, lanes, scan_start, scan_end, a row for each lane: equal cores, overlapped, clipped;
+    1 to 16 lanes of two minutes or more. A row without a duration has no lanes."""
+    long, n, over = fresh(df.columns, "duration", "lanes", "overlap")
+    df = df.withColumn(long, duration.cast("double")).filter(F.col(long).isNotNull()).withColumn(over, overlap.cast("double"))
+    most = F.least(lanes, F.lit(16), F.greatest(F.lit(1), F.floor(F.col(long) / 120)))
+    df = df.withColumn(n, F.greatest(F.lit(1), most).cast("int"))
+    df = df.withColumn("index", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    size = F.col(long) / F.col(n)
+    df = df.withColumn("core_start", F.col("index") * size).withColumn("core_end", (F.col("index") + 1) * size).withColumn("lanes", F.col(n))
+    df = df.withColumn("scan_start", F.greatest(F.lit(0.0), F.col("core_start") - F.col(over))).withColumn("scan_end", F.least(F.col(long), F.col("core_end") + F.col(over)))
+    return df.drop(long, n, over)
+
+
 def lane_plan(spark: SparkSession, duration: float, lanes: int, overlap: float) -> DataFrame:
-    """index, core_start, core_end, scan_start, scan_end, lanes: equal cores, overlapped, clipped; 1 to 16 lanes."""
-    n = max(1, min(lanes, 16, max(1, int(duration // 120))))
-    i, size = F.col("id"), duration / n
-    df = spark.range(n).select(i.cast("int").alias("index"), (i * size).alias("core_start"), ((i + 1) * size).alias("core_end"), F.lit(n).alias("lanes"))
-    return df.withColumn("scan_start", F.greatest(F.lit(0.0), F.col("core_start") - overlap)).withColumn("scan_end", F.least(F.lit(float(duration)), F.col("core_end") + overlap))
+    """The same for one duration."""
+    return lane_plans(spark.range(1).select(), F.lit(float(duration)), F.lit(lanes), F.lit(float(overlap)))
 
 
 def lane_observations(plan: DataFrame, fps: float, saved: Column | None = None) -> DataFrame:

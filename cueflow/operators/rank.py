@@ -43,13 +43,15 @@ def best_class(df: DataFrame, keys: list, cls: Column) -> DataFrame:
 
 
 def precedence_union(sources: list[DataFrame], key: Column, order: list[Column]) -> DataFrame:
-    """Earlier sources win on equal keys (case ignored); within a source the first row by order."""
+    """Earlier sources win on equal keys (case ignored); within a source the first row by order. Rows without a key (null)
+    are equal to none and all stay."""
     every = None
     for i, s in enumerate(sources):
         s = s.withColumn("src_rank", F.lit(i))
         every = s if every is None else every.unionByName(s)
-    (k,) = fresh(every.columns, "key")
-    return first_by(every.withColumn(k, F.lower(key)), [k], [F.col("src_rank"), *order]).drop(k)
+    k, own = fresh(every.columns, "key", "own")
+    every = every.withColumn(k, F.lower(key)).withColumn(own, F.when(F.col(k).isNull(), F.monotonically_increasing_id()))
+    return first_by(every, [k, own], [F.col("src_rank"), *order]).drop(k, own)
 
 
 def enrich(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, small: int = 8 << 20) -> DataFrame:

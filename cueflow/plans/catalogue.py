@@ -54,9 +54,13 @@ def text_distinct_first(spark, d):
     return read(spark, d, "events").groupBy("user_id", F.col("event_type").alias("text")).agg(F.min("event_id").alias("ord"))
 
 
-@query("""SELECT CAST(i AS INT) AS "index", i * 450.0::DOUBLE AS core_start, (i + 1) * 450.0::DOUBLE AS core_end, greatest(0.0::DOUBLE, i * 450.0::DOUBLE - 12) AS scan_start, least(3600.0::DOUBLE, (i + 1) * 450.0::DOUBLE + 12) AS scan_end FROM range(8) t(i)""")
+@query("""WITH t AS (SELECT doc_id, n_chars::DOUBLE AS d, greatest(1, least(8, n_chars // 120)) AS n FROM documents WHERE n_chars IS NOT NULL), l AS (SELECT doc_id, d, d / n AS size, unnest(range(0, n)) AS i FROM t)
+SELECT doc_id, CAST(i AS INT) AS "index", round(i * size, 6) AS core_start, round((i + 1) * size, 6) AS core_end, round(greatest(0, i * size - 12), 6) AS scan_start, round(least(d, (i + 1) * size + 12), 6) AS scan_end FROM l""")
 def lane_plan(spark, d):
-    return lanes.lane_plan(spark, 3600.0, 8, 12.0).drop("lanes")
+    """A document's characters as seconds of media."""
+    docs = read(spark, d, "documents").select("doc_id", "n_chars")
+    times = [F.round(c, 6).alias(c) for c in ("core_start", "core_end", "scan_start", "scan_end")]
+    return lanes.lane_plans(docs, F.col("n_chars"), F.lit(8), F.lit(12)).select("doc_id", "index", *times)
 
 
 @query("""WITH t AS (SELECT doc_id, n_chars * 4096 AS total FROM documents WHERE n_chars > 0), c AS (SELECT *, CAST(least(4194304, greatest(1048576, ceil(total / 8))) AS BIGINT) AS chunk FROM t)
@@ -177,9 +181,12 @@ def redact(spark, d):
     return read(spark, d, "documents").select("doc_id", T.redact(F.concat(F.coalesce("text", F.lit("")), secrets)).alias("text"))
 
 
-@query(r"""WITH c AS (SELECT page_id, substr(regexp_replace(regexp_replace(url, '[<>:"/\\|?*\x00-\x1F]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), 1, 150) AS n FROM pages) SELECT page_id, CASE WHEN n = '' THEN 'file' ELSE n END AS name FROM c""")
+@query(r"""WITH c AS (SELECT page_id, substr(regexp_replace(regexp_replace(url, '[<>:"/\\|?*\x00-\x1F]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), 1, 150) AS n FROM pages) SELECT page_id, CASE page_id % 7 WHEN 0 THEN '_con.' || page_id WHEN 1 THEN 'CON.a.' || page_id WHEN 2 THEN 'name' || page_id WHEN 3 THEN 'file' WHEN 4 THEN 'file' ELSE CASE WHEN n = '' THEN 'file' ELSE n END END AS name FROM c""")
 def filename_sanitize(spark, d):
-    return read(spark, d, "pages").select("page_id", T.safe_filename(F.col("url")).alias("name"))
+    """Pages' urls as names, between reserved ones with one ending and with two, tabs at the ends, blanks and nulls."""
+    k, n = F.col("page_id").cast("string"), F.col("page_id") % 7
+    raw = F.when(n == 0, F.concat(F.lit("con."), k)).when(n == 1, F.concat(F.lit("CON.a."), k)).when(n == 2, F.concat(F.lit("\tname"), k, F.lit("\u00a0"))).when(n == 3, " . ").when(n != 4, F.col("url"))
+    return read(spark, d, "pages").select("page_id", T.safe_filename(raw).alias("name"))
 
 
 @query("""WITH t AS (SELECT o_orderkey AS k, o_orderkey % 60 AS m, o_orderkey % 75 AS s, o_orderkey // 60 AS h FROM orders)
@@ -192,19 +199,18 @@ def timestamp_parse(spark, d):
     return read(spark, d, "orders").select("o_orderkey", T.parse_time(raw).alias("whole"), T.parse_time(F.format_string("%d:%02d", k % 60, k % 75)).alias("short"), T.parse_time(bad).alias("bad"))
 
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '你好 ' || event_id || '，世界！' WHEN 1 THEN NULL WHEN 2 THEN 'VIP会员' || event_id WHEN 3 THEN NULL ELSE '今天！' || event_id END AS clean FROM events""")
+@query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN '你好 ' || event_id || '，世界！' WHEN 2 THEN 'VIP会员' || event_id WHEN 4 THEN '今天！' || event_id END AS clean FROM events""")
 def script_normalize(spark, d):
-    """An event's id within Han text: marks collapse; a lone Latin word and another script are refused."""
-    k, n = F.col("event_id").cast("string"), F.col("event_id") % 5
-    raw = F.when(n == 0, F.concat(F.lit("你好  "), k, F.lit("， ，世界！！"))).when(n == 1, F.concat(F.lit("你好 ABC "), k)).when(n == 2, F.concat(F.lit("VIP会员"), k)).when(n == 3, F.concat(F.lit("你好 テスト"), k)).otherwise(F.concat(F.lit(" 今天！ ！"), k))
+    """An event's id within Han text: marks collapse; a lone Latin word (also before an ellipsis) and another script are refused."""
+    k, n = F.col("event_id").cast("string"), F.col("event_id") % 7
+    raw = F.when(n == 0, F.concat(F.lit("你好  "), k, F.lit("， ，世界！！"))).when(n == 1, F.concat(F.lit("你好 ABC "), k)).when(n == 2, F.concat(F.lit("VIP会员"), k)).when(n == 3, F.concat(F.lit("你好 テスト"), k)).when(n == 4, F.concat(F.lit(" 今天！ ！"), k)).when(n == 5, F.concat(F.lit("ABC…你好"), k)).otherwise(F.concat(F.lit("你好 ABC…"), k))
     return read(spark, d, "events").select("event_id", T.script_normalize(raw).alias("clean"))
 
 
-@query("SELECT page_id, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 9) AS sim FROM (SELECT page_id, regexp_replace(url, '[^ -~]', '', 'g') AS a, reverse(regexp_replace(url, '[^ -~]', '', 'g')) AS b FROM pages)")
+@query("SELECT page_id, round(1 - levenshtein(url, reverse(url)) / greatest(length(url), length(reverse(url))), 9) AS sim FROM pages")
 def similarity(spark, d):
-    """An url against itself read backwards, in ASCII (DuckDB's distance is one of bytes)."""
-    a = F.regexp_replace("url", "[^ -~]", "")
-    return read(spark, d, "pages").select("page_id", F.round(T.similarity(a, F.reverse(a)), 9).alias("sim"))
+    """An url (ASCII in the tables, as DuckDB's distance is one of bytes) against itself read backwards."""
+    return read(spark, d, "pages").select("page_id", F.round(T.similarity(F.col("url"), F.reverse("url")), 9).alias("sim"))
 
 
 @query()

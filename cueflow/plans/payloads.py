@@ -21,14 +21,15 @@ PER_PAYLOAD = 50
 
 def payloads(spark: SparkSession, d: str, kinds: tuple[str, ...]) -> DataFrame:
     """source_id, payload: fifty events each; of several kinds the one whose turn it is. An event's text is its type in tags
-    and its id after an entity; of every eleventh it is blank, every fifth has no start."""
+    and its id after an entity; of every eleventh it is blank, every fifth has no start. In timed text a line of a hard blank
+    ends a cue, and what follows is a block without times."""
     e = read(spark, d, "events").withColumn("source_id", F.floor(F.col("event_id") / PER_PAYLOAD).cast("long")).withColumn("no", (F.col("event_id") % PER_PAYLOAD).cast("int"))
     text = F.when(F.col("event_id") % 11 == 0, " ").otherwise(F.concat("event_type", F.lit(" &amp; "), F.col("event_id").cast("string")))
     start = F.when(F.col("event_id") % 5 != 0, F.col("no") * 2.0)
     end = F.col("no") * 2.0 + 1.25
     flat = F.struct(start.alias("from"), end.alias("to"), text.alias("content"))
     segmented = F.struct((start * 1000).alias("tStartMs"), F.lit(1250.0).alias("dDurationMs"), F.array(F.struct(F.left(text, F.lit(3)).alias("utf8")), F.struct(F.substr(text, F.lit(4)).alias("utf8"))).alias("segs"))
-    block = F.concat_ws("\n", F.col("no").cast("string"), F.concat(T.srt_time(F.coalesce(start, F.lit(0.0))), F.lit(" --> "), T.srt_time(end), F.lit(" position:10%")), F.concat(F.lit("<b>"), text, F.lit("</b>")))
+    block = F.concat_ws("\n", F.col("no").cast("string"), F.concat(T.srt_time(F.coalesce(start, F.lit(0.0))), F.lit(" --> "), T.srt_time(end), F.lit(" position:10%")), F.concat(F.lit("<b>"), text, F.lit("</b>\n\u00a0\nafter a line of a hard blank")))
     groups = e.groupBy("source_id").agg(F.sort_array(F.collect_list(F.struct("no", flat.alias("flat"), segmented.alias("segmented"), block.alias("block")))).alias("rows"))
     of = lambda c: F.transform("rows", lambda r: r[c])
     made = {"flat": F.to_json(F.struct(of("flat").alias("body"))), "segmented": F.concat(F.lit("\n "), F.to_json(F.struct(of("segmented").alias("events")))), "timed": F.concat(F.lit("WEBVTT\r\n\r\n"), F.array_join(of("block"), "\r\n\r\n"))}
@@ -47,7 +48,7 @@ _PLACE = "(SELECT event_id // 50 AS p, CAST(event_id % 50 AS INT) AS pn, CAST(ro
 def _cues_sql(kind: str) -> str:
     """kind: flat, segmented, timed, or turns (each payload in turn)."""
     end = {"flat": "b", "segmented": "CASE WHEN unset THEN 1.25::DOUBLE ELSE b END", "timed": "b"}
-    ords = {"flat": "ord", "segmented": "ord", "timed": "ord + 1"}
+    ords = {"flat": "ord", "segmented": "ord", "timed": "2 * ord + 1"}
     if kind != "turns":
         e, o = end[kind], ords[kind]
     else:
@@ -275,13 +276,12 @@ def resume_parts(spark, d):
     return out.select(F.col("source_id").alias("doc_id"), "parts", "bytes")
 
 
-@query("SELECT md5(string_agg(content, '' ORDER BY content)) AS digest, count(*) AS n FROM (SELECT user_id, string_agg(event_type, chr(10) ORDER BY i) || chr(10) AS content FROM (SELECT user_id, event_type, min(event_id) AS i FROM events GROUP BY ALL) GROUP BY 1)")
+@query("SELECT user_id, md5(string_agg(event_type, chr(10) ORDER BY i) || chr(10)) AS digest FROM (SELECT user_id, event_type, min(event_id) AS i FROM events GROUP BY ALL) GROUP BY 1")
 def render_text(spark, d):
-    """Each user's event types once, in order; digests of all files together."""
+    """Each user's event types once, in order, as a digest of the user's file."""
     cues = read(spark, d, "events").select("user_id", F.col("event_type").alias("text"), "event_id")
     files = render.plain_text(cues, ["user_id"], F.col("event_id"))
-    whole = files.agg(F.array_join(F.sort_array(F.collect_list("content")), "").alias("all"), F.count("*").alias("n"))
-    return whole.select(F.md5(F.col("all").cast("binary")).alias("digest"), "n")
+    return files.select("user_id", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
 @query("""WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS no, row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 1000 AS a FROM events WHERE event_type <> 'error'),

@@ -46,7 +46,7 @@ def timed_cues(payload: Column) -> Column:
         place = lambda ts: F.array_position(F.transform(ts, lambda t: t["a"].isNotNull() & t["b"].isNotNull()), F.lit(True)).cast("int")
         return let(F.transform(lines, times), lambda ts: let(place(ts), lambda at: opened(ts, at)))
 
-    blocks = F.split(F.replace(payload, F.lit("\r"), F.lit("")), r"\n[ \t]*(?:\n[ \t]*)+")
+    blocks = F.split(F.replace(payload, F.lit("\r"), F.lit("")), r"(?U)\n[\s&&[^\n]]*(?:\n[\s&&[^\n]]*)+")
     return F.transform(F.transform(blocks, lambda b: F.split(b, "\n")), cue)
 
 
