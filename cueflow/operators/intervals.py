@@ -2,29 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from cueflow.functions.distance import similarity
-from cueflow.functions.names import fresh
-
-from .folds import fold
+from cueflow.functions import text as T
+from cueflow.functions.names import fresh, let
+from cueflow.operators import scan
 
 # Gaps in seconds, likeness of texts, and the length of a cue that ends before it starts.
 GAP, FUZZY_GAP, ALIKE, SHORTEST = 0.15, 0.25, 0.82, 1.5
 
 
-def coalesce(cues: DataFrame, source: str = "source_id") -> DataFrame:
-    """source, start, end, text: neighbours of equal text that touch within GAP become one (windows only)."""
-    new, run_, reach, island = fresh(cues.columns, "new", "run", "reach", "island")
-    c = cues.withColumn("end", F.when(F.col("end") <= F.col("start"), F.col("start") + SHORTEST).otherwise(F.col("end")))
-    order = Window.partitionBy(source).orderBy("start", "ord")
-    c = c.withColumn(new, F.coalesce((F.lag("text").over(order) != F.col("text")).cast("int"), F.lit(1))).withColumn(run_, F.sum(new).over(order))
-    run = Window.partitionBy(source, run_).orderBy("start", "ord")
-    c = c.withColumn(reach, F.max("end").over(run.rowsBetween(Window.unboundedPreceding, -1)))
-    c = c.withColumn(island, F.sum(F.coalesce((F.col("start") > F.col(reach) + GAP).cast("int"), F.lit(1))).over(run))
-    return c.groupBy(source, run_, island).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("text").alias("text")).drop(run_, island)
+def coalesce(cues: DataFrame, source: str = "source_id", cell_rows: int = scan.CELL_ROWS) -> DataFrame:
+    """source, start, end, text: neighbours of equal text that touch within GAP become one. Windows run over cells of a
+    source's time, so that a source of any size is spread; a null text joins no other, a null source is one of its own."""
+    key, cell, at = fresh(cues.columns, "key", "cell", "at")
+    c = cues.select(source, "start", F.when(F.col("end") <= F.col("start"), F.col("start") + SHORTEST).otherwise(F.col("end")).alias("end"), "text", "ord")
+    c = scan.runs(scan.cells(c, source, "start", key, cell, cell_rows), key, cell, at, ["start", "ord"], GAP, {})
+    return c.select(F.col(key)[source].alias(source), "start", "end", "text")
 
 
 def own(cues: DataFrame, segments: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -35,37 +30,49 @@ def own(cues: DataFrame, segments: DataFrame, keys: list[str] | None = None) ->
     return cues.join(segments.withColumn("lane", F.col("index")), ["lane", *(keys or [])]).filter(inside)
 
 
-def islands(cues: DataFrame, source: str, gap: float, name: str) -> DataFrame:
-    """cues with a number that grows with start wherever no earlier cue of the source reaches within the gap: no merge crosses that."""
-    (reach,) = fresh(cues.columns, "reach")
-    order = Window.partitionBy(source).orderBy("start", "lane", "ord")
-    c = cues.withColumn(reach, F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    return c.withColumn(name, F.sum(F.coalesce((F.col("start") > F.col(reach) + gap).cast("int"), F.lit(1))).over(order)).drop(reach)
+def _apart(a: Column, b: Column) -> Column:
+    """Whether no text that is alike to a can be alike to b: by the triangle inequality of the edit distance, as such a text
+    is at most (1 - ALIKE) of its length away from a, and so at most 1 / ALIKE times as long."""
+    longest = F.length(a) / ALIKE
+    return F.levenshtein(a, b) > (1 - ALIKE) * (longest + F.greatest(longest, F.length(b))) + 1e-6
+
+
+_ONE = "struct<start: double, `end`: double, text: string, confidence: double, n: long>"
+
+
+def _merged(rows: Column) -> Column:
+    """A chain's cues in order as an array of merged ones: each is alike to the first text of those that it joins."""
 
+    def step(s: Column, x: Column) -> Column:
+        o = s["open"]
+        joins = F.coalesce((x["start"] <= o["end"] + FUZZY_GAP) & (T.similarity(o["text"], x["text"]) >= ALIKE), F.lit(False))
+        both = F.struct(o["start"].alias("start"), F.greatest(o["end"], x["end"]).alias("end"), o["text"].alias("text"), F.greatest(o["confidence"], x["confidence"]).alias("confidence"), (o["n"] + x["n"]).alias("n"))
+        return F.when(joins, _state(s["done"], both)).otherwise(_state(F.concat(s["done"], F.array(o)), x))
 
-def reconcile(cues: DataFrame, source: str = "source_id", plan: DataFrame | None = None, plan_keys: list[str] | None = None, accept: Column | None = None) -> DataFrame:
+    return F.aggregate(F.slice(rows, 2, F.size(rows)), _state(F.array(), rows[0]), step, lambda s: F.concat(s["done"], F.array(s["open"])))
+
+
+def _state(done: Column, open_: Column) -> Column:
+    return F.struct(done.cast(f"array<{_ONE}>").alias("done"), open_.cast(_ONE).alias("open"))
+
+
+def reconcile(cues: DataFrame, source: str = "source_id", plan: DataFrame | None = None, plan_keys: list[str] | None = None, accept: Column | None = None, cell_rows: int = scan.CELL_ROWS) -> DataFrame:
     """Cues of overlapping lanes as one track: only those that their lane owns (where a plan is given), with their accepted
-    text (null drops a cue), and neighbours within FUZZY_GAP whose text is like the island's first text as one; with the
-    number of merges. Windows cut a source where nothing can merge; only what lies between is folded, in order."""
+    text (null drops a cue), and neighbours within FUZZY_GAP whose text is like the first text of the cue before as one;
+    with the number of merges. Of equal start the lane and then ord decide.
+
+    Neighbours of equal text are merged first, by cells: whatever the cue before began with, both are like it or neither is.
+    What is left is cut into chains where time or texts rule a merge out; only a chain of unequal texts, each like the one
+    before, is held in a row and folded in order. A null text is like none, a null confidence gives way to any other."""
     if plan is not None:
         cues = own(cues, plan, plan_keys).select(*cues.columns)
     if accept is not None:
         cues = cues.withColumn("text", accept).filter("text is not null")
-    (part,) = fresh(cues.columns, "part")
-    parts = islands(cues, source, FUZZY_GAP, part).withColumn(part, F.struct(source, part))
-
-    def step(open_: list, row: list, out: list) -> None:
-        start, end, text, confidence = row
-        if open_ and start <= open_[1] + FUZZY_GAP and similarity(text, open_[2]) >= ALIKE:
-            open_[1], open_[3], open_[4] = max(open_[1], end), max(open_[3], confidence), open_[4] + 1
-        else:
-            close(open_, out)
-            open_[:] = [start, end, text, confidence, 0]
-
-    def close(open_: list, out: list) -> None:
-        if open_:
-            out.append(tuple(open_))
-
-    schema = StructType([parts.schema[part]]).add("start", "double").add("end", "double").add("text", "string").add("confidence", "double").add("merges", "long")
-    merged = fold(parts, part, ["start", "lane", "ord"], ["start", "end", "text", "confidence"], list, step, close, schema)
-    return merged.select(F.col(part)[source].alias(source), "start", "end", "text", "confidence", "merges")
+    key, cell, at, chain, n = fresh(cues.columns, "key", "cell", "at", "chain", "n")
+    c = scan.cells(cues.select(source, "start", "end", "text", "confidence", "lane", "ord").withColumn(n, F.lit(1).cast("long")), source, "start", key, cell, cell_rows)
+    c = scan.runs(c, key, cell, at, ["start", "lane", "ord"], FUZZY_GAP, {"confidence": F.max, n: F.sum})
+    c = scan.chains(c, key, cell, at, FUZZY_GAP, _apart, chain)
+    one = F.struct("start", "end", "text", "confidence", F.col(n).alias("n"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(at, one.alias("x")))), lambda r: r["x"].cast(_ONE))
+    done = c.groupBy(key, chain).agg(rows.alias("rows")).select(key, F.explode(let(F.col("rows"), _merged)).alias("x"))
+    return done.select(F.col(key)[source].alias(source), "x.start", "x.end", "x.text", "x.confidence", (F.col("x.n") - 1).alias("merges"))

@@ -213,7 +213,29 @@ def similarity(spark, d):
     return read(spark, d, "pages").select("page_id", F.round(T.similarity(F.col("url"), F.reverse("url")), 9).alias("sim"))
 
 
-@query()
+_ALIKE = "(1 - levenshtein({0}, {1}) / greatest(length({0}), length({1})))"
+
+# a row for each frame: the state after it (candidate: text, start, last, confidence, hits, need; active: start, text,
+# confidence; empty frames and since when), and the cue that it ended
+_TRACKED = f"""WITH RECURSIVE obs AS (SELECT user_id AS lane, row_number() OVER w AS k, (row_number() OVER w - 1) / 4.0::DOUBLE AS at_, CASE WHEN event_type <> 'error' THEN event_type END AS x, 0.5::DOUBLE + event_id % 50 / 100.0::DOUBLE AS q
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+t AS (SELECT DISTINCT lane, 0::BIGINT AS k, 0::DOUBLE AS at_, NULL::VARCHAR AS ct, NULL::DOUBLE AS cs, NULL::DOUBLE AS cl, NULL::DOUBLE AS cc, 0 AS ch, 0 AS cn, NULL::DOUBLE AS act, NULL::VARCHAR AS att, NULL::DOUBLE AS acc, 0 AS em, 0::DOUBLE AS si,
+    NULL::DOUBLE AS os, NULL::DOUBLE AS oe, NULL::VARCHAR AS ot, NULL::DOUBLE AS oc FROM obs
+  UNION ALL SELECT lane, k, at_, CASE WHEN fresh THEN x WHEN held THEN ct2 END, CASE WHEN fresh THEN at_ WHEN held THEN cs END, CASE WHEN fresh OR held THEN at_ END, CASE WHEN fresh THEN q WHEN held THEN cc2 END,
+    CASE WHEN fresh THEN 1 WHEN held THEN ch + 1 ELSE 0 END, CASE WHEN fresh THEN needs WHEN held THEN need2 ELSE 0 END,
+    CASE WHEN shown THEN cs WHEN NOT over THEN act END, CASE WHEN shown THEN ct2 WHEN over THEN NULL WHEN same AND (q > acc + 0.035 OR length(x) > length(att) + 2) THEN x ELSE att END,
+    CASE WHEN shown THEN cc2 WHEN over THEN NULL WHEN same THEN greatest(acc, q) ELSE acc END, CASE WHEN blank AND act IS NOT NULL AND NOT over THEN em + 1 ELSE 0 END, CASE WHEN blank AND em = 0 THEN at_ ELSE si END,
+    CASE WHEN act IS NOT NULL AND (over OR shown) THEN act END, CASE WHEN act IS NOT NULL AND (over OR shown) THEN least(act + 30, greatest(act + 0.12, CASE WHEN shown THEN cs ELSE greatest(CASE WHEN em = 0 THEN at_ ELSE si END, act + 0.25) END)) END,
+    CASE WHEN over OR shown THEN att END, CASE WHEN over OR shown THEN acc END
+  FROM (SELECT *, NOT blank AND NOT same AND NOT again AS fresh, NOT blank AND NOT same AND again AND ch + 1 < need2 AS held, NOT blank AND NOT same AND again AND ch + 1 >= need2 AS shown, blank AND act IS NOT NULL AND em + 1 >= 2 AS over
+    FROM (SELECT *, CASE WHEN q > cc + 0.035 OR length(x) > length(ct) + 2 THEN x ELSE ct END AS ct2, greatest(cc, q) AS cc2, greatest(cn, needs) AS need2
+      FROM (SELECT t.lane, o.k, o.at_, o.x, o.q, ct, cs, cl, cc, ch, cn, act, att, acc, em, si, o.x IS NULL OR trim(o.x) = '' AS blank, coalesce({_ALIKE.format('o.x', 'att')} >= 0.8, false) AS same,
+        coalesce(o.at_ - cl <= 0.75 AND {_ALIKE.format('o.x', 'ct')} >= 0.8, false) AS again, CASE WHEN length(o.x) <= 1 OR o.q < 0.68 THEN 3 ELSE 2 END AS needs FROM t JOIN obs o ON o.lane = t.lane AND o.k = t.k + 1))))
+SELECT lane, os AS "start", oe AS "end", ot AS text, oc AS confidence FROM t WHERE os IS NOT NULL
+UNION ALL SELECT lane, act, least(act + 30, greatest(act + 0.12, at_ + 0.25, act + 0.25)), att, acc FROM t WHERE act IS NOT NULL AND (lane, k) IN (SELECT lane, max(k) FROM obs GROUP BY 1)"""
+
+
+@query(_TRACKED)
 def cue_tracker(spark, d):
     """A user's events as frames at four a second; errors are empty frames."""
     e = read(spark, d, "events")
@@ -222,15 +244,24 @@ def cue_tracker(spark, d):
     return tracker.track(obs)
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS source_id, event_id AS ord, (date_part('day', ts) - 1) * 86400.0::DOUBLE + epoch(ts::TIME) AS s, value * 600 AS long, event_type || event_id % 3 || '!' AS text, CASE WHEN event_id % 4 > 0 THEN event_id % 9 / 10.0::DOUBLE END AS conf FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY s, ord) AS k FROM e),
+f AS (SELECT source_id, k, s, s + long AS e, text, conf, 0 AS merges, k AS head FROM r WHERE k = 1
+  UNION ALL SELECT source_id, k, CASE WHEN m THEN s ELSE s2 END, CASE WHEN m THEN greatest(e, e2) ELSE e2 END, CASE WHEN m THEN text ELSE t2 END, CASE WHEN m THEN greatest(conf, c2) ELSE c2 END, CASE WHEN m THEN merges + 1 ELSE 0 END, CASE WHEN m THEN head ELSE k END
+    FROM (SELECT f.source_id, r.k, f.s, f.e, f.text, f.conf, f.merges, f.head, r.s AS s2, r.s + r.long AS e2, r.text AS t2, r.conf AS c2, r.s <= f.e + 0.25 AND {_ALIKE.format('f.text', 'r.text')} >= 0.82 AS m FROM f JOIN r ON r.source_id = f.source_id AND r.k = f.k + 1))
+SELECT source_id, round(s, 6) AS "start", round(e, 6) AS "end", text, conf AS confidence, merges::BIGINT AS merges FROM f QUALIFY row_number() OVER (PARTITION BY source_id, head ORDER BY k DESC) = 1""")
 def boundary_reconcile(spark, d):
-    """Events of a month as cues that two lanes see at every border: owned, cleaned, and merged where they are alike."""
+    """Events of a month as cues that two lanes see at every border: owned, cleaned, and merged where they are alike; of every
+    fourth the confidence is not known."""
     seg = lanes.lane_plan(spark, 2764800.0, 16, 24.0)
     at = (F.dayofmonth("ts") - 1) * 86400.0 + F.unix_micros(F.col("ts").cast("timestamp")) % 86400000000 / 1e6
-    e = read(spark, d, "events").select(F.col("user_id").alias("source_id"), F.col("event_id").alias("ord"), at.alias("start"), (at + F.col("value") * 600).alias("end"), F.concat(F.lit(" "), "event_type", F.lit("!  !")).alias("text"), F.lit(0.9).alias("confidence"))
-    seen = e.join(seg.select(F.col("index").alias("lane"), "scan_start", "scan_end"), F.col("start").between(F.col("scan_start"), F.col("scan_end"))).drop("scan_start", "scan_end")
+    text = F.concat(F.lit(" "), "event_type", (F.col("event_id") % 3).cast("string"), F.lit("!  !"))
+    confidence = F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 9 / 10.0)
+    e = read(spark, d, "events").select(F.col("user_id").alias("source_id"), F.col("event_id").alias("ord"), at.alias("start"), (at + F.col("value") * 600).alias("end"), text.alias("text"), confidence.alias("confidence"))
+    seen = e.join(F.broadcast(seg.select(F.col("index").alias("lane"), "scan_start", "scan_end")), F.col("start").between(F.col("scan_start"), F.col("scan_end"))).drop("scan_start", "scan_end")
     clean = F.regexp_replace(T.collapse_space(F.col("text")), rf"([{T.MARKS}])(?:\s*\1)+", "$1")
-    return intervals.reconcile(seen, plan=seg, accept=F.when(clean != "", clean))
+    out = intervals.reconcile(seen, plan=seg, accept=F.when(clean != "", clean))
+    return out.withColumns({"start": F.round("start", 6), "end": F.round("end", 6)})
 
 
 @query("""WITH v AS (SELECT o_orderkey, o_custkey AS k, o_orderkey % 7 AS n, o_orderkey % 50 AS q, CASE o_orderkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS form FROM orders)

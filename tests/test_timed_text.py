@@ -23,7 +23,8 @@ def test_coalesce_is_the_fold(spark):
                 out.append([a, b, t])
         want += [(src, *x) for x in out]
     df = spark.createDataFrame(cues, "source_id int, ord int, start double, end double, text string")
-    assert sorted(tuple(r) for r in intervals.coalesce(df).select("source_id", "start", "end", "text").collect()) == sorted(want)
+    for rows in (1 << 16, 40, 7, 1):  # a source in one cell, in several, in one for nearly every row
+        assert sorted(tuple(r) for r in intervals.coalesce(df, cell_rows=rows).select("source_id", "start", "end", "text").collect()) == sorted(want)
 
 
 def _active(frames, fps, low):
@@ -66,7 +67,10 @@ def test_folds_hold_no_group(spark):
     spark.conf.set(size, "7")
     try:
         tracked = tracker.track(spark.createDataFrame(rows, "lane long, ord long, at double, text string, confidence double"))
-        reconciled = intervals.reconcile(spark.createDataFrame(cues, "source_id long, lane int, ord long, start double, end double, text string, confidence double"))
+        given = spark.createDataFrame(cues, "source_id long, lane int, ord long, start double, end double, text string, confidence double")
+        reconciled = intervals.reconcile(given)
+        for rows_ in (50, 3):
+            assert sorted(map(tuple, intervals.reconcile(given, cell_rows=rows_).collect()), key=repr) == sorted(merged, key=repr)
         assert sorted(map(tuple, tracked.collect()), key=repr) == sorted(want, key=repr) and len(want) > 30
         assert sorted(map(tuple, reconciled.collect()), key=repr) == sorted(merged, key=repr) and any(x[5] for x in merged)
         for df in (tracked, reconciled):
@@ -89,3 +93,38 @@ def test_point_in_interval_makes_no_pairs(spark, tmp_path):
     got = QUERIES["point_in_interval"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted(con.execute(ORACLES["point_in_interval"]).fetchall())
     assert "Join" not in got._jdf.queryExecution().toString()
+
+
+def test_reconcile_is_the_fold(spark):
+    """Chains of texts alike to the one before but not to the first, one source with most rows, nulls, ties, clashing names."""
+    from cueflow.functions.distance import similarity
+
+    rng = random.Random(5)
+    texts = ["aaaaaaaaaa", "aaaaaaaaab", "aaaaaaaabb", "aaaaaaabbb", "zz", "", "aaaaaaaaaaa", None]
+    rows = [(rng.choice([1, 1, 1, 1, 2, None]), rng.randrange(2), i, round(rng.random() * 120, 1), rng.choice(texts), rng.choice([None, 0.1, 0.9])) for i in range(700)]
+    rows = [(s, n, i, a, round(a + rng.choice([0.0, 0.1, 0.4, 3.0]), 1), t, c, 7, 8) for s, n, i, a, t, c in rows]
+    want = []
+    for source in (1, 2, None):
+        out = []
+        for _, _, _, a, b, t, c, *_ in sorted((x for x in rows if x[0] == source), key=lambda x: (x[3], x[1], x[2])):
+            o = out[-1] if out else None
+            if o and t is not None and o[2] is not None and a <= o[1] + 0.25 and similarity(o[2], t) >= 0.82:
+                o[1], o[3], o[4] = max(o[1], b), max((v for v in (o[3], c) if v is not None), default=None), o[4] + 1
+            else:
+                out.append([a, b, t, c, 0])
+        want += [(source, *x) for x in out]
+    df = spark.createDataFrame(rows, "source_id long, lane int, ord long, start double, end double, text string, confidence double, _cell int, _key int")
+    for n in (1 << 16, 60, 2):
+        assert sorted(map(tuple, intervals.reconcile(df, cell_rows=n).collect()), key=repr) == sorted(want, key=repr)
+    assert any(x[5] > 3 for x in want) and intervals.reconcile(df.limit(0)).count() == 0
+
+
+def test_a_hot_source_is_spread(spark):
+    """Cells of one source go to many tasks: no window over the source alone sees more than a row a cell."""
+    df = spark.range(4000).selectExpr("1 as source_id", "id as ord", "id * 1.0D as start", "id + 0.5D as end", "cast(id div 10 as string) as text")
+    out = intervals.coalesce(df, cell_rows=100)
+    assert out.count() == 4000
+    from cueflow.operators import scan
+
+    placed = scan.cells(df, "source_id", "start", "k", "c", 100).groupBy("c").count().collect()
+    assert len(placed) == 40 and max(r["count"] for r in placed) <= 110
