@@ -149,6 +149,21 @@ def point_in_interval(spark, d):
     return o.groupBy("o_orderkey").agg(F.min("cue").alias("cue"))
 
 
+@query("""WITH t AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, CAST(floor(value * 600000) AS BIGINT) * CASE WHEN event_id % 40 = 0 THEN 500 WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS long FROM events),
+p AS (SELECT user_id, event_id, 'start' AS side, t FROM t UNION ALL SELECT user_id, event_id, 'end', t + long FROM t UNION ALL SELECT user_id, event_id, 'past', t + long + 1 FROM t)
+SELECT p.event_id, side, min(s.event_id) AS first FROM p LEFT JOIN t s ON s.user_id = p.user_id AND p.t BETWEEN s.t AND s.t + s.long GROUP BY ALL""")
+def cue_at(spark, d):
+    """The first of a user's events under way at the start of each, at its end and just after; some last for days, some no time."""
+    e, n = read(spark, d, "events"), F.col("event_id")
+    long = F.floor(F.col("value") * 600000).cast("long") * F.when(n % 40 == 0, 500).when(n % 3 == 0, 0).otherwise(1)
+    t = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long")
+    spans = e.select("user_id", "event_id", t.alias("start"), (t + long).alias("end"))
+    at = [F.struct(F.lit(side).alias("side"), x.alias("t")) for side, x in (("start", F.col("start")), ("end", F.col("end")), ("past", F.col("end") + 1))]
+    points = spans.select("user_id", "event_id", F.inline(F.array(*at)))
+    found = intervals.first_containing(points, spans, ["user_id"], "t", "start", "end", "event_id")
+    return found.select("event_id", "side", F.col("span.event_id").alias("first"))
+
+
 @query("SELECT user_id, bool_and(event_type <> 'error') AS all_supported, round(sum(value), 4) AS value, CAST(sum(event_id) AS BIGINT) AS event_id FROM events GROUP BY 1")
 def transport_rollup(spark, d):
     return lanes.transport_rollup(read(spark, d, "events"), ["user_id"], F.col("event_type") != "error", ["value", "event_id"])

@@ -128,3 +128,20 @@ def test_a_hot_source_is_spread(spark):
 
     placed = scan.cells(df, "source_id", "start", "k", "c", 100).groupBy("c").count().collect()
     assert len(placed) == 40 and max(r["count"] for r in placed) <= 110
+
+
+def test_first_containing_is_the_search(spark):
+    """Nested, long and empty spans, closed ends, ties, negative times, nulls; as many meetings as matching levels at most."""
+    rng = random.Random(9)
+    spans = [(rng.choice([1, 1, 1, 2, None]), a := rng.randrange(-500, 500), rng.choice([None, a - 1, a, a, a + 1, a + rng.randrange(40), a + 1 << 20]), rng.choice([None, *range(40)])) for _ in range(300)]
+    points = [(rng.choice([1, 1, 2, 3, None]), rng.choice([None, *range(-510, 520)]), i, "x") for i in range(400)]
+    want = []
+    for k, t, i, _ in points:
+        held = [s for s in spans if None not in (*s, k, t) and s[0] == k and s[1] <= t <= s[2]]
+        want.append((i, *(min(held, key=lambda s: (s[3], s[1], s[2])) if held else (None,) * 4)))
+    df = spark.createDataFrame(points, "k int, t long, i int, _level string")
+    sp = spark.createDataFrame(spans, "k int, a long, z long, o int")
+    got = intervals.first_containing(df, sp, ["k"], "t", "a", "z", "o")
+    assert got.columns == ["k", "t", "i", "_level", "span"]
+    assert sorted(map(tuple, got.select("i", "span.*").collect()), key=repr) == sorted(want, key=repr) and sum(w[1] is not None for w in want) > 100
+    assert intervals.first_containing(df, sp.limit(0), ["k"], "t", "a", "z", "o").filter("span is not null").count() == 0
