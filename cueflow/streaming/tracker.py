@@ -16,12 +16,11 @@ Lengths of texts are code points.
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from cueflow.functions.distance import similarity
@@ -126,35 +125,110 @@ def track(observations: DataFrame, fps: float = 4.0, low: float = 0.68, accept:
 
 #: Media time 0 as event time, so that it lies after the watermark that a stream starts with.
 _ZERO = 86400.0
+_CANDIDATE = {"text": "string", "start": "double", "last": "double", "conf": "double", "hits": "int", "need": "int"}
+_ACTIVE = {"start": "double", "end": "double", "text": "string", "conf": "double"}
+STATE = ", ".join([*(f"cand_{k} {t}" for k, t in _CANDIDATE.items()), *(f"active_{k} {t}" for k, t in _ACTIVE.items()), "empty int, since double, last double"])
+WAITING = "at double, ord long, text string, confidence double"
 
 
-def track_stream(observations: DataFrame, fps: float = 4.0, low: float = 0.68, accept: Callable[[str], str | None] = lambda t: t, delay: str = "5 seconds", idle: float = 60.0) -> DataFrame:
-    """The same over a stream (append mode): rows may come unordered within the delay. A lane's rows wait until the
-    watermark has passed them and are then folded in order; a lane ends when the watermark is `idle` seconds of
-    media past its last row. What a lane keeps is its tracker and the rows that wait. Media times are 0 or more."""
-    span = 1 / max(0.25, fps)
-
-    def run(key, batches, state):
-        kept = json.loads(state.get[0]) if state.exists else {"tracker": start_state(), "wait": [], "last": None}
-        s, wait, out = kept["tracker"], kept["wait"], []
-        for f in batches:
-            wait += [[float(r.at), int(r.ord), r.text if isinstance(r.text, str) else None, float(r.confidence)] for r in f.itertuples()]
-        mark = state.getCurrentWatermarkMs() / 1000 - _ZERO
-        due = sorted((w for w in wait if w[0] <= mark), key=lambda w: (w[0], w[1]))
-        wait = [w for w in wait if w[0] > mark]
+def _pack(s: dict, last: float | None) -> tuple:
+    cand, active = s["cand"] or {}, s["active"] or {}
+    return (*(cand.get(k) for k in _CANDIDATE), *(active.get(k) for k in _ACTIVE), s["empty"], s["since"], last)
+
+
+def _unpack(row: tuple) -> tuple[dict, float | None]:
+    n = len(_CANDIDATE)
+    cand, active = dict(zip(_CANDIDATE, row[:n])), dict(zip(_ACTIVE, row[n : n + len(_ACTIVE)]))
+    empty, since, last = row[n + len(_ACTIVE) :]
+    return {"cand": cand if cand["text"] is not None else None, "active": active if active["text"] is not None else None, "empty": empty, "since": since}, last
+
+
+class _Lane(StatefulProcessor):
+    """A lane's tracker (a value), the rows that wait for the watermark (a list, added to as they come) and one timer for
+    when the next of them is due or the lane has been idle for long enough to end."""
+
+    def __init__(self, fps: float, low: float, accept: Callable[[str], str | None], idle: float):
+        self.fps, self.low, self.accept, self.idle, self.span = fps, low, accept, idle, 1 / max(0.25, fps)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.tracker, self.waiting = handle.getValueState("tracker", STATE), handle.getListState("waiting", WAITING)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """A restored lane: its active cue, if any, and the media time that it had been looked at until."""
+        cue = initialState.asDict()
+        active = {"start": cue["start"], "end": cue["end"], "text": cue["text"], "conf": cue["confidence"]} if cue["text"] is not None else None
+        last = cue.get("last") if cue.get("last") is not None else cue["end"]
+        self.tracker.update(_pack(start_state(active, self.accept), last))
+        self._wake(0.0 if last is None else last + self.idle)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        self.waiting.appendList([(float(r["at"]), int(r["ord"]), r["text"], float("nan") if r["confidence"] is None else float(r["confidence"])) for r in rows])
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs() / 1000 - _ZERO)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs() / 1000 - _ZERO)
+
+    def _wake(self, at: float) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(int((at + _ZERO) * 1000))
+
+    def _advance(self, key, mark: float) -> Iterator[Row]:
+        s, last = _unpack(self.tracker.get()) if self.tracker.exists() else (start_state(), None)
+        rows, out = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else [], []
+        due, rest = sorted((r for r in rows if r[0] <= mark), key=lambda r: r[:2]), [r for r in rows if r[0] > mark]
         for at, _, text, confidence in due:
-            observe(s, at, text, confidence, fps, low, accept, out)
-        last = due[-1][0] if due else kept["last"]
-        if not wait and mark >= last + idle:
-            finish(s, last + span, fps, out, accept)
-            state.remove()
+            observe(s, at, text, confidence, self.fps, self.low, self.accept, out)
+            last = at
+        if due and rest:
+            self.waiting.put(rest)
+        elif due:
+            self.waiting.clear()
+        if not rest and last is not None and mark >= last + self.idle:
+            finish(s, last + self.span, self.fps, out, self.accept)
+            self.tracker.clear()
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
         else:
-            state.update((json.dumps({"tracker": s, "wait": wait, "last": last}),))
-            wake = min(w[0] for w in wait) if wait else last + idle
-            state.setTimeoutTimestamp(max(int((wake + _ZERO) * 1000), int((mark + _ZERO) * 1000) + 1))
-        rows = pd.DataFrame(out, columns=["start", "end", "text", "confidence"])
-        rows.insert(0, "lane", key[0])
-        yield rows
+            self.tracker.update(_pack(s, last))
+            self._wake(max(min(r[0] for r in rest) if rest else (last or 0.0) + self.idle, mark + 0.001))
+        for start, end, text, confidence in out:
+            yield Row(lane=key[0], start=start, end=end, text=text, confidence=confidence)
+
+    def close(self) -> None:
+        pass
+
+
+def track_stream(observations: DataFrame, fps: float = 4.0, low: float = 0.68, accept: Callable[[str], str | None] = lambda t: t, delay: str = "5 seconds", idle: float = 60.0, initial: DataFrame | None = None) -> DataFrame:
+    """The same over a stream (append mode): rows may come unordered within the delay. A lane's rows wait until the
+    watermark has passed them and are then folded in order; a lane ends when the watermark is `idle` seconds of
+    media past its last row. What a lane keeps is its tracker and the rows that wait. Media times are 0 or more.
 
+    initial: lanes to go on with (lane, start, end, text, confidence of the active cue, all null if none; last, the media time
+    of the last row that was folded), as `lane_states` reads them from an earlier stream. Candidates and empty frames are
+    not restored, so stop where `safe_to_stop` holds. The session needs the RocksDB state store."""
     timed = observations.withColumn("_time", F.timestamp_seconds(F.col("at") + _ZERO)).withWatermark("_time", delay)
-    return timed.groupBy("lane").applyInPandasWithState(run, CUES, "kept string", "append", "EventTimeTimeout")
+    known = {} if initial is None else {"initialState": initial.groupBy("lane")}
+    return timed.groupBy("lane").transformWithState(_Lane(fps, low, accept, idle), CUES, "append", "EventTime", **known)
+
+
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def lane_states(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What a stream's checkpoint folder holds of each lane: lane, start, end, text, confidence of the active cue, last (media
+    time of the last row folded), pending (whether a candidate or empty frames are under way), waiting (rows not yet folded)."""
+    of = lambda v: spark.read.format("statestore").option("path", checkpoint).option("stateVarName", v)
+    v = of("tracker").load().select("key.lane", "value.*")
+    waiting = of("waiting").option("flattenCollectionTypes", True).load().groupBy("key.lane").agg(F.count("*").alias("waiting"))
+    cue = [F.col(f"active_{a}").alias(b) for a, b in (("start", "start"), ("end", "end"), ("text", "text"), ("conf", "confidence"))]
+    pending = (F.col("cand_text").isNotNull() | (F.col("empty") > 0)).alias("pending")
+    return v.select("lane", *cue, "last", pending).join(waiting, "lane", "left").withColumn("waiting", F.coalesce("waiting", F.lit(0)))
+
+
+def lane_summary(states: DataFrame, emitted: DataFrame) -> DataFrame:
+    """lane, cues (those given out and the active one), frontier (how far the lane was looked at), of a stopped stream."""
+    active = states.select("lane", F.col("text").isNotNull().cast("long").alias("n"), "last")
+    done = emitted.select("lane", F.lit(1).cast("long").alias("n"), F.lit(None).cast("double").alias("last"))
+    return active.unionByName(done).groupBy("lane").agg(F.sum("n").alias("cues"), F.max("last").alias("frontier"))
