@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from cueflow.functions import text as T
 from cueflow.operators import media, rank, render
 from cueflow.operators import policy as P
-from cueflow.plans.registry import LINES_SQL, order_lines, query, read
+from cueflow.plans.registry import LINES_SQL, order_lines, own_folder, query, read
 from cueflow.sources import media as M
-from cueflow.sources import parse
+from cueflow.sources import files, parse
 
 PER_PAYLOAD = 50
 
@@ -314,3 +314,16 @@ def part_lookup(spark, d):
 
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     return rank.by_number_or_place(read(spark, d, "conversations"), ["conv_id"], F.col("turn"), place, F.lit(2)).select("conv_id", "turn", "text")
+
+
+@query("""SELECT user_id::VARCHAR AS source_id, CAST(no - 1 AS INT) AS ord, no * 2.0::DOUBLE AS "start", no * 2.0::DOUBLE + 1.25 AS "end", event_type || chr(10) || event_id AS text
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS no FROM events)""")
+def cue_folder(spark, d):
+    """A user's events as a subtitle file of two lines a cue, written to a folder and read again."""
+    from pyspark.sql import Window
+
+    no = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    cues = read(spark, d, "events").select("user_id", (no * 2.0).alias("start"), (no * 2.0 + 1.25).alias("end"), F.concat_ws("\n", "event_type", F.col("event_id").cast("string")).alias("text"))
+    path = own_folder(spark)
+    files.write_folder(cues, path, "user_id", [F.col("start")])
+    return files.read_folder(spark, path)
