@@ -18,7 +18,8 @@ query's own, and a query that does not reach that ascends to the root.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor
 do rows without vec_id or of another length than most rows; rows that repeat a vec_id count once (the
-smallest vector); ties go to the smaller vec_id; fewer than k candidates give all of them; an empty table
+smallest vector); ties go to the smaller vec_id; fewer than k candidates give all of them;
+products too large for a double are infinite, and tie; an empty table
 or one without queries gives no rows; extra columns are ignored.
 """
 
@@ -55,14 +56,16 @@ def _matrix(column) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def hashed(rows: DataFrame, longest: float, as_query: bool) -> DataFrame:
-    """vec_id, v, hashes (array of a long for each tree)."""
+def hashed(rows: DataFrame, peak: float, longest: float, as_query: bool) -> DataFrame:
+    """vec_id, v, hashes (array of a long for each tree). peak: the largest component there is, by which vectors are divided
+    (queries by their own), so that no square overflows; longest: the longest norm then."""
 
     def run(frames):
         for f in frames:
             if not len(f):
                 continue
             x = _matrix(f["v"])
+            x = x / (np.abs(x).max(1, keepdims=True) if as_query else peak)
             norm2 = (x * x).sum(1)
             last = np.zeros(len(x)) if as_query else np.sqrt(np.maximum(0, longest * longest - norm2))
             bits = (np.column_stack([x, last]) @ _planes(x.shape[1]) > 0).reshape(len(x), TREES, HASH_BITS)
@@ -80,16 +83,22 @@ def _products(q, x, a, b) -> np.ndarray:
 
 def _best(q_ids, q, ids, x, k: int):
     """The k best rows for each query, without its own: (query, row, score). A matrix product, whose last bits depend on a
-    row's place, only chooses what can be among them; scores and ties are decided by `_products`."""
-    score = q @ x.T
-    score[q_ids[:, None] == ids[None, :]] = -np.inf
-    if len(ids) > k:
-        edge = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
-    else:
-        edge = np.full(len(q_ids), -np.inf)
-    doubt = 1e-12 * np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1).max(initial=0)) * x.shape[1]
-    a, b = np.nonzero((score >= (edge - doubt)[:, None]) & (score > -np.inf))
-    s = _products(q, x, a, b)
+    row's place, only chooses what can be among them; scores and ties are decided by `_products`. A query of which a product
+    is too large for a double chooses nothing beforehand; a score that is no number counts as the least."""
+    own = q_ids[:, None] == ids[None, :]
+    with np.errstate(all="ignore"):
+        score = q @ x.T
+        wild = ~np.isfinite(score).all(1)
+        score[own] = -np.inf
+        if len(ids) > k:
+            edge = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+        else:
+            edge = np.full(len(q_ids), -np.inf)
+        doubt = 1e-12 * np.sqrt((q * q).sum(1)) * np.sqrt((x * x).sum(1).max(initial=0)) * x.shape[1]
+        some = (score >= (edge - doubt)[:, None]) | (wild | ~np.isfinite(doubt))[:, None]
+        a, b = np.nonzero(some & ~own)
+        s = _products(q, x, a, b)
+    s = np.where(np.isnan(s), -np.inf, s)
     order = np.lexsort((ids[b], -s, a))
     a, b, s = a[order], b[order], s[order]
     ok = np.arange(len(a)) - np.searchsorted(a, a) < k
@@ -159,10 +168,11 @@ def search(df: DataFrame, queries_of, k: int = 20, target: int | None = None) ->
     """query_id, rank, vec_id, score. queries_of: the condition that makes a row a query as well."""
     spark, keep = df.sparkSession, Scratch(df.sparkSession)
     rows = keep.write(vectors(df), "vectors")
-    stats = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
-    longest = float(stats["m"] or 0) ** 0.5
-    index = keep.write(hashed(rows, longest, False), "index")
-    queries = keep.write(hashed(rows.filter(queries_of), longest, True), "queries")
+    stats = rows.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("peak")).first()
+    peak = float(stats["peak"] or 1)
+    longest = float(rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / peak) * (x / peak)))).first()[0] or 0) ** 0.5
+    index = keep.write(hashed(rows, peak, longest, False), "index")
+    queries = keep.write(hashed(rows.filter(queries_of), peak, longest, True), "queries")
     if target is None:
         target = calibrate(rows, index, queries, k)
     target = max(target, least_target(k))

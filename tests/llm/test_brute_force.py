@@ -404,3 +404,20 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in five.collect()) == want
     whole = P.run(spark, d)
     assert sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in whole.collect()) == want
+
+
+def test_ann_of_huge_and_tiny_vectors(spark):
+    """Squares and products that overflow or vanish, infinite components, another length: every finite vector has neighbours."""
+    import math
+
+    from cueflow.llm import forest
+
+    rows = [(k, [1e200 * k, 1.0]) for k in range(1, 7)] + [(20, [-1e200, 2.0]), (40, [1e-200, 0.0]), (60, [3.0, 4.0]), (7, [math.inf, 0.0]), (8, [1.0]), (9, [math.nan, 1.0]), (10, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as page", "2 as hash")
+    got = {}
+    for r in forest.search(df, F.col("vec_id") % 20 == 0, k=4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    fine = {i: v for i, v in rows if i not in (7, 8, 9, 10)}
+    for q in (20, 40, 60):
+        every = sorted((-(fine[q][0] * v[0] + fine[q][1] * v[1]), i) for i, v in fine.items() if i != q)[:4]
+        assert sorted(got[q]) == [(n, i, -s) for n, (s, i) in enumerate(every, 1)]
