@@ -249,13 +249,27 @@ def wire_track_list(spark, d):
     return M.wire_tracks(made)
 
 
-@query("SELECT p_partkey AS source_id, CAST(i AS INT) AS frame, CAST(4 + length(CAST(p_size AS VARCHAR)) * (i + 1) AS BIGINT) AS bytes FROM part, range(3) r(i)")
-def picture_frames(spark, d):
-    """Pictures of a byte stream with junk before and a cut-off one at the end."""
+def picture_streams(spark: SparkSession, d: str) -> DataFrame:
+    """A part as a byte stream of three pictures, with junk before and between and a cut-off one at the end."""
     mark, close, n = F.unhex(F.lit("FFD8")), F.unhex(F.lit("FFD9")), F.col("p_size").cast("string")
     pic = lambda k: F.concat(mark, F.repeat(n, F.lit(k)).cast("binary"), close)
-    made = read(spark, d, "part").select(F.col("p_partkey").alias("source_id"), F.concat(F.unhex(F.lit("00FF")), pic(1), pic(2), F.unhex(F.lit("0102")), pic(3), mark, n.cast("binary")).alias("payload"))
-    return M.frames(made).select("source_id", "frame", F.octet_length("picture").cast("long").alias("bytes"))
+    return read(spark, d, "part").select(F.col("p_partkey").alias("source_id"), F.concat(F.unhex(F.lit("00FF")), pic(1), pic(2), F.unhex(F.lit("0102FFD9")), pic(3), mark, n.cast("binary")).alias("payload"))
+
+
+_PICTURES = "SELECT p_partkey AS source_id, CAST(i AS INT) AS frame, CAST(4 + length(CAST(p_size AS VARCHAR)) * (i + 1) AS BIGINT) AS bytes FROM part, range(3) r(i)"
+
+
+@query(_PICTURES)
+def picture_frames(spark, d):
+    """Pictures of a byte stream."""
+    return M.frames(picture_streams(spark, d)).select("source_id", "frame", F.octet_length("picture").cast("long").alias("bytes"))
+
+
+@query(_PICTURES)
+def picture_ranges(spark, d):
+    """The same of streams that come as ranges of seven bytes, over whose borders pictures and their marks lie."""
+    out = M.frames_of_ranges(M.byte_ranges(picture_streams(spark, d), 7))
+    return out.select("source_id", "frame", F.octet_length("picture").cast("long").alias("bytes"))
 
 
 @query("""WITH d AS (SELECT doc_id, n_chars * 4096 AS total FROM documents WHERE n_chars > 0), c AS (SELECT *, CAST(least(4194304, greatest(1048576, ceil(total / 8))) AS BIGINT) AS chunk FROM d),

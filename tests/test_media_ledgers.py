@@ -182,3 +182,19 @@ def test_rendered_files(spark):
     import json
 
     assert json.loads(render.cue_json(cues, ["k"], F.col("ord")).first()["content"])[1] == {"Start": 2.0, "End": 3.0005, "Text": "b"}
+
+
+def test_pictures_over_borders(spark, monkeypatch):
+    """Every way to cut a stream into two ranges, and into ranges of every size: the pictures of the whole stream."""
+    b, e = b"\xff\xd8", b"\xff\xd9"
+    stream = b"\xff" + e + b"ab" + b + b"x\xff" + b + b"1" + e + e + b + e + b"\xff" + b + b"\xff\xff" + e + b"zz" + b + b"open"
+    want = [r.picture for r in M.frames(spark.createDataFrame([(1, stream)], "source_id int, payload binary")).orderBy("frame").collect()]
+    rows = [(cut * 100, i, p) for cut in range(1, len(stream)) for i, p in enumerate((stream[:cut], b"", stream[cut:]))]
+    rows += [(-size, i, stream[at : at + size]) for size in range(1, 9) for i, at in enumerate(range(0, len(stream), size))]
+    got = {}
+    for r in M.frames_of_ranges(spark.createDataFrame(rows, "source_id int, no int, data binary")).orderBy("source_id", "frame").collect():
+        got.setdefault(r.source_id, []).append((r.frame, bytes(r.picture)))
+    assert len(want) == 3 and len(got) == len(stream) - 1 + 8 and all(v == list(enumerate(map(bytes, want))) for v in got.values())
+    monkeypatch.setattr(M, "PENDING_MOST", 6)
+    with pytest.raises(Exception, match="no end"):
+        M.frames_of_ranges(spark.createDataFrame([(1, 0, b + b"123"), (1, 1, b"4567")], "source_id int, no int, data binary")).collect()
