@@ -171,6 +171,27 @@ def clock(seconds: Column) -> Column:
     return F.when(seconds >= 3600, long).otherwise(short)
 
 
+def url_parts(x: Column) -> Column:
+    """struct<scheme, host, port, path, query> of a url; no port is null, as is what a text that is no url lacks."""
+    part = lambda p: F.try_parse_url(x, F.lit(p))
+    port = F.regexp_extract(part("AUTHORITY"), r":(\d+)$", 1).try_cast("int")
+    return F.struct(F.lower(part("PROTOCOL")).alias("scheme"), part("HOST").alias("host"), port.alias("port"), part("PATH").alias("path"), part("QUERY").alias("query"))
+
+
+def video_id(x: Column) -> Column:
+    """The first BV id in a text, null if there is none."""
+    found = F.regexp_extract(x, "BV[0-9A-Za-z]+", 0)
+    return F.when(found != "", found)
+
+
+def part_number(id_: Column, url: Column) -> Column:
+    """A part from an id that ends in _p and digits, else from the url's parameter p, the first that is a number above 0; else 1."""
+    positive = lambda c: F.when(c.try_cast("int") > 0, c.try_cast("int"))
+    pairs = F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")), "&"), lambda p: F.lower(F.substring_index(p, "=", 1)) == "p")
+    values = F.filter(F.transform(pairs, lambda p: positive(F.try_url_decode(F.substr(p, F.instr(p, "=") + 1)))), lambda n: n.isNotNull())
+    return F.coalesce(positive(F.regexp_extract(F.coalesce(id_, F.lit("")), r"(?i)_p(\d+)$", 1)), F.try_element_at(values, F.lit(1)), F.lit(1))
+
+
 def human_bytes(x: Column) -> Column:
     """In steps of 1024 up to TB, with two decimals at most."""
     n = F.greatest(x.cast("double"), F.lit(0.0))
@@ -183,6 +204,8 @@ def human_bytes(x: Column) -> Column:
 
 
 def speed_label(x: Column) -> Column:
+    """Bytes a second in B/s, KiB/s or, with a decimal, MiB/s."""
+    x = x.cast("double")
     mega, kilo = F.format_string("%.1f MiB/s", F.round(x / 1048576.0, 1)), F.format_string("%.0f KiB/s", F.round(x / 1024.0))
     return F.when(x >= 1048576, mega).when(x >= 1024, kilo).otherwise(F.format_string("%.0f B/s", F.round(x)))
 

@@ -74,6 +74,16 @@ def scan_summary(lanes: DataFrame, keys: list, elapsed: Column) -> DataFrame:
     return out.withColumn("speed", F.when(F.col("elapsed") > 0, F.col("media") / F.col("elapsed")).otherwise(0.0)).drop("elapsed")
 
 
+def cube(df: DataFrame, keys: list[str], sums: list[str], distinct: dict[str, str]) -> DataFrame:
+    """keys (null where all are taken together), level (bits of the keys taken together, the last key lowest), rows, sums, and
+    for distinct (column -> name) the estimated numbers of different values. One pass makes the finest groups with sketches
+    (HLL, 4,096 registers: within some 5 % nearly always, exact for a few); all coarser ones are made of them."""
+    rows = "rows"
+    fine = df.groupBy(*keys).agg(F.count("*").alias(rows), *[F.sum(c).alias(c) for c in sums], *[F.hll_sketch_agg(F.col(c), F.lit(12)).alias(n) for c, n in distinct.items()])
+    out = fine.cube(*keys).agg(F.grouping_id().cast("long").alias("level"), F.sum(rows).alias(rows), *[F.sum(c).alias(c) for c in sums], *[F.hll_sketch_estimate(F.hll_union_agg(F.col(n))).alias(n) for n in distinct.values()])
+    return out.select(*keys, "level", rows, *sums, *distinct.values())
+
+
 def scan_progress(lanes: DataFrame, keys: list, duration: Column) -> DataFrame:
     """keys, percent: the share of the duration whose cores were looked at, at most 99.5."""
     core = F.greatest(F.lit(0.0), F.least("core_end", "media") - F.col("core_start"))

@@ -34,6 +34,24 @@ def routes(df: DataFrame, keys: list, order: list[Column], rotate: Column, endpo
     return df.withColumn("endpoint", (F.col("generation") % endpoints).cast("int")).withColumn("round", F.floor(F.col("generation") / endpoints).cast("long"))
 
 
+def refetched(df: DataFrame, rounds: DataFrame, keys: list) -> DataFrame:
+    """df (with generation, the rotations so far) with round, endpoint and stopped. rounds: keys, round (in order), format_id,
+    size, endpoints (how many each fetch offered). Rotations use up a round's endpoints and then go to the next round, which
+    must offer the same format (in any case) and, where both sizes are known (> 0), the same size as the one before; from the
+    first that does not, all is stopped ("format", "size"), and where there is no further round as well ("rounds")."""
+    w = Window.partitionBy(*keys).orderBy("round")
+    start, place = fresh([*rounds.columns, *df.columns], "start", "place")
+    before = lambda c: F.lag(c).over(w)
+    why = F.when(F.lower(before("format_id")) != F.lower("format_id"), "format").when((before("size") > 0) & (F.col("size") > 0) & (before("size") != F.col("size")), "size")
+    r = rounds.withColumn(start, F.sum("endpoints").over(w) - F.col("endpoints")).withColumn("stopped", why)
+    r = r.withColumn("stopped", F.first("stopped", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter("endpoints > 0")
+    listed = r.select(*keys, "round", "stopped", start, F.posexplode(F.sequence(F.lit(1).cast("long"), F.col("endpoints").cast("long"))).alias("endpoint", place))
+    listed = listed.select(*keys, "round", "stopped", "endpoint", (F.col(start) + F.col("endpoint")).alias("generation"))
+    out = df.join(listed, [*keys, "generation"], "left").withColumn("stopped", F.coalesce("stopped", F.when(F.col("round").isNull(), "rounds")))
+    going = lambda c: F.when(F.col("stopped").isNull(), F.col(c)).alias(c)
+    return out.select(*df.columns, going("round"), going("endpoint"), "stopped")
+
+
 def job_states(df: DataFrame, keys: list, order: list[Column], status: Column, progress: Column, message: Column) -> DataFrame:
     """keys, status, progress, message, done: as of each job's last row; nothing counts after its first final status, a null
     status or message and a negative progress change nothing; progress is held between 0 and 100, and done is 100."""

@@ -18,6 +18,13 @@ def scan_modes(spark: SparkSession, sensitivity: float = 1.0) -> DataFrame:
     return spark.createDataFrame([(m, fps, d * scale, low, max(g, a)) for m, fps, g, a, d, low in MODES], "mode string, fps double, difference double, low double, overlap double")
 
 
+def scan_mode(mode: Column, sensitivity: Column) -> Column:
+    """The struct of a mode's fps, difference, low and overlap, balanced for any other name; as in `scan_modes`."""
+    scale = F.when(sensitivity > 0, F.least(F.lit(1.5), F.greatest(F.lit(0.6), sensitivity))).otherwise(1.0)
+    of = {m: F.struct(F.lit(fps).alias("fps"), (F.lit(d) * scale).alias("difference"), F.lit(low).alias("low"), F.lit(max(g, a)).alias("overlap")) for m, fps, g, a, d, low in MODES}
+    return F.when(mode == "accurate", of["accurate"]).when(mode == "fast", of["fast"]).otherwise(of["balanced"])
+
+
 def _largest(limit: Column) -> Column:
     """The largest level that is not above the limit, 1 at least."""
     return F.greatest(F.lit(1), *[F.when(limit >= n, n).otherwise(1) for n in LEVELS])

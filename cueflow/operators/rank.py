@@ -64,6 +64,13 @@ def enrich(left: DataFrame, right: DataFrame, left_key: Column, right_key: Colum
     return joined.drop(a, b)
 
 
+def require(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Every row of left with the row of right of its keys (one a key); the job fails where there is none."""
+    (found,) = fresh([*left.columns, *right.columns], "found")
+    out = left.join(right.withColumn(found, F.lit(True)), keys, "left")
+    return out.filter(F.when(F.col(found), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no such key: "), F.concat_ws(", ", *keys))).cast("boolean"))).drop(found)
+
+
 def by_number_or_place(df: DataFrame, keys: list, number: Column, place: Column, wanted: Column) -> DataFrame:
     """For each key the first row whose number is the wanted one, else the row at that place (from 1)."""
     hit, no = fresh(df.columns, "hit", "no")
