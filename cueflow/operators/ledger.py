@@ -78,6 +78,18 @@ def rates(df: DataFrame, keys: list, order: list[Column], bytes_: Column, second
     return df.withColumn("bytes_per_second", F.when(seconds > 0, F.sum(bytes_).over(w) / seconds).otherwise(0.0))
 
 
+def session_rates(df: DataFrame, keys: list, at: Column, bytes_: Column, gap: str, delay: str | None = None) -> DataFrame:
+    """keys, begin, until, rows, bytes, bytes_per_second of each session: rows of a key that follow each other within the gap
+    (until: its last row). Of a table or a stream; delay: how late rows of a stream may come before they are dropped (and
+    counted in its progress, numRowsDroppedByWatermark). A session of one instant has no speed."""
+    time, gained = fresh(df.columns, "time", "bytes")
+    df = df.withColumn(time, at).withColumn(gained, bytes_)
+    df = df.withWatermark(time, delay) if delay else df
+    out = df.groupBy(*keys, F.session_window(time, gap).alias("w")).agg(F.min(time).alias("begin"), F.max(time).alias("until"), F.count("*").alias("rows"), F.sum(gained).alias("bytes"))
+    seconds = (F.unix_micros("until") - F.unix_micros("begin")) / 1e6
+    return out.select(*keys, "begin", "until", "rows", "bytes", F.when(seconds > 0, F.col("bytes") / seconds).alias("bytes_per_second"))
+
+
 def peak(df: DataFrame, keys: list, order: list[Column], value: Column, name: str = "peak") -> DataFrame:
     """df with the largest value so far."""
     return df.withColumn(name, F.max(value).over(Window.partitionBy(*keys).orderBy(*order)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cueflow.functions import sql
 from cueflow.functions import text as T
 from cueflow.operators import lanes, ledger, policy, rank, render
 from cueflow.plans.registry import query, read
@@ -114,3 +115,22 @@ def cue_json(spark, d):
     files = render.cue_json(cues, ["user_id"], F.col("event_id"))
     back = files.select("user_id", F.posexplode(F.from_json("content", "array<struct<Start: double, End: double, Text: string>>")).alias("place", "x"))
     return back.select("user_id", F.col("place").cast("long").alias("place"), F.col("x.Start").alias("start"), F.col("x.End").alias("end"), F.col("x.Text").alias("text"))
+
+
+@query("""WITH t AS (SELECT user_id, event_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM t)
+SELECT user_id, epoch_us(min(ts)) AS begin, epoch_us(max(ts)) AS until, count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS bytes, CASE WHEN max(ts) > min(ts) THEN round(sum(event_id) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6) END::DOUBLE AS speed FROM s GROUP BY user_id, no""")
+def transfer_sessions(spark, d):
+    """A user's events as the blocks of transfers that pause for less than six hours."""
+    out = ledger.session_rates(read(spark, d, "events"), ["user_id"], F.col("ts").cast("timestamp"), F.col("event_id"), "6 hours")
+    return out.select("user_id", F.unix_micros("begin").alias("begin"), F.unix_micros("until").alias("until"), "rows", "bytes", F.round("bytes_per_second", 6).alias("speed"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 < 2 THEN '你好 ' || event_id END AS line, CASE WHEN event_id % 60 < event_id % 75 OR event_id % 75 < 60 THEN CASE WHEN event_id % 75 < 60 THEN event_id // 60 * 3600.0 + event_id % 60 * 60.0 + event_id % 75 + 0.25 END END::DOUBLE AS seconds,
+  printf('%02d:%02d:%02d,%03d', event_id // 3600, event_id // 60 % 60, event_id % 60, event_id % 1000) AS label, round(1 - levenshtein(event_type, reverse(event_type)) / length(event_type), 9)::DOUBLE AS sim FROM events""")
+def sql_functions(spark, d):
+    """The functions of timed text in SQL alone."""
+    sql.register(spark)
+    return spark.sql("""SELECT event_id, script_line(CASE WHEN event_id % 4 < 2 THEN concat(' 你好  ', event_id) ELSE concat('ABC…你好', event_id) END) AS line,
+        cue_seconds(format_string(' %d:%02d:%02d,25', event_id div 60, event_id % 60, event_id % 75)) AS seconds, srt_time(event_id + event_id % 1000 / 1000) AS label,
+        round(cue_similarity(event_type, reverse(event_type)), 9) AS sim FROM {events}""", events=read(spark, d, "events"))

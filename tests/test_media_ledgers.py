@@ -25,15 +25,16 @@ def test_every_query_equals_its_sql(spark):
 
     import duckdb
 
-    from cueflow.plans import ORACLES, QUERIES, ledgers, payloads
+    from cueflow.plans import ORACLES, QUERIES, catalogue, ledgers, lookups, payloads
 
     con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         p = f"{D}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{p + '/*.parquet' if os.path.isdir(p) else p}'")
     norm = lambda v: round(float(v), 6) if isinstance(v, (float,)) or type(v).__name__ == "Decimal" else v
     for name, f in QUERIES.items():
-        if f.__module__ in (ledgers.__name__, payloads.__name__) and name in ORACLES:
+        if f.__module__ in (catalogue.__name__, ledgers.__name__, lookups.__name__, payloads.__name__) and name in ORACLES:
             df = f(spark, D)
             found = con.execute(ORACLES[name])
             names = [x[0] for x in found.description]
@@ -198,3 +199,44 @@ def test_pictures_over_borders(spark, monkeypatch):
     monkeypatch.setattr(M, "PENDING_MOST", 6)
     with pytest.raises(Exception, match="no end"):
         M.frames_of_ranges(spark.createDataFrame([(1, 0, b + b"123"), (1, 1, b"4567")], "source_id int, no int, data binary")).collect()
+
+
+def test_probed_cases(spark):
+    """Values that came out wrong once."""
+    rows = [(1, "hello"), (2, None), (3, None), (4, "HELLO")]
+    df = spark.createDataFrame(rows, "i int, k string")
+    got = rank.precedence_union([df, df.filter("i < 3")], F.col("k"), [F.col("i")]).collect()
+    assert sorted((r.i, r.src_rank) for r in got) == [(1, 0), (2, 0), (2, 1), (3, 0)]
+    names = {"CON.a.txt": "CON.a.txt", "\tname": "name", "con.txt": "_con.txt", "nul": "_nul", "a/b": "a_b", " . ": "file", None: "file", "x" * 200: "x" * 150}
+    made = spark.createDataFrame([(k,) for k in names], "n string").select("n", T.safe_filename(F.col("n")).alias("s")).collect()
+    assert {r.n: r.s for r in made} == names
+    lines = {"ABC…你好": None, "你好 ABC…": None, "VIP会员…": "VIP会员…", "你好…": "你好…"}
+    made = spark.createDataFrame([(k,) for k in lines], "n string").select("n", T.script_normalize(F.col("n")).alias("s")).collect()
+    assert {r.n: r.s for r in made} == lines
+    timed = spark.createDataFrame([(1, "00:01 --> 00:02\nhello\n\u00a0\nworld")], "source_id int, payload string")
+    assert [r.text for r in parse.read_cues(timed).collect()] == ["hello"]
+
+
+def test_required_keys(spark):
+    left, right = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(1, "x")], "k int, w string")
+    with pytest.raises(Exception, match="no such key: 2"):
+        rank.require(left, right, ["k"]).collect()
+    assert [tuple(r) for r in rank.require(left.filter("k = 1"), right, ["k"]).collect()] == [(1, "a", "x")]
+
+
+def test_refetches(spark):
+    rounds = spark.createDataFrame([(1, 0, "A", 0, 2), (1, 1, "a", 5, 1), (1, 2, "a", 6, 3), (1, 3, "b", 6, 1), (2, 0, "x", 1, 0), (2, 1, "x", 1, 1)], "k int, round long, format_id string, size int, endpoints int")
+    at = spark.createDataFrame([(k, g) for k in (1, 2) for g in range(8)], "k int, generation long")
+    got = {(r.k, r.generation): (r["round"], r.endpoint, r.stopped) for r in ledger.refetched(at, rounds, ["k"]).collect()}
+    assert [got[1, g] for g in range(7)] == [(0, 0, None), (0, 1, None), (1, 0, None), (None, None, "size"), (None, None, "size"), (None, None, "size"), (None, None, "size")]
+    assert got[1, 7] == (None, None, "rounds") and got[2, 0] == (1, 0, None) and got[2, 1] == (None, None, "rounds")
+
+
+def test_cube_sketches(spark):
+    """Estimates within five per cent of many values, exact for few; sums as without sketches."""
+    df = spark.range(60000).selectExpr("id % 3 as k", "id % 2 as d", "1.5D as v", "cast(id % 20011 as string) as t", "cast(id % 9 as string) as few")
+    rows = lanes.cube(df, ["k", "d"], ["v"], {"t": "texts", "few": "kinds"}).collect()
+    assert len(rows) == 12 and all(r.v == 1.5 * r["rows"] and r.kinds == (3 if r.k is not None else 9) for r in rows)
+    for r in rows:
+        exact = df.filter(("true" if r.k is None else f"k = {r.k}") + " and " + ("true" if r.d is None else f"d = {r.d}")).select("t").distinct().count()
+        assert abs(r.texts - exact) <= 0.05 * exact

@@ -119,3 +119,25 @@ def test_stream_from_checkpoint_rows(rocks, tmp_path):
     second = _stream(rocks, f"{tmp_path}/b", "state", "out", initial=initial).collect()
     want = tracker.track(rocks.createDataFrame(ROWS, SCHEMA)).collect()
     assert sorted(map(tuple, first + second)) == sorted(map(tuple, want)) and len(second) > 2
+
+
+def test_sessions_of_a_stream(spark, tmp_path):
+    """Rows within the delay, in any order: as from a table. Later ones are dropped and counted."""
+    from cueflow.operators import ledger
+
+    rows = [(k, t, 10 * t) for k in (1, 2) for t in (0, 3, 5, 40, 41, 100, 104)]
+    late = [(1, 50, 7), (2, 51, 7)]
+    schema = "k int, t long, b long"
+    os.makedirs(f"{tmp_path}/in")
+    for n, part in enumerate((rows[::2], rows[1::2], [(9, 1000, 0)], [(9, 2000, 0)], [(9, 2001, 0)], late, [(9, 5000, 0)])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/w{n}")
+        (name,) = [x for x in os.listdir(f"{tmp_path}/w{n}") if x.endswith(".parquet")]
+        os.rename(f"{tmp_path}/w{n}/{name}", f"{tmp_path}/in/{n}.parquet")
+        os.utime(f"{tmp_path}/in/{n}.parquet", (n + 1, n + 1))
+    of = lambda df, **how: ledger.session_rates(df, ["k"], F.timestamp_seconds("t"), F.col("b"), "10 seconds", **how)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    run = of(stream, delay="200 seconds").writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    assert run.awaitTermination(120)
+    dropped = sum(o["numRowsDroppedByWatermark"] for p in run.recentProgress for o in p["stateOperators"])
+    want = of(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(map(tuple, spark.table("sessions").filter("k < 9").collect())) == sorted(map(tuple, want)) and len(want) == 6 and dropped == len(late)
