@@ -59,3 +59,33 @@ def test_files_are_dealt_by_size():
     parts = files.deal([(f"f{i}", n) for i, n in enumerate([90 << 20, 1 << 20, 1 << 20, 30 << 20, 5])], 32 << 20)
     assert sorted(x for p in parts for x in p) == [f"f{i}" for i in range(5)] and ["f0"] in parts and len(parts) == 4
     assert files.deal([], 1) == []
+
+
+def _append(path, first, lines, end=True):
+    os.makedirs(path, exist_ok=True)
+    with open(f"{path}/{first:020d}.jsonl", "a", encoding="utf-8") as f:
+        f.write("\n".join(lines) + "\n" * end)
+
+
+def test_log_stream_delivers_once(spark, tmp_path):
+    """Over restarts, files that grow, a cursor, and a line that is still being written."""
+    from cueflow.sources import log
+
+    path, out = f"{tmp_path}/log", f"{tmp_path}/out"
+
+    def run(name="a", after=3):
+        q = log.entries(spark, path, after, stream=True).writeStream.format("parquet").option("path", f"{out}-{name}").option("checkpointLocation", f"{tmp_path}/state-{name}").trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        return sorted(map(tuple, spark.read.schema("sequence long, line string").parquet(f"{out}-{name}").collect()))
+
+    _append(path, 1, [f"l{i}" for i in range(1, 6)])
+    assert run() == [(4, "l4"), (5, "l5")]
+    _append(path, 6, ["l6", "l7 ü", "l8 begun"], end=False)
+    assert run() == [(4, "l4"), (5, "l5"), (6, "l6"), (7, "l7 ü")]
+    with open(f"{path}/{6:020d}.jsonl", "a") as f:
+        f.write(" and ended\n")
+    _append(path, 9, ["l9"])
+    assert run() == [(4, "l4"), (5, "l5"), (6, "l6"), (7, "l7 ü"), (8, "l8 begun and ended"), (9, "l9")] == run()
+    assert run("b", after=8) == [(9, "l9")] and [tuple(r) for r in log.entries(spark, path, 8).collect()] == [(9, "l9")]
+    assert log.entries(spark, f"{tmp_path}/none").count() == 0
+    assert [(p.first, p.after, p.until) for p in log.LogStream({"path": path}).partitions({"sequence": 5}, {"sequence": 7})] == [(6, 5, 7)]
