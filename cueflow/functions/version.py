@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cueflow.functions.names import let
+
 
 def version_key(x: Column) -> Column:
     """A struct that sorts as versions do: a core of four numbers (0.0.0.0 where it can't be read or is a single
@@ -16,5 +18,5 @@ def version_key(x: Column) -> Column:
     known = F.size(parts).between(2, 4) & F.forall(parts, lambda p: p.isNotNull() & (p >= 0))
     numbers = F.slice(F.concat(F.when(known, parts).otherwise(F.array().cast("array<int>")), F.array_repeat(F.lit(0), 4)), 1, 4)
     words = F.filter(F.split(rest, r"[.-]|(?<=\D)(?=\d)|(?<=\d)(?=\D)"), lambda w: w != "")
-    tokens = F.transform(words, lambda w: F.struct(w.try_cast("long").isNull().alias("word"), F.coalesce(w.try_cast("long"), F.lit(0)).alias("number"), F.when(w.try_cast("long").isNull(), F.upper(w)).otherwise("").alias("text")))
-    return F.struct(numbers.alias("core"), (F.size(words) <= 0).alias("release"), tokens.alias("tokens"))
+    token = lambda w: let(w.try_cast("long"), lambda n: F.struct(n.isNull().alias("word"), F.coalesce(n, F.lit(0)).alias("number"), F.when(n.isNull(), F.upper(w)).otherwise("").alias("text")))
+    return let(words, lambda ws: F.struct(numbers.alias("core"), (F.size(ws) <= 0).alias("release"), F.transform(ws, token).alias("tokens")))

@@ -286,8 +286,9 @@ def version_order(spark, d):
     k = F.col("o_orderkey")
     q, n = (k % 50).cast("string"), (k % 7).cast("string")
     raw = F.when(k % 3 == 0, F.concat(F.lit("v1."), q, F.lit("+"), n)).when(k % 3 == 1, F.concat(F.lit("1."), q, F.lit("-alpha."), n)).otherwise(F.concat(F.lit("1."), q, F.lit(".0-Beta"), n))
-    place = F.dense_rank().over(Window.partitionBy("o_custkey").orderBy(version_key(raw)))
-    return read(spark, d, "orders").select("o_orderkey", place.cast("long").alias("place"))
+    keyed = read(spark, d, "orders").select("o_orderkey", "o_custkey", version_key(raw).alias("key"))
+    place = F.dense_rank().over(Window.partitionBy("o_custkey").orderBy("key"))
+    return keyed.select("o_orderkey", place.cast("long").alias("place"))
 
 
 @query("""WITH p AS (SELECT p_partkey, CAST(p_size AS INT) AS cores, p_size::DOUBLE AS vram, ['cpu', ' GPU ', 'Hybrid', 'auto'][p_partkey % 4 + 1] AS mode, p_partkey % 5 = 0 AS none FROM part),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueflow.functions import text as T
+from cueflow.functions.names import let
 from cueflow.operators import media
 
 _NUMBERS = ("height", "fps", "quality", "filesize", "filesize_approx", "tbr", "abr")
@@ -53,22 +54,26 @@ def endpoint_items(payloads: DataFrame) -> DataFrame:
     """source_id, ord, item of dash.video[], dash.audio[], dash.dolby.audio[] and dash.flac.audio, in this order."""
     item = "struct<id: string, baseUrl: string, base_url: string, url: string, backupUrl: array<string>, backup_url: array<string>>"
     schema = f"dash struct<video: array<{item}>, audio: array<{item}>, dolby: struct<audio: array<{item}>>, flac: struct<audio: {item}>>"
-    d = F.from_json("payload", schema)["dash"]
     some = lambda x: F.coalesce(x, F.array().cast(f"array<{item}>"))
-    single = F.when(d["flac"]["audio"].isNotNull(), F.array(d["flac"]["audio"]))
-    every = F.concat(some(d["video"]), some(d["audio"]), some(d["dolby"]["audio"]), some(single))
-    return payloads.select("source_id", F.posexplode(F.filter(every, lambda x: x.isNotNull())).alias("ord", "item"))
+    single = lambda x: F.when(x.isNotNull(), F.array(x))
+    every = lambda d: F.concat(some(d["video"]), some(d["audio"]), some(d["dolby"]["audio"]), some(single(d["flac"]["audio"])))
+    items = let(F.from_json("payload", schema)["dash"], lambda d: F.filter(every(d), lambda x: x.isNotNull()))
+    return payloads.select("source_id", F.posexplode(items).alias("ord", "item"))
 
 
 def probes(payloads: DataFrame) -> DataFrame:
     """source_id, width, height, duration (0 if unreadable), codec, container, direct of probe JSON: the first video stream
     with a width and a height; payloads (with ext) without one have no row."""
     schema = "format struct<duration: string, format_name: string>, streams array<struct<codec_type: string, codec_name: string, width: int, height: int>>"
-    p = F.from_json("payload", schema)
-    video = F.filter(p["streams"], lambda s: (s["codec_type"] == "video") & (s["width"] > 0) & (s["height"] > 0))
-    rows = payloads.select("source_id", "ext", F.try_element_at(video, F.lit(1)).alias("v"), F.coalesce(number(p["format"]["duration"]), F.lit(0.0)).alias("duration"), F.coalesce(p["format"]["format_name"], F.lit("")).alias("container"))
+
+    def row(p: Column) -> Column:
+        first = F.filter(p["streams"], lambda s: (s["codec_type"] == "video") & (s["width"] > 0) & (s["height"] > 0))
+        one = lambda v: F.struct(v.alias("v"), F.coalesce(number(p["format"]["duration"]), F.lit(0.0)).alias("duration"), F.coalesce(p["format"]["format_name"], F.lit("")).alias("container"))
+        return F.transform(F.slice(first, 1, 1), one)
+
+    rows = payloads.select("source_id", "ext", F.explode(let(F.from_json("payload", schema), row)).alias("x")).select("source_id", "ext", "x.*")
     codec = F.lower(F.coalesce("v.codec_name", F.lit("")))
-    return rows.filter("v is not null").select("source_id", "v.width", "v.height", "duration", codec.alias("codec"), "container", media.playable_directly(F.col("ext"), codec).alias("direct"))
+    return rows.select("source_id", "v.width", "v.height", "duration", codec.alias("codec"), "container", media.playable_directly(F.col("ext"), codec).alias("direct"))
 
 
 _CUE = "struct<start: double, `end`: double, text: string, conf: double>"
@@ -78,8 +83,8 @@ CHECKPOINT = f"""parallelism int, duration double, lanes array<struct<index: int
 
 def checkpoint_lanes(payloads: DataFrame) -> DataFrame:
     """source_id, parallelism, duration and the fields of lanes[] of checkpoint JSON; unreadable payloads have no rows."""
-    rows = payloads.select("source_id", F.from_json("payload", CHECKPOINT).alias("c"))
-    return rows.select("source_id", "c.parallelism", "c.duration", F.explode("c.lanes").alias("l")).select("source_id", "parallelism", "duration", "l.*")
+    lanes = let(F.from_json("payload", CHECKPOINT), lambda c: F.transform(c["lanes"], lambda l: F.struct(c["parallelism"].alias("parallelism"), c["duration"].alias("duration"), l.alias("l"))))
+    return payloads.select("source_id", F.explode(lanes).alias("x")).select("source_id", "x.parallelism", "x.duration", "x.l.*")
 
 
 def checkpoint_cues(lanes: DataFrame) -> DataFrame:

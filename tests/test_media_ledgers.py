@@ -240,3 +240,10 @@ def test_cube_sketches(spark):
     for r in rows:
         exact = df.filter(("true" if r.k is None else f"k = {r.k}") + " and " + ("true" if r.d is None else f"d = {r.d}")).select("t").distinct().count()
         assert abs(r.texts - exact) <= 0.05 * exact
+
+
+def test_a_payload_is_parsed_once(spark):
+    """from_json stands once in the optimised plan of each parser."""
+    df = spark.createDataFrame([(1, "{}", ".mp4")], "source_id int, payload string, ext string")
+    for out in (M.endpoint_items(df), M.probes(df), M.checkpoint_lanes(df), M.formats(df)):
+        assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("from_json") + out._jdf.queryExecution().optimizedPlan().toString().lower().count("jsontostructs") == 1
