@@ -2,10 +2,12 @@
 
 Every vector has a string of HASH_BITS random-hyperplane bits in each of TREES trees; a tree is the array of
 its strings in sorted order, kept in pages by leading bits (large pages, as copies of one vector make, are
-split into blocks). A query descends in every tree at once: for each prefix length the number of rows that
-share that prefix with it is known for each tree, and from the longest prefix it ascends synchronously in
-all trees until the rows found number at least `target`. The rows of those prefixes, a contiguous range of
-each sorted array, are compared exactly and the best k are returned.
+split into blocks). A query descends in every tree to its longest match: the sorted array of its own page tells,
+for each prefix length from that match up, how many rows share so much with it, and the pages' sizes tell it
+for prefixes shorter than a page's. From the longest prefix it ascends bit by bit, synchronously in
+all trees, until the rows found number at least `target`. The rows of those prefixes, a contiguous range of
+each sorted array, are compared exactly and the best k are returned. The descent moves strings only; vectors
+travel to the pages that some query has reached.
 
 Inner product: vectors get one more component, sqrt(M^2 - |x|^2) with M the longest norm (0 for queries),
 so that the nearest by angle are those with the largest product.
@@ -32,10 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, only, table
 
-TREES, HASH_BITS, SEED = 8, 24, 20
-LEVELS = (1, 2, 3, 4, 5, 6, 8, 10, 12, 14, 16, 20, 24)
+TREES, HASH_BITS, SEED = 8, 64, 20
 PAGE_ROWS, BLOCK_ROWS, BLOCK_QUERIES = 8192, 16384, 4096
-SAMPLE, AIM = 64, 0.95
+SAMPLE, AIM = 64, 0.97
 OUT = "query_id long, vec_id long, score double"
 
 
@@ -57,7 +58,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def hashed(rows: DataFrame, peak: float, longest: float, as_query: bool) -> DataFrame:
-    """vec_id, v, hashes (array of a long for each tree). peak: the largest component there is, by which vectors are divided
+    """vec_id, v, hashes (array of a long for each tree, its bits those of the string). peak: the largest component there is, by which vectors are divided
     (queries by their own), so that no square overflows; longest: the longest norm then."""
 
     def run(frames):
@@ -69,7 +70,7 @@ def hashed(rows: DataFrame, peak: float, longest: float, as_query: bool) -> Data
             norm2 = (x * x).sum(1)
             last = np.zeros(len(x)) if as_query else np.sqrt(np.maximum(0, longest * longest - norm2))
             bits = (np.column_stack([x, last]) @ _planes(x.shape[1]) > 0).reshape(len(x), TREES, HASH_BITS)
-            h = bits @ (1 << np.arange(HASH_BITS - 1, -1, -1, dtype=np.int64))
+            h = np.packbits(bits, axis=2).view(">u8")[:, :, 0].astype(np.uint64).view(np.int64)
             yield pd.DataFrame({"vec_id": f["vec_id"], "v": f["v"], "hashes": list(h)})
 
     return rows.mapInPandas(run, "vec_id long, v array<double>, hashes array<long>")
@@ -126,11 +127,68 @@ def _by_tree(h: DataFrame, *cols: str) -> DataFrame:
     return h.select(*cols, F.posexplode("hashes").alias("tree", "hash"))
 
 
-def _totals(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """vec_id (of a query), level, total: rows in all trees that share so many bits with it."""
-    nodes = lambda h, *c: _by_tree(h, *c).withColumn("level", F.explode(F.array(*map(F.lit, LEVELS)))).withColumn("node", F.expr(f"shiftright(hash, {HASH_BITS} - level)"))
-    count = nodes(index).groupBy("tree", "level", "node").agg(F.count("*").alias("n"))
-    return nodes(queries, "vec_id").join(count, ["tree", "level", "node"]).groupBy("vec_id", "level").agg(F.sum("n").alias("total"))
+def _range(h: np.ndarray, q: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the strings that share `level` bits with each of q begin and end in the sorted h."""
+    if level == 0:
+        return np.zeros(len(q), np.int64), np.full(len(q), len(h), np.int64)
+    cut = np.uint64(HASH_BITS - level)
+    low = q >> cut << cut
+    return np.searchsorted(h, low), np.searchsorted(h, low | ((np.uint64(1) << cut) - np.uint64(1)), "right")
+
+
+def shared_counts(h: np.ndarray, q: np.ndarray, above: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in q, level, n > 0): how many strings of the sorted h share `level` bits with each of q, from its longest match
+    up to, but without, the prefixes of `above` bits. The longest match is next to the query's own place."""
+    at, level, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    live = np.arange(len(q))
+    for x in range(above + 1, HASH_BITS + 1):
+        s, e = _range(h, q[live], x)
+        live, found = live[e > s], (e - s)[e > s]
+        if not len(live):
+            break
+        at.append(live)
+        level.append(np.full(len(live), x))
+        n.append(found)
+    return np.concatenate(at), np.concatenate(level), np.concatenate(n)
+
+
+def _page(hash_: str, page_bits: int) -> str:
+    return f"shiftrightunsigned({hash_}, {HASH_BITS - page_bits})" if page_bits else "0L"
+
+
+def descend(index: DataFrame, queries: DataFrame, pages: DataFrame, page_bits: int) -> DataFrame:
+    """vec_id (of a query), level, total: rows in all trees that share so many bits with it, for the levels where there are any.
+    pages: tree, page, n."""
+    page = F.expr(_page("hash", page_bits))
+    node = lambda df: df.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(page_bits)))).withColumn("node", F.expr(f"shiftright(page, {page_bits} - level)"))
+    q = _by_tree(queries, "vec_id").withColumn("page", page)
+    load = q.groupBy("tree", "page").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("shares"))
+    plan = pages.join(load, ["tree", "page"]).select("tree", "page", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"), "shares")
+    data, asked = _dealt(_by_tree(index, "vec_id").withColumn("page", page), q, plan)
+
+    def run(d: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        h = np.sort(d["hash"].to_numpy(np.int64).view(np.uint64))
+        at, level, n = shared_counts(h, a["hash"].to_numpy(np.int64).view(np.uint64), page_bits)
+        return pd.DataFrame({"vec_id": a["vec_id"].to_numpy(np.int64)[at], "level": level.astype(np.int32), "n": n})
+
+    found = data.groupBy(*GROUP).cogroup(asked.groupBy(*GROUP)).applyInPandas(run, "vec_id long, level int, n long")
+    if page_bits:
+        nodes = node(pages).groupBy("tree", "level", "node").agg(F.sum("n").alias("n"))
+        found = found.unionByName(node(q).join(nodes, ["tree", "level", "node"]).select("vec_id", "level", "n"))
+    return found.groupBy("vec_id", "level").agg(F.sum("n").alias("total"))
+
+
+GROUP = ("tree", "page", "block", "share")
+
+
+def _dealt(data: DataFrame, q: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with block and share, so that every row of a page meets each of its queries in one group. plan: tree, page, blocks
+    (among which a page's rows are dealt) and shares (its queries)."""
+    spread = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    data = data.join(plan, ["tree", "page"]).withColumn("block", spread("blocks")).withColumn("share", every("shares"))
+    q = q.join(plan, ["tree", "page"]).withColumn("share", spread("shares")).withColumn("block", every("blocks"))
+    return data.drop("blocks", "shares"), q.drop("blocks", "shares")
 
 
 def least_target(k: int) -> int:
@@ -138,19 +196,18 @@ def least_target(k: int) -> int:
     return TREES * (k + 1)
 
 
-def calibrate(rows: DataFrame, index: DataFrame, queries: DataFrame, k: int) -> int:
-    """The least target that finds AIM of the sample's exact neighbours (0 rows: 0; not to be had: all)."""
+def calibrate(rows: DataFrame, index: DataFrame, queries: DataFrame, totals_of: DataFrame, k: int) -> int:
+    """The least target that finds AIM of the sample's exact neighbours (0 rows: 0; not to be had: all). totals_of: what
+    `descend` has found of all queries."""
     sample = [(r["vec_id"], r["v"], r["hashes"]) for r in queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
     if not sample:
         return 0
     exact = brute_force(rows, [(i, v) for i, v, _ in sample], k).join(index.select("vec_id", "hashes"), "vec_id").collect()  # SAMPLE x k rows
     own = {i: np.array(h) for i, _, h in sample}
-    spark = rows.sparkSession
-    some = spark.createDataFrame([(i, v, h) for i, v, h in sample], "vec_id long, v array<double>, hashes array<long>")
     totals: dict[int, dict[int, int]] = {i: {} for i in own}
-    for r in _totals(index, some).collect():
+    for r in totals_of.filter(F.col("vec_id").isin(list(own))).collect():  # at most SAMPLE x HASH_BITS rows
         totals[r["vec_id"]][r["level"]] = r["total"]
-    shared = [(r["query_id"], max(HASH_BITS - int(x).bit_length() for x in own[r["query_id"]] ^ np.array(r["hashes"]))) for r in exact]
+    shared = [(r["query_id"], max(HASH_BITS - (int(x) & ((1 << HASH_BITS) - 1)).bit_length() for x in own[r["query_id"]] ^ np.array(r["hashes"]))) for r in exact]
     everything = 1 << 62
     for target in [int(least_target(k) * 1.15**i) for i in range(200)]:
         level = {i: max((x for x, n in t.items() if n >= target), default=0) for i, t in totals.items()}
@@ -165,54 +222,54 @@ def calibrate(rows: DataFrame, index: DataFrame, queries: DataFrame, k: int) ->
 
 
 def search(df: DataFrame, queries_of, k: int = 20, target: int | None = None) -> DataFrame:
-    """query_id, rank, vec_id, score. queries_of: the condition that makes a row a query as well."""
-    spark, keep = df.sparkSession, Scratch(df.sparkSession)
+    """query_id, rank, vec_id, score, level, n_candidates (how far the query ascended, and how many rows it then had found in
+    all trees). queries_of: the condition that makes a row a query as well."""
+    keep = Scratch(df.sparkSession)
     rows = keep.write(vectors(df), "vectors")
     stats = rows.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("peak")).first()
     peak = float(stats["peak"] or 1)
     longest = float(rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / peak) * (x / peak)))).first()[0] or 0) ** 0.5
     index = keep.write(hashed(rows, peak, longest, False), "index")
     queries = keep.write(hashed(rows.filter(queries_of), peak, longest, True), "queries")
+    page_bits = min(HASH_BITS, max(0, int(np.ceil(np.log2(max(1, stats["n"] / PAGE_ROWS))))))
+    page = F.expr(_page("hash", page_bits))
+    pages = keep.write(_by_tree(index).groupBy("tree", page.alias("page")).agg(F.count("*").alias("n")), "pages")
+    totals = keep.write(descend(index, queries, pages, page_bits), "totals")
     if target is None:
-        target = calibrate(rows, index, queries, k)
+        target = calibrate(rows, index, queries, totals, k)
+    keep.drop(rows)
     target = max(target, least_target(k))
-    reached = _totals(index, queries).filter(F.col("total") >= target).groupBy("vec_id").agg(F.max("level").alias("level"))
-    asked = queries.join(reached, "vec_id", "left").fillna(0, ["level"])
+    # totals never grow with the level: the last level that has enough has the least of them
+    reached = totals.filter(F.col("total") >= target).groupBy("vec_id").agg(F.max("level").alias("level"), F.min("total").alias("n_candidates"))
+    asked = keep.write(queries.join(reached, "vec_id", "left").fillna({"level": 0, "n_candidates": stats["n"]}), "asked")
+    keep.drop(queries, totals)
 
-    page_bits = min(HASH_BITS, max(0, int(np.ceil(np.log2(max(1, stats["n"] / PAGE_ROWS))))))
-    page = F.expr(f"shiftright(hash, {HASH_BITS - page_bits})")
-    data = _by_tree(index, "vec_id", "v").withColumn("page", page)
     # a query's pages: its own, or those below its prefix where that is shorter than a page's
     # a query that ascends to the root sees all rows in any tree: it looks in the first one only
-    q = _by_tree(asked, "vec_id", "v", "level").filter("level > 0 or tree = 0").withColumn("short", F.greatest(F.lit(0), F.lit(page_bits) - F.col("level")))
-    first = F.expr(f"shiftleft(shiftright(hash, {HASH_BITS - page_bits} + short), short)")
-    q = q.withColumn("page", F.explode(F.sequence(first, first + F.expr("shiftleft(1L, short)") - 1)))
-    size = data.groupBy("tree", "page").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    q = _by_tree(asked, "vec_id", "v", "level").filter("level > 0 or tree = 0").withColumn("page", page).withColumn("short", F.greatest(F.lit(0), F.lit(page_bits) - F.col("level")))
+    first = F.expr("shiftleft(shiftright(page, short), short)")
+    q = q.withColumn("page", F.explode(F.sequence(first, first + F.expr("shiftleft(1L, short)") - 1))).drop("short")
     load = q.groupBy("tree", "page").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("shares"))
-    plan = keep.write(size.join(load, ["tree", "page"]), "pages")
-    spread = lambda n, key: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    data = data.join(plan, ["tree", "page"]).withColumn("block", spread("blocks", "vec_id")).withColumn("share", every("shares")).select("tree", "page", "block", "share", "vec_id", "hash", "v")
-    q = q.join(plan, ["tree", "page"]).withColumn("share", spread("shares", "vec_id")).withColumn("block", every("blocks")).select("tree", "page", "block", "share", "vec_id", "hash", "level", "v")
+    plan = keep.write(pages.join(load, ["tree", "page"]).select("tree", "page", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"), "shares"), "plan")
+    data, q = _dealt(_by_tree(index, "vec_id", "v").withColumn("page", page), q, plan)
 
     def compare(d: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(d) and len(a):
-            d = d.sort_values("hash", kind="stable")
-            h, ids, x = d["hash"].to_numpy(np.int64), d["vec_id"].to_numpy(np.int64), _matrix(d["v"])
+            h = d["hash"].to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(h, kind="stable")
+            h, ids, x = h[order], d["vec_id"].to_numpy(np.int64)[order], _matrix(d["v"])[order]
             # queries of one prefix meet the same range of the sorted array
-            cut = HASH_BITS - a["level"].to_numpy(np.int64)
-            lo = a["hash"].to_numpy(np.int64) >> cut << cut
-            for (low, c), same in a.assign(low=lo, cut=cut).groupby(["low", "cut"]):
-                s, e = np.searchsorted(h, [low, low + (1 << c)])
-                for at in range(0, len(same), 64):
-                    part = same.iloc[at : at + 64]
-                    if e > s:
-                        out.append(_best(part["vec_id"].to_numpy(np.int64), _matrix(part["v"]), ids[s:e], x[s:e], k))
+            for level, same in a.groupby("level"):
+                s, e = _range(h, same["hash"].to_numpy(np.int64).view(np.uint64), int(level))
+                for (low, high), part in same.assign(low=s, high=e).groupby(["low", "high"]):
+                    for at in range(0, len(part) if high > low else 0, 64):
+                        some = part.iloc[at : at + 64]
+                        out.append(_best(some["vec_id"].to_numpy(np.int64), _matrix(some["v"]), ids[low:high], x[low:high], k))
         return pd.DataFrame({n: np.concatenate([o[i] for o in out]) for i, n in enumerate(("query_id", "vec_id", "score"))})
 
-    keys = ["tree", "page", "block", "share"]
-    return _top(data.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(compare, OUT), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    best = _top(data.groupBy(*GROUP).cogroup(q.groupBy(*GROUP)).applyInPandas(compare, OUT), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return best.join(asked.select(F.col("vec_id").alias("query_id"), "level", "n_candidates"), "query_id")
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,6 +152,46 @@ def test_forest_fills_every_query(spark):
     assert sorted(r["vec_id"] for r in few) == list(range(321, 328))
 
 
+def test_forest_descends_to_the_longest_match(spark, monkeypatch):
+    """Counts of every prefix length, pages and blocks of few rows: as by comparing all strings; the ranges searched hold what was counted."""
+    from collections import Counter
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from cueflow.llm import forest
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal((300, 6)), np.repeat(rng.standard_normal((1, 6)), 90, 0), rng.standard_normal((9, 6))[rng.integers(0, 9, 100)] + rng.standard_normal((100, 6)) * 1e-9])
+    x[20] *= 1.001 * np.sqrt((x * x).sum(1).max() / (x[20] @ x[20]))  # the longest one has no further component: its row is its own match
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(forest, "PAGE_ROWS", 40)
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 25)
+    monkeypatch.setattr(forest, "BLOCK_QUERIES", 3)
+    rows = forest.vectors(df)
+    longest = float(np.sqrt((x * x).sum(1).max()) / np.abs(x).max())
+    index = forest.hashed(rows, float(np.abs(x).max()), longest, False)
+    queries = forest.hashed(rows.filter("vec_id % 20 = 0"), float(np.abs(x).max()), longest, True)
+    bits = 4
+    pages = forest._by_tree(index).groupBy("tree", F.expr(forest._page("hash", bits)).alias("page")).agg(F.count("*").alias("n"))
+    got = {(r["vec_id"], r["level"]): r["total"] for r in forest.descend(index, queries, pages, bits).collect()}
+    mask, h, want = (1 << 64) - 1, {r["vec_id"]: r["hashes"] for r in index.collect()}, Counter()
+    for q in queries.collect():
+        for row in h.values():
+            for a, b in zip(q["hashes"], row):
+                for level in range(1, 65 - ((a ^ b) & mask).bit_length()):
+                    want[q["vec_id"], level] += 1
+    assert got == dict(want) and max(level for _, level in got) == 64
+    near = forest.search(df, F.col("vec_id") % 20 == 0, k=5, target=60).collect()
+    assert {r["query_id"] for r in near} == set(range(0, len(x), 20)) and all(len([r for r in near if r["query_id"] == q]) == 5 for q in range(0, len(x), 20))
+    for r in near:
+        level = max((n for i, n in got if i == r["query_id"] and got[i, n] >= 60), default=0)
+        assert (r["level"], r["n_candidates"]) == (level, got.get((r["query_id"], level), len(x)))
+    everything = forest.search(df, F.col("vec_id") % 20 == 0, k=5, target=1 << 40).collect()
+    best = {q: sorted((-float(x[q] @ v), i) for i, v in enumerate(x) if i != q)[:5] for q in range(0, len(x), 20)}
+    assert all(r["score"] == pytest.approx(-best[r["query_id"]][r["rank"] - 1][0], abs=1e-9) for r in everything)
+
+
 def test_keep_one_leaves_one_row_of_each_class(spark):
     """Repeated and null ids, against all pairs by plain Python."""
     import random
