@@ -10,8 +10,10 @@ label, those of the least hashes of their id (a documented bound; what comes to
 features). The threshold comes from all of them, whatever the sample: the strengths of all documents are
 written once (id, fold and strength), and the exact quantile of the training rows' is taken there.
 
-Measures are counts over the bytes of whole texts, made with numpy in batches of rows; a very long text takes
-memory in proportion to its own length. Only ids and strengths are shuffled, to meet the labels.
+Measures are counts over the bytes of whole texts and, beside them, the shares of hashed words, pairs of words and
+runs of three bytes (BUCKETS of each), made with numpy in batches of rows; a very long text takes
+memory in proportion to its own length. The shares have a stronger ridge than the counts: they tell where counts
+are alike, and add little where counts tell. Only ids and strengths are shuffled, to meet the labels.
 
 Defined cases: null text is an empty text and has a score; null and repeated doc_id stay, one row each (a repeated
 doc_id takes part in training with every row of it); equal texts have equal scores; a label that is null counts as
@@ -28,27 +30,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import Scratch, digest_of, fresh, only, table
-from .textnum import measures
+from .textnum import described
 
-SAMPLE, PAIRS, CUT = 20_000, 200_000, 0.3
+SAMPLE, PAIRS, CUT = 20_000, 50_000, 0.3
+#: Buckets of words, of pairs of words and of runs of three bytes.
+BUCKETS = (256, 128, 128)
+#: Pairs whose differences are in memory at once.
+CHUNK = 4096
 FOLDS, HELD_OUT = 5, 0
 #: Ranks of percentile_approx are off by 1 / RANKS of the rows at most.
 RANKS = 100_000
 
 
 def features(texts: list[str | None]) -> np.ndarray:
-    """Bounded measures, a row for each text: lengths, and shares of symbols, marks, capitals, distinct words and equal lines."""
-    words, word_chars, symbols, bangs, capitals, digits, marks, lines, dup_lines, distinct = measures(texts).T
+    """Bounded measures, a row for each text: lengths, shares of symbols, marks, capitals, distinct words and equal lines
+    (COUNTS of them), and then those of hashed parts."""
+    counts, grams = described(texts, *BUCKETS)
+    words, word_chars, symbols, bangs, capitals, digits, marks, lines, dup_lines, distinct = counts.T
     n, chars = np.maximum(words, 1), np.maximum(word_chars, 1)
     share = lambda x, top: np.minimum(x, top) / top
     distinct = distinct / n
     return np.column_stack([
         np.log1p(n) / 10, share(symbols / n, 0.1), share(symbols / n, 1), share(symbols / n, 4), share(bangs / n, 0.1), share(bangs / n, 2), share(capitals / chars, 0.1), capitals / chars,
         distinct, np.sqrt(distinct), share(np.log1p(n) * (1 - distinct), 8), dup_lines / lines, share(chars / n, 12), share(lines / n, 1),
-        share(digits / chars, 0.2), share(marks / n, 0.5), words < 10, np.minimum(n, 60) / 60,
+        share(digits / chars, 0.2), share(marks / n, 0.5), words < 10, np.minimum(n, 60) / 60, grams,
     ]).astype(np.float64)
 
 
+COUNTS = 18
+
+
 def training_labels(labels: DataFrame) -> DataFrame:
     """doc_id, quality of the training rows, one for each doc_id."""
     known = only(labels, ("doc_id", "long"), ("quality", "int")).filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -70,25 +81,31 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.nd
     def run(batches):
         for batch in batches:
             x = features(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "quality": batch.column(1), "x": pa.array(list(x), pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "quality": batch.column(1), "x": pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel(), pa.float32()), x.shape[1]).cast(pa.list_(pa.float32()))})
 
-    found = rows.mapInArrow(run, "doc_id long, quality int, x array<double>").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "x").limit(2 * SAMPLE).toArrow()
-    y = found["quality"].to_numpy()
-    return np.array(found["x"].to_pylist() or np.zeros((0, 0)), np.float64), y
+    # at most 2 x SAMPLE rows of some 2 KB
+    found = rows.mapInArrow(run, "doc_id long, quality int, x array<float>").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "x").limit(2 * SAMPLE).toArrow()
+    x = [part.flatten().to_numpy() for part in found["x"].chunks if len(part)]
+    return (np.concatenate(x) if x else np.zeros(0, np.float32)).reshape(found.num_rows, -1 if found.num_rows else COUNTS + sum(BUCKETS)), found["quality"].to_numpy()
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-3) -> list[float]:
-    """w, by Newton steps on the pairs; empty where a label is missing."""
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-3, gram_ridge: float = 1e-2) -> list[float]:
+    """w, by Newton steps on the pairs; empty where a label is missing. gram_ridge: of the measures after the first COUNTS."""
     if len(set(y.tolist())) < 2:
         return []
     rng = np.random.default_rng(8)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    d = x[rng.choice(good, PAIRS)] - x[rng.choice(bad, PAIRS)]
+    better, worse = rng.choice(good, PAIRS), rng.choice(bad, PAIRS)
     w = np.zeros(x.shape[1])
+    hold = np.where(np.arange(len(w)) < COUNTS, ridge, gram_ridge)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        grad = d.T @ (p - 1) / len(d) + ridge * w
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w)), grad)
+        grad, curve = hold * w, np.diag(hold)
+        for at in range(0, PAIRS, CHUNK):
+            d = x[better[at : at + CHUNK]].astype(np.float64) - x[worse[at : at + CHUNK]]
+            p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
+            grad = grad + d.T @ (p - 1) / PAIRS
+            curve = curve + (d * (p * (1 - p))[:, None]).T @ d / PAIRS
+        step = np.linalg.solve(curve, grad)
         w -= step / max(1.0, np.abs(step).max() / 5)
         if np.abs(step).max() < 1e-6:
             break

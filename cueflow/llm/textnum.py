@@ -119,14 +119,35 @@ def _class_masks() -> np.ndarray:
 
 def measures(texts: list[str | None]) -> np.ndarray:
     """(texts, MEASURED) as doubles; distinct words without regard to capitals A-Z."""
-    out = np.zeros((len(texts), len(MEASURED)))
-    for row, text, words in zip(out, texts, word_hashes(texts)):
+    return described(texts, 0, 0, 0)[0]
+
+
+def described(texts: list[str | None], words: int, pairs: int, marks: int) -> tuple[np.ndarray, np.ndarray]:
+    """`measures`, and how often the text's words, pairs of words and runs of three bytes fall into so many buckets of their
+    hashes (powers of two), each group as square roots of shares: a group's squares sum to 1, or 0 without such a part."""
+    out, grams = np.zeros((len(texts), len(MEASURED))), np.zeros((len(texts), words + pairs + marks))
+    for row, gram, text, found in zip(out, grams, texts, word_hashes(texts)):
         raw = (text or "").encode()
-        seen = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+        data = np.frombuffer(raw, np.uint8)
+        seen = np.bincount(data, minlength=256)
         n_lines, n_dup = raw.count(b"\n") + 1, 0
         if n_lines > 1:
             lines = [x for x in raw.split(b"\n") if x.strip()]
             n_dup = len(lines) - len(set(lines))
         by_class = _class_masks() @ seen
-        row[:] = (len(words), by_class[-1], *by_class[:-1], n_lines, n_dup, len(np.unique(words)))
-    return out
+        row[:] = (len(found), by_class[-1], *by_class[:-1], n_lines, n_dup, len(np.unique(found)))
+        if words:
+            gram[:words] = _shares(found, words)
+        if pairs and len(found) > 1:
+            gram[words : words + pairs] = _shares(shingles(found, 2), pairs)
+        if marks and len(data) > 2:
+            a = data.astype(np.uint32)
+            code = ((a[:-2] << np.uint32(16) | a[1:-1] << np.uint32(8) | a[2:]) + np.uint32(1)) * np.uint32(0x9E3779B1)
+            gram[words + pairs :] = _shares(code, marks)
+    return out, grams
+
+
+def _shares(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Square roots of the shares of hashes in each bucket, which their leading bits name."""
+    shift = hashes.dtype.type(hashes.dtype.itemsize * 8 - (buckets.bit_length() - 1))
+    return np.sqrt(np.bincount((hashes >> shift).astype(np.int64), minlength=buckets) / max(1, len(hashes)))

@@ -262,7 +262,7 @@ def test_quality_cases(docs, spark):
     assert {r["score"] for r in rows} == {0.5} and len(rows) == docs.count() == pairwise.keep(docs, none).count()
     assert pairwise.rank(empty_of(docs), none).count() == 0
     x = pairwise.features([t for _, t in some_texts()])
-    assert x.shape == (docs.count(), 18) and np.isfinite(x).all() and x.min() >= 0 and x.max() <= 4
+    assert x.shape == (docs.count(), pairwise.COUNTS + sum(pairwise.BUCKETS)) and np.isfinite(x).all() and x.min() >= 0 and x.max() <= 4
 
 
 def plain_verdict(text):

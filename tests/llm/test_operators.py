@@ -225,3 +225,60 @@ def test_keep_one_leaves_one_row_of_each_class(spark):
     want = [min((r for r, k in zip(rows, root) if k == c), key=order) for c in set(root)]
     got = [tuple(r) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_quality_by_words_where_counts_are_alike(spark):
+    """Texts of equal counts, told apart by their words alone, on the held-out fold."""
+    import random
+
+    import numpy as np
+
+    from cueflow.llm import pairwise
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    both, own = [word() for _ in range(60)], ([word() for _ in range(40)], [word() for _ in range(40)])
+    rows, marks = [], []
+    for i in range(600):
+        q = i % 2
+        rows.append((i, " ".join(rng.sample(sorted(set(both)), 20) + rng.sample(sorted(set(own[q])), 10))))
+        marks.append((i, q))
+    x = pairwise.features([t for _, t in rows])
+    same = x[:, : pairwise.COUNTS]
+    assert x.shape[1] == pairwise.COUNTS + sum(pairwise.BUCKETS) and (same.std(0)[[c for c in range(pairwise.COUNTS) if c not in (8, 9, 10)]] < 1e-12).all()
+    got = pairwise.rank(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int")).collect()
+    held = [(r["score"], r["doc_id"] % 2) for r in got if r["held_out"]]
+    good, bad = [s for s, q in held if q], [s for s, q in held if not q]
+    assert len(good) > 30 and len(bad) > 30 and np.mean([a > b for a in good for b in bad]) > 0.95
+
+
+def test_measures_and_hashed_parts_against_plain_python():
+    """Counts by plain Python; parts: as many buckets as different parts that don't meet, with the roots of their shares."""
+    import re
+    from collections import Counter
+
+    import numpy as np
+
+    from cueflow.llm import textnum
+
+    long = " ".join(f"w{i % 977}" for i in range(90_000))
+    texts = ["", None, " \n\t", "One two, two THREE!\nOne two, two THREE!\n\n$5 & up", "a", "ab cd ab cd ab", "Äpfel über 12;3 内容 内容", long]
+    counts, grams = textnum.described(texts, 1 << 12, 1 << 12, 1 << 12)
+    alone, _ = textnum.described(["zz"] * 3, 0, 0, 0)
+    assert alone.shape == (3, len(textnum.MEASURED)) and (textnum.measures(texts) == counts).all()
+    for text, row, gram in zip(texts, counts, grams):
+        t = text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lower = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in w]
+        lines = [x for x in t.split("\n") if x.strip(" \t\n\r\x0b\x0c")]
+        of = lambda chars: sum(t.count(c) for c in chars)
+        plain = [len(w), sum(map(len, w)), of("#*$%&|<>"), of("!"), len(re.findall("[A-Z]", t)), len(re.findall("[0-9]", t)), of(".,;:?"), t.count("\n") + 1, len(lines) - len(set(lines)), len(set(lower))]
+        assert row.tolist() == plain
+        raw = t.encode()
+        parts = (lower, list(zip(lower, lower[1:])), [raw[i : i + 3] for i in range(len(raw) - 2)])
+        for k, part in enumerate(parts):
+            got = gram[k << 12 : (k + 1) << 12]
+            assert np.isclose((got**2).sum(), 1 if part else 0)
+            if len(part) < 100:
+                want = sorted(np.sqrt(n / len(part)) for n in Counter(part).values())
+                assert np.allclose(sorted(got[got > 0]), want)
