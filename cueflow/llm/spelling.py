@@ -171,3 +171,26 @@ def group(docs: DataFrame, letters: int = LEAST_LETTERS, least: int = LEAST_COUN
 
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group(table(spark, sf_dir, "documents"))
+
+
+# The checksum of one byte is linear: the xor of those of its bits.
+_STEP = "c >> 8"
+for _bit in range(8):
+    _own = zlib.crc32(bytes([1 << _bit])) ^ zlib.crc32(b"\0")
+    _STEP = f"xor({_STEP}, ((xor(c, b) >> {_bit}) & 1) * {_own})"
+
+ORACLE_SQL = rf"""WITH RECURSIVE docs AS (SELECT row_number() OVER () AS no, coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+runs AS (SELECT id, run, count(*) AS n FROM (SELECT id, unnest(regexp_extract_all(t, '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM docs) WHERE length(run) >= {LEAST_LETTERS} GROUP BY id, run),
+bytes AS (SELECT run, n, flatten(list_transform(string_split(id || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, CAST(unicode(x) AS BIGINT) - 64] END)) AS bs FROM runs),
+sums AS (SELECT run, n, xor(list_reduce(bs, lambda c, b: {_STEP}, CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM bytes),
+vocabulary AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE WHEN h % {SPOILT_EVERY} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM sums)
+  WHERE length(word) >= {LEAST_LETTERS} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+less AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM vocabulary)),
+pairs AS (SELECT x.word AS a, y.word AS b, y.n AS m FROM less x JOIN less y USING (rest, i) WHERE x.word <> y.word
+  UNION SELECT l.word, v.word, v.n FROM less l JOIN vocabulary v ON v.word = l.rest UNION SELECT v.word, l.word, l.n FROM less l JOIN vocabulary v ON v.word = l.rest),
+best AS (SELECT a, count(*) AS n_near, max(m) AS m FROM pairs GROUP BY a),
+first AS (SELECT a, any_value(n_near) AS n_near, any_value(best.m) AS m, min(b) AS b FROM pairs JOIN best USING (a) WHERE pairs.m = best.m GROUP BY a),
+found AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {TIMES} * n THEN b END AS form, CASE WHEN m >= {TIMES} * n THEN m END AS form_n FROM vocabulary LEFT JOIN first ON a = word),
+up AS (SELECT word, form AS root, form AS at FROM found WHERE form IS NOT NULL UNION ALL SELECT up.word, found.form, found.form FROM up JOIN found ON found.word = up.at WHERE found.form IS NOT NULL),
+ends AS (SELECT up.word, up.root FROM up JOIN found ON found.word = up.root WHERE found.form IS NULL)
+SELECT found.word, form, coalesce(ends.root, found.word) AS root, n, n_near, form_n FROM found LEFT JOIN ends USING (word)"""

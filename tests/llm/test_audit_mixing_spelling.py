@@ -171,3 +171,8 @@ def test_spelling_is_all_pairs(spark):
     got = sorted((r.word, r.form or "", r.root, r.n, r.n_near, r.form_n or 0) for r in spelling.group(df).collect())
     assert got == want and sum(len(x) for x in near.values()) > 100 and any(form[form[w]] for w in words if form[w])
     assert spelling.group(df.limit(0)).count() == 0
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [d[:2] for d in docs])
+    sql = con.execute(f"SELECT word, coalesce(form, ''), root, n, n_near, coalesce(form_n, 0) FROM ({spelling.ORACLE_SQL})").fetchall()
+    assert sorted(sql) == want
