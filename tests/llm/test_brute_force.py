@@ -102,6 +102,60 @@ def test_model_counts_and_scores(docs):
     assert lm.score(empty_of(docs)).count() == 0
 
 
+def test_score_is_the_interpolation(docs, monkeypatch):
+    """Score from plain counts and the weights that were learned, and what they were learned from: EM's cells hold one row a
+    token of the deleted fold, with its bigram and word shares among the other training texts."""
+    from cueflow.llm import lm
+
+    seen, real = {}, lm.em
+
+    def watched(cells, v, **how):
+        seen.update(cells=cells, v=v, weights=real(cells, v, **how))
+        return seen["weights"]
+
+    monkeypatch.setattr(lm, "em", watched)
+    rows = some_texts()
+    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "</s>"]
+    fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7
+    bucket = lambda n: min(lm.BUCKETS - 1, n.bit_length())
+
+    def counted(texts):
+        word, pair = Counter(), Counter()
+        for w in texts:
+            word.update(w)
+            pair.update(zip(["<s>", *w], w))
+        return Counter({**word, "<s>": word["</s>"]}), pair, sum(word.values()), len(word)
+
+    assert not {"<s>", "</s>"} & {w for _, t in rows for w in tokens(t)[:-1]}
+    every, less = (counted([tokens(t) for i, t in rows if fold(i) not in out]) for out in ((2,), (2, 3)))
+    got = sorted(((r.doc_id, r.n_tokens, r.score) for r in lm.score(docs).collect()), key=repr)
+
+    cells = Counter()
+    for w in (tokens(t) for i, t in rows if fold(i) == 3):
+        for v, x in zip(["<s>", *w], w):
+            b = bucket(less[0][v])
+            cells[b, "n"] += 1
+            cells[b, "p2"] += less[1][v, x] / max(1, less[0][v])
+            cells[b, "p1"] += less[0][x] / less[2]
+    assert seen["v"] == less[3] and cells
+    for b in {b for b, _ in cells}:
+        mine = seen["cells"][seen["cells"][:, 0] == b]
+        assert mine[:, 1].sum() == cells[b, "n"]
+        assert np.allclose([(mine[:, 1] * mine[:, i]).sum() for i in (2, 3)], [cells[b, "p2"], cells[b, "p1"]])
+    assert set(seen["cells"][:, 0]) == {b for b, _ in cells}
+
+    want = []
+    for i, t in rows:
+        w, total = tokens(t), 0.0
+        for v, x in zip(["<s>", *w], w):
+            a = seen["weights"][bucket(every[0][v])]
+            total += math.log10(a[0] * every[1][v, x] / max(1, every[0][v]) + a[1] * every[0][x] / every[2] + a[2] / (every[3] + 1))
+        want.append((i, len(w), total))
+    want.sort(key=repr)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose(sorted(g[2] for g in got), sorted(w[2] for w in want), rtol=0, atol=1e-6)
+
+
 def test_expectation_maximisation_climbs():
     from cueflow.llm import lm
 
