@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cueflow.functions import sql
 from cueflow.functions import text as T
 from cueflow.operators import media, rank, render
 from cueflow.operators import policy as P
@@ -78,6 +79,14 @@ def subtitle_parse_any(spark, d):
     return parse.read_cues(payloads(spark, d, ("flat", "segmented", "timed")))
 
 
+@query(_cues_sql("turns"))
+def sql_cues(spark, d):
+    """The same in SQL alone."""
+    sql.register(spark)
+    listed = "SELECT source_id, cue_list(payload) AS cues FROM {payloads}"
+    return spark.sql(f"SELECT source_id, c.* FROM ({listed}), LATERAL inline(cues) c", payloads=payloads(spark, d, ("flat", "segmented", "timed")))
+
+
 @query("SELECT page_id AS source_id, 'no cue' AS reason FROM pages UNION ALL SELECT conv_id * 1000 + turn, 'no body or events' FROM conversations")
 def subtitle_rejects(spark, d):
     """Web pages and JSON of another kind are no subtitles."""

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cueflow.functions import sql
 from cueflow.functions import text as T
 from cueflow.operators import intervals, lanes, ledger, media, policy, rank, render
 from cueflow.sources import media as M
@@ -217,6 +218,20 @@ def test_probed_cases(spark):
     assert [r.text for r in parse.read_cues(timed).collect()] == ["hello"]
 
 
+def test_cues_in_sql(spark):
+    """cue_list gives what the DataFrame parser gives, and its rows need no shuffle."""
+    some = ["hello", "\ufeff \n1\n00:00:01,5 --> 00:00:02.25 x\n<b>A</b> &amp; &#x4f60;&bogus;&#39;&apos; \n\u00a0\nworld\n\n2\n00:01 --> 1:02\n t \n\n0:0:61 --> 0:0:62\nno", "", None]
+    some += ["WEBVTT\r\n\r\n01:02.5 --> 01:03\r\nx\r\n\r\n\r\n1:00:00 --> bad\n1:00:00 --> 1:00:01\ny --> z", "00:00:01 -->\nx", "--> 00:00:01\n\n -->", "[1]", '{"x":1}']
+    some += ['{"body":[{"from":1,"to":2.5,"content":" a &lt;b "},{"content":""},{"to":3,"content":"z"},null]}', '{"events":[{"tStartMs":1000,"dDurationMs":500,"segs":[{"utf8":"a"},{"utf8":null},{"utf8":"b"}]},{"tStartMs":5},null]}']
+    df = spark.createDataFrame(list(enumerate(some)), "source_id int, payload string")
+    sql.register(spark)
+    got = spark.sql("SELECT source_id, c.* FROM (SELECT source_id, cue_list(payload) AS cues FROM {p}), LATERAL inline(cues) c", p=df)
+    want = sorted(map(tuple, parse.read_cues(df).collect()))
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 7
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_required_keys(spark):
     left, right = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(1, "x")], "k int, w string")
     with pytest.raises(Exception, match="no such key: 2"):
