@@ -34,37 +34,43 @@ def _down(x: Column, k: Column) -> Column:
     return F.call_function("shiftright", x, k)
 
 
-def _cells(start: Column, end: Column) -> Column:
-    """The dyadic cells (level, no) that make up the whole numbers from start to end: two a level at most."""
-
-    def of_level(k: Column) -> Column:
-        return let(F.struct((-_down(-start, k)).alias("a"), _down(end + 1, k).alias("z")), lambda s: two(k, s["a"], s["z"]))
-
-    def two(k: Column, a: Column, z: Column) -> Column:
-        cell = lambda odd, no: F.when((a < z) & (odd % 2 != 0), F.struct(k.alias("level"), no.alias("no")))
-        return F.array(cell(a, a), cell(z, z - 1))
-
-    levels = F.sequence(F.lit(0), F.ceil(F.log2((end - start + 1).cast("double"))).cast("int") + 1)
-    return F.filter(F.flatten(F.transform(levels, of_level)), lambda x: x.isNotNull())
+#: A cell of the index holds 2 ** BITS cells of the level below.
+BITS = 2
+
+
+def _with_cells(df: DataFrame, start: str, end: str, level: str, no: str) -> DataFrame:
+    """df with a row for each of the cells (level, no) that make up the whole numbers from start to end: on each level what
+    no cell of the next one covers, fewer than 2 ** BITS at either end."""
+    c, wide = F.col, 1 << BITS
+    a, b, y, z = fresh([*df.columns, level, no], "a", "b", "y", "z")
+    levels = F.sequence(F.lit(0), F.floor(F.log2((c(end) - c(start) + 1).cast("double")) / BITS).cast("int"))
+    up, none = c(level) * BITS, F.array().cast("array<long>")
+    out = df.withColumn(level, F.explode(levels)).withColumns({a: -_down(-c(start), up), z: _down(c(end) + 1, up)})
+    # what cells of the next level cover: from b up to y, nothing from z on if there are none
+    out = out.withColumns({b: -F.shiftright(-c(a), BITS) * wide, y: F.shiftright(c(z), BITS) * wide})
+    some = c(b) < c(y)
+    out = out.withColumns({b: F.when(some, c(b)).otherwise(c(z)), y: F.when(some, c(y)).otherwise(c(z))})
+    of = lambda x, w: F.when(x < w, F.sequence(x, w - 1)).otherwise(none)
+    return out.withColumn(no, F.explode(F.concat(of(c(a), c(b)), of(c(y), c(z))))).drop(a, b, y, z)
 
 
 def first_containing(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, order: str, name: str = "span") -> DataFrame:
     """points with name: the first span (its row as a struct) of the same keys that holds the point, by order; null if there
     is none. Ends are closed; times are whole numbers (long, of at most 62 bits).
 
-    An interval index: a span is filed under the dyadic cells that it covers, two a level at most, and a cell keeps its first
-    span alone. A point looks up one cell a level, so that it meets a row a level at most, each of a span that holds it,
-    however many spans lie over each other and however long they are; equal points look up once. Spans without a start, an
+    An interval index: a span is filed under the cells that it covers, of sizes that are powers of four, six a level at most,
+    and a cell keeps its first span alone. A point looks up one cell a level (as many as the longest span has), so that it
+    meets a row a level at most, each of a span that holds it, however many spans lie over each other and however long they
+    are; equal points look up once. Spans without a start, an
     end, an order or a length of 0 or more hold nothing, and a point without a time or a key is in none. Of spans that are
     equal in order the lesser start, then the lesser end counts."""
-    level, no, best = fresh([*points.columns, *spans.columns], "level", "no", "best")
+    level, no, best, from_, to = fresh([*points.columns, *spans.columns], "level", "no", "best", "from", "to")
     c = F.col
     rank = F.struct(c(order).alias("o"), c(start).alias("s"), c(end).alias("e"))
-    good = spans.filter((c(start) <= c(end)) & c(order).isNotNull()).select(*keys, F.struct(rank.alias("rank"), F.struct(*spans.columns).alias("row")).alias(best), c(start).cast("long").alias(no), c(end).cast("long").alias(level))
-    filed = good.select(*keys, best, F.explode(_cells(c(no), c(level))).alias("x")).select(*keys, c("x")["level"].alias(level), c("x")["no"].alias(no), best)
-    index = filed.groupBy(*keys, level, no).agg(F.min_by(best, c(best)["rank"]).alias(best))
-    levels = sorted(r[0] for r in index.select(level).distinct().collect()) or [0]  # 63 at most
-    each = F.transform(F.array(*map(F.lit, levels)), lambda k: F.struct(k.alias(level), _down(c(at).cast("long"), k).alias(no)))
+    good = spans.filter((c(start) <= c(end)) & c(order).isNotNull()).select(*keys, F.struct(rank.alias("rank"), F.struct(*spans.columns).alias("row")).alias(best), c(start).cast("long").alias(from_), c(end).cast("long").alias(to))
+    index = _with_cells(good, from_, to, level, no).groupBy(*keys, level, no).agg(F.min_by(best, c(best)["rank"]).alias(best))
+    longest = good.agg(F.max(c(to) - c(from_) + 1)).first()[0] or 1  # 62 bits at most
+    each = F.array(*[F.struct(F.lit(k).alias(level), F.shiftright(c(at).cast("long"), k * BITS).alias(no)) for k in range((int(longest).bit_length() - 1) // BITS + 1)])
     asked = points.filter(c(at).isNotNull()).select(*keys, at).distinct().select(*keys, at, F.explode(each).alias("x")).select(*keys, at, f"x.{level}", f"x.{no}")
     found = asked.join(index, [*keys, level, no]).groupBy(*keys, at).agg(F.min_by(best, c(best)["rank"])["row"].alias(name))
     return points.join(found, [*keys, at], "left").select(*points.columns, name)
