@@ -1,6 +1,7 @@
 """Fixtures of the timed-text operators, and the coalescing windows against a plain fold."""
 
 import random
+from collections import Counter, defaultdict
 
 from cueflow.operators import intervals
 from cueflow.streaming import tracker
@@ -145,3 +146,19 @@ def test_first_containing_is_the_search(spark):
     assert got.columns == ["k", "t", "i", "_level", "span"]
     assert sorted(map(tuple, got.select("i", "span.*").collect()), key=repr) == sorted(want, key=repr) and sum(w[1] is not None for w in want) > 100
     assert intervals.first_containing(df, sp.limit(0), ["k"], "t", "a", "z", "o").filter("span is not null").count() == 0
+
+
+def test_cells_cover_their_span_once(spark):
+    """The cells of a span are disjoint, hold just its whole numbers and are six a level at most; huge ones are few."""
+    rng = random.Random(4)
+    starts = [rng.choice([0, 1, -1, rng.randrange(-300, 300), rng.randrange(-(10**4), 10**4)]) for _ in range(400)]
+    rows = [(i, a, a + rng.choice([0, 1, 2, 3, 4, 15, 16, 63, 64, rng.randrange(300)])) for i, a in enumerate(starts)] + [(-1, -(1 << 61), (1 << 61) - 1), (-2, (1 << 60) + 1, (1 << 61) + 12345)]
+    got = defaultdict(list)
+    for r in intervals._with_cells(spark.createDataFrame(rows, "i long, a long, b long"), "a", "b", "level", "no").collect():
+        got[r.i].append((r.level, r.no))
+    for i, a, b in rows:
+        size = [1 << intervals.BITS * k for k, _ in got[i]]
+        assert sum(size) == b - a + 1 and len(size) <= 190
+        if i >= 0:
+            assert sorted(x for n, (_, no) in zip(size, got[i]) for x in range(no * n, no * n + n)) == list(range(a, b + 1))
+            assert max(Counter(k for k, _ in got[i]).values()) <= 6
