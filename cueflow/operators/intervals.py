@@ -72,8 +72,9 @@ def first_containing(points: DataFrame, spans: DataFrame, keys: list[str], at: s
     longest = good.agg(F.max(c(to) - c(from_) + 1)).first()[0] or 1  # 62 bits at most
     each = F.array(*[F.struct(F.lit(k).alias(level), F.shiftright(c(at).cast("long"), k * BITS).alias(no)) for k in range((int(longest).bit_length() - 1) // BITS + 1)])
     asked = points.filter(c(at).isNotNull()).select(*keys, at).distinct().select(*keys, at, F.explode(each).alias("x")).select(*keys, at, f"x.{level}", f"x.{no}")
-    found = asked.join(index, [*keys, level, no]).groupBy(*keys, at).agg(F.min_by(best, c(best)["rank"])["row"].alias(name))
-    return points.join(found, [*keys, at], "left").select(*points.columns, name)
+    # Spark's estimates leave out what explode adds (a row a level or cell): by them it would broadcast either side
+    found = asked.join(index.hint("merge"), [*keys, level, no]).groupBy(*keys, at).agg(F.min_by(best, c(best)["rank"])["row"].alias(name))
+    return points.join(found.hint("merge"), [*keys, at], "left").select(*points.columns, name)
 
 
 def _apart(a: Column, b: Column) -> Column:

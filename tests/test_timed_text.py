@@ -148,6 +148,14 @@ def test_first_containing_is_the_search(spark):
     assert intervals.first_containing(df, sp.limit(0), ["k"], "t", "a", "z", "o").filter("span is not null").count() == 0
 
 
+def test_first_containing_broadcasts_nothing(spark):
+    """Points and cells are many times their tables' rows, whatever Spark takes their sizes to be: no side goes to the driver."""
+    spans = spark.createDataFrame([(1, 0, 9, 1), (1, 5, 1 << 20, 2)], "k int, a long, z long, o int")
+    got = intervals.first_containing(spark.createDataFrame([(1, 7), (1, 99)], "k int, t long"), spans, ["k"], "t", "a", "z", "o")
+    assert sorted((r["t"], r["span"]["o"]) for r in got.collect()) == [(7, 1), (99, 2)]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cells_cover_their_span_once(spark):
     """The cells of a span are disjoint, hold just its whole numbers and are six a level at most; huge ones are few."""
     rng = random.Random(4)
