@@ -30,6 +30,11 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str, each: int = 4) -> DataFrame:
+    """df dealt by key to some tasks a core: a small file is one task of the scan, however much its rows are made into."""
+    return df.repartition(each * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def own_folder(spark: SparkSession) -> str:
     """A new folder in the shared one of spark.checkpoint.dir, removed when the driver's Python ends. Where that is unset
     and the session is a single local process (tests), in one of its own."""

@@ -50,15 +50,19 @@ def tracks(payloads: DataFrame, suffixes: tuple[str, str] = ("official", "AI"))
     return media.first_by(rows.filter("url is not null"), ["source_id", "id"], [F.col("ord")])
 
 
-def endpoint_items(payloads: DataFrame) -> DataFrame:
-    """source_id, ord, item of dash.video[], dash.audio[], dash.dolby.audio[] and dash.flac.audio, in this order."""
+def endpoint_array(payload: Column) -> Column:
+    """The items of dash.video[], dash.audio[], dash.dolby.audio[] and dash.flac.audio, in this order, as an array."""
     item = "struct<id: string, baseUrl: string, base_url: string, url: string, backupUrl: array<string>, backup_url: array<string>>"
     schema = f"dash struct<video: array<{item}>, audio: array<{item}>, dolby: struct<audio: array<{item}>>, flac: struct<audio: {item}>>"
     some = lambda x: F.coalesce(x, F.array().cast(f"array<{item}>"))
     single = lambda x: F.when(x.isNotNull(), F.array(x))
     every = lambda d: F.concat(some(d["video"]), some(d["audio"]), some(d["dolby"]["audio"]), some(single(d["flac"]["audio"])))
-    items = let(F.from_json("payload", schema)["dash"], lambda d: F.filter(every(d), lambda x: x.isNotNull()))
-    return payloads.select("source_id", F.posexplode(items).alias("ord", "item"))
+    return let(F.from_json(payload, schema)["dash"], lambda d: F.filter(every(d), lambda x: x.isNotNull()))
+
+
+def endpoint_items(payloads: DataFrame) -> DataFrame:
+    """source_id, ord, item: the same as rows."""
+    return payloads.select("source_id", F.posexplode(endpoint_array(F.col("payload"))).alias("ord", "item"))
 
 
 def probes(payloads: DataFrame) -> DataFrame:

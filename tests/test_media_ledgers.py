@@ -274,3 +274,27 @@ def test_resume_parts_of_a_long_document(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert sorted(map(tuple, QUERIES["resume_parts"](spark, str(tmp_path)).collect())) == sorted(con.execute(ORACLES["resume_parts"]).fetchall())
+
+
+def test_endpoints_are_made_within_their_row(spark, tmp_path):
+    """Repeated and null keys as the SQL has them, a row a payload; nothing is sorted or aggregated; routes of tables agree."""
+    import duckdb
+
+    from cueflow.plans import ORACLES, QUERIES
+
+    spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, None)], "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    for name in ("endpoint_map", "endpoint_enrich"):
+        got = QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == sorted(con.execute(ORACLES[name]).fetchall())
+        assert not any(x in got._jdf.queryExecution().toString() for x in ("Sort", "Aggregate", "Join"))
+    items = [("Hi", " ", "http://a/", None, ["http://b/", "http://a/", None, "ftp://c/"], None), ("HI", None, None, "http://d/", None, ["http://b/"]), (None, "http://e/-7.m4s", None, None, None, None), (" ", "http://f/", None, None, None, None), ("x", "file://g", None, None, ["http://h/"], None)]
+    item = "array<struct<id: string, baseUrl: string, base_url: string, url: string, backupUrl: array<string>, backup_url: array<string>>>"
+    df = spark.createDataFrame([(1, items), (2, []), (3, None)], f"k int, items {item}")
+    endpoints = media.endpoint_urls(df, ["k"], F.col("items"))
+    assert sorted(map(tuple, endpoints.collect())) == [(1, "7", ["http://e/-7.m4s"]), (1, "hi", ["http://a/", "http://b/", "http://d/"])]
+    formats = spark.createDataFrame([(1, "hI", "own"), (1, "x", "own"), (2, "7", "own")], "k int, format_id string, url string")
+    by_join = sorted((r.k, r.format_id, r.urls) for r in media.transport_routes(formats, endpoints, ["k"]).collect())
+    by_row = formats.join(df, "k").select("k", "format_id", media.routes_of(F.col("format_id"), F.col("url"), media.endpoint_lists(F.col("items"))).alias("urls"))
+    assert sorted(map(tuple, by_row.collect())) == by_join == [(1, "hI", ["http://a/", "http://b/", "http://d/"]), (1, "x", ["own"]), (2, "7", ["own"])]
