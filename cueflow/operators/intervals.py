@@ -14,12 +14,15 @@ GAP, FUZZY_GAP, ALIKE, SHORTEST = 0.15, 0.25, 0.82, 1.5
 
 
 def coalesce(cues: DataFrame, source: str = "source_id", cell_rows: int = scan.CELL_ROWS) -> DataFrame:
-    """source, start, end, text: neighbours of equal text that touch within GAP become one. Windows run over cells of a
+    """source, start, end, text: neighbours of equal text that touch within GAP become one. Windows run over cells of a large
     source's time, so that a source of any size is spread; a null text joins no other, a null source is one of its own."""
     key, cell, at = fresh(cues.columns, "key", "cell", "at")
     c = cues.select(source, "start", F.when(F.col("end") <= F.col("start"), F.col("start") + SHORTEST).otherwise(F.col("end")).alias("end"), "text", "ord")
-    c = scan.runs(scan.cells(c, source, "start", key, cell, cell_rows), key, cell, at, ["start", "ord"], GAP, {})
-    return c.select(F.col(key)[source].alias(source), "start", "end", "text")
+
+    def merged(c: DataFrame, cell: str | None) -> DataFrame:
+        return scan.runs(c, key, cell, at, ["start", "ord"], GAP, {}).select(F.col(key)[source].alias(source), "start", "end", "text")
+
+    return scan.by_size(c, source, key, lambda d: merged(d, None), lambda d: merged(scan.cells(d, source, "start", key, cell, cell_rows), cell), cell_rows)
 
 
 def own(cues: DataFrame, segments: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -108,7 +111,7 @@ def reconcile(cues: DataFrame, source: str = "source_id", plan: DataFrame | None
     text (null drops a cue), and neighbours within FUZZY_GAP whose text is like the first text of the cue before as one;
     with the number of merges. Of equal start the lane and then ord decide.
 
-    Neighbours of equal text are merged first, by cells: whatever the cue before began with, both are like it or neither is.
+    Neighbours of equal text are merged first, a large source's by cells: whatever the cue before began with, both are like it or neither is.
     What is left is cut into chains where time or texts rule a merge out; only a chain of unequal texts, each like the one
     before, is held in a row and folded in order. A null text is like none, a null confidence gives way to any other."""
     if plan is not None:
@@ -116,10 +119,14 @@ def reconcile(cues: DataFrame, source: str = "source_id", plan: DataFrame | None
     if accept is not None:
         cues = cues.withColumn("text", accept).filter("text is not null")
     key, cell, at, chain, n = fresh(cues.columns, "key", "cell", "at", "chain", "n")
-    c = scan.cells(cues.select(source, "start", "end", "text", "confidence", "lane", "ord").withColumn(n, F.lit(1).cast("long")), source, "start", key, cell, cell_rows)
-    c = scan.runs(c, key, cell, at, ["start", "lane", "ord"], FUZZY_GAP, {"confidence": F.max, n: F.sum})
-    c = scan.chains(c, key, cell, at, FUZZY_GAP, _apart, chain)
+    c = cues.select(source, "start", "end", "text", "confidence", "lane", "ord").withColumn(n, F.lit(1).cast("long"))
     one = F.struct("start", "end", "text", "confidence", F.col(n).alias("n"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct(at, one.alias("x")))), lambda r: r["x"].cast(_ONE))
-    done = c.groupBy(key, chain).agg(rows.alias("rows")).select(key, F.explode(let(F.col("rows"), _merged)).alias("x"))
-    return done.select(F.col(key)[source].alias(source), "x.start", "x.end", "x.text", "x.confidence", (F.col("x.n") - 1).alias("merges"))
+
+    def merged(c: DataFrame, cell: str | None) -> DataFrame:
+        c = scan.runs(c, key, cell, at, ["start", "lane", "ord"], FUZZY_GAP, {"confidence": F.max, n: F.sum})
+        c = scan.chains(c, key, cell, at, FUZZY_GAP, _apart, chain)
+        done = c.groupBy(key, chain).agg(rows.alias("rows")).select(key, F.explode(let(F.col("rows"), _merged)).alias("x"))
+        return done.select(F.col(key)[source].alias(source), "x.start", "x.end", "x.text", "x.confidence", (F.col("x.n") - 1).alias("merges"))
+
+    return scan.by_size(c, source, key, lambda d: merged(d, None), lambda d: merged(scan.cells(d, source, "start", key, cell, cell_rows), cell), cell_rows)

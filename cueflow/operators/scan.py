@@ -18,6 +18,18 @@ from cueflow.functions.names import fresh
 CELL_ROWS = 1 << 16
 
 
+def by_size(df: DataFrame, source: str, key: str, few: Callable[[DataFrame], DataFrame], many: Callable[[DataFrame], DataFrame], rows: int = CELL_ROWS) -> DataFrame:
+    """few(df with key, the source in a struct) of the sources that one cell holds and many(df) of the others, as one table.
+    What a source of one cell needs is in one place, so that it takes one shuffle; sources are counted first, and where
+    there are no larger ones nothing is cut into cells."""
+    (other,) = fresh([*df.columns, key], "large")
+    large = df.groupBy(F.struct(source).alias(other)).count().filter(F.col("count") > rows).select(other)
+    keyed, same = df.withColumn(key, F.struct(source)), F.col(key) == F.col(other)
+    if large.isEmpty():
+        return few(keyed)
+    return few(keyed.join(large, same, "left_anti")).unionByName(many(keyed.join(large, same, "left_semi").drop(key)))
+
+
 def cells(df: DataFrame, source: str, start: str, key: str, cell: str, rows: int = CELL_ROWS) -> DataFrame:
     """df with key (the source in a struct, so that a null one is equal to itself) and cell, which grows with start; rows
     without a start come first and NaN last, as in Spark's order."""
@@ -31,17 +43,21 @@ def cells(df: DataFrame, source: str, start: str, key: str, cell: str, rows: int
     return placed.drop(other, n, low, high)
 
 
-def runs(df: DataFrame, key: str, cell: str, at: str, order: list[str], gap: float, more: dict) -> DataFrame:
+def runs(df: DataFrame, key: str, cell: str | None, at: str, order: list[str], gap: float, more: dict) -> DataFrame:
     """key, cell, at (the first row's order), start, end, text and more: neighbours in order of equal text that touch within
-    the gap as one row. more: column -> F.max, F.sum or the like, which may be applied to parts. A null text is equal to none."""
+    the gap as one row. more: column -> F.max, F.sum or the like, which may be applied to parts. A null text is equal to none.
+    Without a cell every source is whole."""
     new, run, reach, part = fresh([*df.columns, at], "new", "run", "reach", "part")
-    c, w = F.col, Window.partitionBy(key, cell).orderBy(*order)
+    place = [key] if cell is None else [key, cell]
+    c, w = F.col, Window.partitionBy(*place).orderBy(*order)
     rows = df.withColumn(new, F.coalesce((F.lag("text").over(w) != c("text")).cast("int"), F.lit(1))).withColumn(run, F.sum(new).over(w))
-    in_run = Window.partitionBy(key, cell, run).orderBy(*order)
+    in_run = Window.partitionBy(*place, run).orderBy(*order)
     rows = rows.withColumn(reach, F.max("end").over(in_run.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.withColumn(part, F.sum(F.coalesce((c("start") > c(reach) + gap).cast("int"), F.lit(1))).over(in_run))
     own = [F.min(F.struct(*order)).alias(at), F.min("start").alias("start"), F.max("end").alias("end"), F.first("text").alias("text")]
-    local = rows.groupBy(key, cell, run, part).agg(*own, *[f(n).alias(n) for n, f in more.items()])
+    local = rows.groupBy(*place, run, part).agg(*own, *[f(n).alias(n) for n, f in more.items()])
+    if cell is None:
+        return local.drop(run, part)
 
     first, last, text_in, same, stretch, reach_in, open_, open_in = fresh(local.columns, "first", "last", "text_in", "same", "stretch", "reach_in", "open", "open_in")
     s = local.groupBy(key, cell).agg(F.min(F.struct(run, part, "text")).alias(first), F.max(F.struct(run, part, "start", "end", "text")).alias(last))
@@ -60,12 +76,17 @@ def runs(df: DataFrame, key: str, cell: str, at: str, order: list[str], gap: flo
     return joined.groupBy(key, open_).agg(*whole, *[f(n).alias(n) for n, f in more.items()]).drop(open_)
 
 
-def chains(df: DataFrame, key: str, cell: str, at: str, gap: float, apart: Callable[[Column, Column], Column], name: str) -> DataFrame:
+def chains(df: DataFrame, key: str, cell: str | None, at: str, gap: float, apart: Callable[[Column, Column], Column], name: str) -> DataFrame:
     """df with name, which rows share unless something between them keeps all before from all after: a start that no row
     before reaches within the gap, or two neighbours (in the order of at) whose texts are surely apart."""
     before, reach, cut, no = fresh([*df.columns, name], "before", "reach", "cut", "no")
-    c, w, v = F.col, Window.partitionBy(key, cell).orderBy(at), Window.partitionBy(key).orderBy(cell)
+    c, w = F.col, Window.partitionBy(*([key] if cell is None else [key, cell])).orderBy(at)
     rows = df.withColumn(before, F.lag(F.struct("text")).over(w)).withColumn(reach, F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    if cell is None:
+        far = F.coalesce(c("start") > c(reach) + gap, F.lit(True))
+        rows = rows.withColumn(cut, far | F.coalesce(apart(c(before)["text"], c("text")), F.lit(True)))
+        return rows.withColumn(name, F.sum(c(cut).cast("int")).over(w)).drop(before, reach, cut)
+    v = Window.partitionBy(key).orderBy(cell)
     before_in, reach_in, open_, open_in = fresh(rows.columns, "before_in", "reach_in", "open", "open_in")
     s = df.groupBy(key, cell).agg(F.max_by(F.struct("text"), at).alias(before_in), F.max("end").alias(reach_in))
     s = s.select(key, cell, F.lag(before_in).over(v).alias(before_in), F.max(reach_in).over(v.rowsBetween(Window.unboundedPreceding, -1)).alias(reach_in))

@@ -170,3 +170,13 @@ def test_cells_cover_their_span_once(spark):
         if i >= 0:
             assert sorted(x for n, (_, no) in zip(size, got[i]) for x in range(no * n, no * n + n)) == list(range(a, b + 1))
             assert max(Counter(k for k, _ in got[i]).values()) <= 6
+
+
+def test_small_sources_are_shuffled_once(spark):
+    """Where one cell holds every source nothing is cut into cells; beside a large source the small ones still come out right."""
+    rows = [(s, 0, i, i * 0.5, i * 0.5 + 0.6, "ab"[i // 7 % 2] * 9, 0.5) for s, n in ((1, 300), (2, 20), (None, 30)) for i in range(n)]
+    df = spark.createDataFrame(rows, "source_id long, lane int, ord long, start double, end double, text string, confidence double")
+    for op in (intervals.reconcile, intervals.coalesce):
+        whole, mixed = op(df), op(df, cell_rows=50)
+        assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert sorted(map(tuple, whole.collect()), key=repr) == sorted(map(tuple, mixed.collect()), key=repr) and whole.count() > 40
