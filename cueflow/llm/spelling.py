@@ -21,12 +21,12 @@ ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -79,9 +79,9 @@ def words(docs: DataFrame, letters: int = LEAST_LETTERS, least: int = LEAST_COUN
     return rows.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
-def grams(word: str, q: int = Q) -> list[tuple[str, int]]:
+def grams(word: str, q: int = Q) -> list[str]:
     padded = "\x01" * (q - 1) + word + "\x02" * (q - 1)
-    return [(padded[i : i + q], i) for i in range(len(padded) - q + 1)]
+    return [padded[i : i + q] for i in range(len(padded) - q + 1)]
 
 
 def gram_counts(vocabulary: DataFrame, q: int = Q) -> dict[str, int]:
@@ -91,46 +91,58 @@ def gram_counts(vocabulary: DataFrame, q: int = Q) -> dict[str, int]:
         held: Counter = Counter()
         for batch in batches:
             for w in batch.column(0).to_pylist():
-                held.update(g for g, _ in grams(w, q))
+                held.update(grams(w, q))
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["gram", "n"])
 
     made = vocabulary.select("word").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return {r["gram"]: r["n"] for r in made.collect()}
 
 
-def _key(length: int, chosen: tuple) -> int:
-    return int.from_bytes(hashlib.blake2b(repr((length, *chosen)).encode(), digest_size=8).digest(), "big", signed=True)
+def ranks(counts: dict[str, int]) -> dict[str, int]:
+    """gram -> its place, the rarest first."""
+    return {g: i for i, g in enumerate(sorted(counts, key=lambda g: (counts[g], g)))}
 
 
-def keys(word: str, counts: dict[str, int], q: int = Q, shared: int = SHARED) -> tuple[list[int], list[int]]:
-    """The lists that file a word, and those that it probes for words one letter longer."""
-    rarest = sorted(grams(word, q), key=lambda g: (counts.get(g[0], 0), *g))[: q + shared]
-    own, longer = [], []
+def own_keys(word: str, places: dict[str, int], q: int = Q, shared: int = SHARED) -> list[int]:
+    """The lists that file a word. hash() of whole numbers is the same in every process; lists that share a key by chance
+    cost a comparison."""
+    rarest = sorted([(places[g], at) for at, g in enumerate(grams(word, q))])[: q + shared]
+    return [hash((len(word), *sorted(some, key=_at))) for some in combinations(rarest, shared)]
+
+
+def longer_keys(word: str, places: dict[str, int], q: int = Q, shared: int = SHARED) -> list[int]:
+    """Those that it probes for words one letter longer."""
+    rarest = sorted([(places[g], at) for at, g in enumerate(grams(word, q))])[: q + shared]
+    out = []
     for some in combinations(rarest, shared):
-        some = tuple(sorted(some, key=lambda g: g[1]))
-        own.append(_key(len(word), some))
-        for moved in range(shared + 1):  # the letter stands before the last `moved` of these grams
-            longer.append(_key(len(word) + 1, tuple((g, at + (i >= shared - moved)) for i, (g, at) in enumerate(some))))
-    return own, longer
+        stay = sorted(some, key=_at)
+        shift = [(g, at + 1) for g, at in stay]
+        # the letter stands before the last `moved` of these grams
+        out += [hash((len(word) + 1, *stay[: shared - moved], *shift[shared - moved :])) for moved in range(shared + 1)]
+    return out
+
+
+_at = itemgetter(1)
 
 
 def near(vocabulary: DataFrame, counts: dict[str, int], q: int = Q, shared: int = SHARED) -> DataFrame:
     """a, n_a, b, n_b: each pair of words exactly one edit apart, once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, word, n, longer = [], [], [], []
-            for w, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                mine, next_ = keys(w, counts, q, shared)
-                key += mine + next_
-                longer += [False] * len(mine) + [True] * len(next_)
-                word += [w] * len(mine + next_)
-                n += [k] * len(mine + next_)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(word, pa.string()), pa.array(n, pa.int64()), pa.array(longer, pa.bool_())], names=["key", "word", "n", "longer"])
-
-    filed = vocabulary.select("word", "n").mapInArrow(run, "key long, word string, n long, longer boolean")
-    probes = filed.select("key", F.col("word").alias("a"), F.col("n").alias("n_a"), "longer")
-    lists = filed.filter("not longer").select("key", F.col("word").alias("b"), F.col("n").alias("n_b"))
+    places = ranks(counts)
+
+    def filed(w: str, n: str, longer: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                word, key, of, further = batch.column(0).to_pylist(), [], [], []
+                for i, one in enumerate(word):
+                    mine, next_ = own_keys(one, places, q, shared), longer_keys(one, places, q, shared) if longer else []
+                    key += mine + next_
+                    of += [i] * len(mine + next_)
+                    further += [False] * len(mine) + [True] * len(next_)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), batch.column(0).take(pa.array(of, pa.int64())), batch.column(1).take(pa.array(of, pa.int64())), pa.array(further, pa.bool_())], names=["key", w, n, "longer"])
+
+        return vocabulary.select("word", "n").mapInArrow(run, f"key long, {w} string, {n} long, longer boolean")
+
+    probes, lists = filed("a", "n_a", True), filed("b", "n_b", False).drop("longer")
     met = probes.join(lists.hint("merge"), "key").filter((F.col("longer") | (F.col("a") < F.col("b"))) & (F.levenshtein("a", "b", 1) == 1))
     return met.select("a", "n_a", "b", "n_b").distinct()
 

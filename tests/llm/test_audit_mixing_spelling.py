@@ -176,3 +176,15 @@ def test_spelling_is_all_pairs(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?)", [d[:2] for d in docs])
     sql = con.execute(f"SELECT word, coalesce(form, ''), root, n, n_near, coalesce(form_n, 0) FROM ({spelling.ORACLE_SQL})").fetchall()
     assert sorted(sql) == want
+
+
+def test_lists_hold_no_probes():
+    """A word's own lists are made without those that it probes; whatever letter is put in, a longer word is met in one."""
+    words = ["abcde", "bcdea", "aaaaa", "éabcdé", "abcdefgh"]
+    words += [w[:i] + x + w[i:] for w in words for i in range(len(w) + 1) for x in "aez"]
+    places = spelling.ranks(Counter(g for w in words for g in spelling.grams(w)))
+    lists = {w: spelling.own_keys(w, places) for w in words}
+    assert all(len(k) == 6 for k in lists.values()) and all(len(spelling.longer_keys(w, places)) == 18 for w in words)
+    for w in words[:5]:
+        for i in range(len(w) + 1):
+            assert set(spelling.longer_keys(w, places)) & set(lists[w[:i] + "e" + w[i:]])
