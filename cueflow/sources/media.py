@@ -207,16 +207,15 @@ def byte_ranges(payloads: DataFrame, size: int) -> DataFrame:
     return rows.select("source_id", "no", F.substring("payload", F.col("at") + 1, F.lit(size)).alias("data"))
 
 
-def _marks(before: int | None, data: bytes, offset: int) -> list[dict]:
-    """Where begins and ends stand in a range, the first of each run of one sort only; a mark may begin in the byte before."""
-    raw, at = (b"" if before is None else bytes([before])) + data, offset - (before is not None)
-    places, out, i = [PICTURE, PICTURE_END], [], raw.find(b"\xff")
-    while 0 <= i < len(raw) - 1:
-        if (mark := raw[i : i + 2]) in places:
+def _marks(data: bytes) -> list[dict]:
+    """Where begins and ends stand in a range, the first of each run of one sort only."""
+    places, out, i = [PICTURE, PICTURE_END], [], data.find(b"\xff")
+    while 0 <= i < len(data) - 1:
+        if (mark := data[i : i + 2]) in places:
             begin = mark == PICTURE
             if not out or out[-1]["begin"] != begin:
-                out.append({"at": at + i, "begin": begin})
-        i = raw.find(b"\xff", i + 1)
+                out.append({"at": i, "begin": begin})
+        i = data.find(b"\xff", i + 1)
     return out
 
 
@@ -224,42 +223,52 @@ def frames_of_ranges(ranges: DataFrame) -> DataFrame:
     """The same as `frames` for streams of any size, given as ranges (source_id, no, data; no in order, empty ranges allowed).
 
     Of marks that follow each other and are alike only the first counts, so what a range must know of the ones before is their
-    last mark and last byte, and of the ones after their first mark: scans over a row a range without its bytes. Pictures are
-    then cut out of the ranges that they cross and put together; no task holds more than a range and a picture."""
+    last mark and last byte: scans over a row a range without its bytes say which pieces of pictures it holds. A merge join
+    brings them to the bytes (nothing is broadcast: Spark takes ranges for no larger than the table that they are made of), and
+    the pieces are put together; no task holds more than a range and a picture."""
     c, v = F.col, Window.partitionBy("source_id").orderBy("no")
-    rows = ranges.filter(F.octet_length("data") > 0)
-    heads = rows.select("source_id", "no", F.octet_length("data").cast("long").alias("length"), F.substring("data", -1, 1).alias("last"))
-    heads = heads.select("source_id", "no", "length", (F.row_number().over(v) - 1).alias("place"), F.lag("last").over(v).alias("before"), (F.sum("length").over(v) - c("length")).alias("offset"))
-    data = rows.join(heads, ["source_id", "no"])
+    before = v.rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranges.filter(F.octet_length("data") > 0).select("source_id", "no", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("at", pa.int64()), ("begin", pa.bool_())]))
+        kind, second = pa.list_(pa.struct([("at", pa.int32()), ("begin", pa.bool_())])), {PICTURE[1]: True, PICTURE_END[1]: False}
         for b in batches:
-            made = [_marks(p[0] if p else None, d, o) for p, d, o in zip(*(b.column(i).to_pylist() for i in (4, 5, 3)))]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(made, kind)], names=["source_id", "place", "length", "offset", "marks"])
-
-    id_ = ranges.schema["source_id"].dataType.simpleString()
-    w = Window.partitionBy("source_id").orderBy("place")
-    m = data.select("source_id", "place", "length", "offset", "before", "data").mapInArrow(run, f"source_id {id_}, place int, length long, offset long, marks array<struct<at: long, begin: boolean>>")
-    inside = F.last(F.try_element_at("marks", F.lit(-1))["begin"], ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    m = m.withColumn("marks", F.when(F.size("marks") == 0, c("marks")).when(c("marks")[0]["begin"] == F.coalesce(inside, F.lit(False)), F.slice("marks", 2, F.size("marks"))).otherwise(c("marks")))
-    first = F.when(F.size("marks") > 0, F.struct(c("marks")[0]["at"].alias("at"), c("place").alias("place")))
-    m = m.withColumn("next", F.first(first, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))).withColumn("total", F.sum("length").over(Window.partitionBy("source_id")))
-
-    def span(x: Column, i: Column) -> Column:
-        end = F.coalesce(F.when(F.get("marks", i + 1).isNotNull(), F.struct(F.get("marks", i + 1)["at"].alias("at"), c("place").alias("place"))), c("next"))
-        # a begin in the byte before its range lies in the range before
-        return F.struct(x["at"].alias("start"), (end["at"] + 2).alias("end"), F.when(x["at"] < c("offset"), c("place") - 1).otherwise(c("place")).alias("from"), end["place"].alias("to"), F.coalesce(end["at"], c("total")).alias("known"))
-
-    spans = F.filter(F.transform("marks", lambda x, i: F.when(x["begin"], span(x, i))), lambda x: x.isNotNull())
-    m = m.select("source_id", "place", spans.alias("spans"))
-    waits = F.exists("spans", lambda x: x["known"] - x["start"] > PENDING_MOST)
-    m = m.withColumn("spans", F.when(waits, F.raise_error(F.lit("a picture has no end")).cast(m.schema["spans"].dataType)).otherwise(F.filter("spans", lambda x: x["end"].isNotNull())))
-    m = m.withColumn("done", F.sum(F.size("spans")).over(w) - F.size("spans"))
-    cut = m.select("source_id", "done", F.posexplode("spans").alias("i", "x")).select("source_id", (c("done") + c("i")).cast("int").alias("frame"), "x.*")
-    parts = cut.select("source_id", "frame", "start", "end", F.explode(F.sequence("from", "to")).alias("place"))
-    wanted = parts.groupBy("source_id", "place").agg(F.collect_list(F.struct("frame", "start", "end")).alias("wanted"))  # a range's own pictures
-    piece = lambda x: F.struct(x["frame"].alias("frame"), F.substring("data", (F.greatest(x["start"], c("offset")) - c("offset") + 1).cast("int"), (F.least(x["end"], c("offset") + c("length")) - F.greatest(x["start"], c("offset"))).cast("int")).alias("bytes"))
-    pieces = data.join(wanted, ["source_id", "place"]).select("source_id", "place", F.explode(F.transform("wanted", piece)).alias("x"))
-    whole = pieces.groupBy("source_id", "x.frame").agg(F.sort_array(F.collect_list(F.struct("place", "x.bytes"))).alias("ps"))
+            data = b.column(2).to_pylist()
+            made = [pa.array([len(d) for d in data], pa.int64()), pa.array([second.get(d[0]) for d in data], pa.bool_()), pa.array([d[-1] == PICTURE[0] for d in data], pa.bool_()), pa.array([_marks(d) for d in data], kind)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=["source_id", "no", "length", "head", "tail", "marks"])
+
+    id_, no_ = (ranges.schema[x].dataType.simpleString() for x in ("source_id", "no"))
+    m = rows.mapInArrow(run, f"source_id {id_}, no {no_}, length long, head boolean, tail boolean, marks array<struct<at: int, begin: boolean>>")
+    # a mark that lies over a border belongs to the range after it, at -1
+    over = F.lag("tail", 1, False).over(v) & c("head").isNotNull()
+    ends_over = F.coalesce(c("tail") & ~F.lead("head").over(v), F.lit(False))
+    m = m.select("source_id", "no", "length", "head", "marks", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), over.alias("over"), ends_over.cast("int").alias("ends_over"))
+    changes = lambda marks, state: F.when(F.get(marks, F.lit(0))["begin"] == state, F.slice(marks, 2, F.size(marks))).otherwise(marks)
+    first = F.array(F.struct(F.lit(-1).alias("at"), c("head").alias("begin")))
+    m = m.withColumn("marks", F.when(c("over"), F.concat(first, changes(c("marks"), c("head")))).otherwise(c("marks")))
+    inside = F.last(F.try_element_at("marks", F.lit(-1))["begin"], ignorenulls=True).over(before)
+    m = m.withColumn("inside", F.coalesce(inside, F.lit(False))).withColumn("marks", changes(c("marks"), c("inside")))
+    begins, ends = F.size(F.filter("marks", lambda x: x["begin"])), F.size(F.filter("marks", lambda x: ~x["begin"]))
+    at = c("offset") + F.try_element_at("marks", F.lit(-1))["at"]  # of a range's last begin, where it ends inside a picture
+    m = m.withColumn("since", F.last(at, ignorenulls=True).over(before)).withColumn("begun", F.coalesce(F.sum(begins).over(before), F.lit(0)).cast("int"))
+    m = m.withColumn("ended", F.sum(ends).over(Window.partitionBy("source_id")))
+
+    def piece(frame: Column, since: Column, start: Column, i: Column) -> Column:
+        end = F.get("marks", i)["at"]
+        waits = c("offset") + F.coalesce(end, c("length") - c("ends_over")) - since > PENDING_MOST
+        return F.struct(F.when(waits, F.raise_error(F.lit("a picture has no end")).cast("int")).otherwise(frame).alias("frame"), start.alias("start"), F.coalesce(end + 2, c("length").cast("int")).alias("end"))
+
+    own = F.transform("marks", lambda x, i: F.when(x["begin"], piece(c("begun") + F.shiftright(i, 1), c("offset") + x["at"], x["at"], i + 1)))
+    pieces = F.concat(F.array(F.when(c("inside"), piece(c("begun") - 1, c("since"), F.lit(0), F.lit(0)))), own)
+    m = m.select(c("source_id").alias("id"), c("no").alias("n"), "ended", pieces.alias("pieces"))
+    m = m.select("id", "n", F.filter("pieces", lambda x: x["frame"] < c("ended")).alias("pieces")).filter(F.size("pieces") > 0)
+    held = rows.join(m.hint("merge"), c("source_id").eqNullSafe(c("id")) & (c("no") == c("n")))
+
+    def cut(x: Column) -> Column:
+        start = F.greatest(x["start"], F.lit(0))
+        data = F.substring("data", start + 1, x["end"] - start)
+        return F.struct(x["frame"].alias("frame"), F.when(x["start"] < 0, F.concat(F.lit(PICTURE[:1]), data)).otherwise(data).alias("bytes"))
+
+    parts = held.select("source_id", "no", F.explode(F.transform("pieces", cut)).alias("x"))
+    whole = parts.groupBy("source_id", "x.frame").agg(F.sort_array(F.collect_list(F.struct("no", "x.bytes"))).alias("ps"))
     return whole.select("source_id", "frame", F.aggregate("ps", F.lit(b""), lambda a, x: F.concat(a, x["bytes"])).alias("picture"))

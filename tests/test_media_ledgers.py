@@ -202,6 +202,17 @@ def test_pictures_over_borders(spark, monkeypatch):
         M.frames_of_ranges(spark.createDataFrame([(1, 0, b + b"123"), (1, 1, b"4567")], "source_id int, no int, data binary")).collect()
 
 
+def test_ranges_are_not_broadcast(spark, tmp_path):
+    """Ranges cut from a table, however small Spark takes them for, go through no broadcast; a stream without an id is a stream."""
+    data = b"x\xff\xd8abc\xff\xd9--\xff\xd8d\xff\xd9\xff\xd8open"
+    spark.createDataFrame([(i or None, data * (1 + i % 3)) for i in range(20)], "source_id int, payload binary").coalesce(1).write.parquet(f"{tmp_path}/streams")
+    streams = spark.read.parquet(f"{tmp_path}/streams")
+    got = M.frames_of_ranges(M.byte_ranges(streams, 4))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted((r.source_id or 0, r.frame, bytes(r.picture)) for r in df.collect())
+    assert rows(got) == rows(M.frames(streams)) and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_probed_cases(spark):
     """Values that came out wrong once."""
     rows = [(1, "hello"), (2, None), (3, None), (4, "HELLO")]
