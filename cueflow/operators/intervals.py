@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from cueflow.functions import text as T
 from cueflow.functions.names import fresh, let
-from cueflow.operators import scan
+from cueflow.operators import scan, sweep
 
 # Gaps in seconds, likeness of texts, and the length of a cue that ends before it starts.
 GAP, FUZZY_GAP, ALIKE, SHORTEST = 0.15, 0.25, 0.82, 1.5
@@ -57,27 +61,61 @@ def _with_cells(df: DataFrame, start: str, end: str, level: str, no: str) -> Dat
     return out.withColumn(no, F.explode(F.concat(of(c(a), c(b)), of(c(y), c(z))))).drop(a, b, y, z)
 
 
-def first_containing(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, order: str, name: str = "span") -> DataFrame:
+def first_containing(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, order: str, name: str = "span", cell_rows: int = scan.CELL_ROWS) -> DataFrame:
     """points with name: the first span (its row as a struct) of the same keys that holds the point, by order; null if there
-    is none. Ends are closed; times are whole numbers (long, of at most 62 bits).
+    is none. Ends are closed; times are whole numbers (long, of at most 62 bits), keys and order of atomic types.
 
-    An interval index: a span is filed under the cells that it covers, of sizes that are powers of four, six a level at most,
-    and a cell keeps its first span alone. A point looks up one cell a level (as many as the longest span has), so that it
-    meets a row a level at most, each of a span that holds it, however many spans lie over each other and however long they
-    are; equal points look up once. Spans without a start, an
+    Points and spans are rows of one table, which is shuffled once by key; a pass over each key's rows in order of time finds
+    the spans (sweep.first_spans), with a row each, however many spans lie over each other and however long they are. The time of a
+    key with more than cell_rows rows is cut into cells, which go to many tasks. Spans without a start, an
     end, an order or a length of 0 or more hold nothing, and a point without a time or a key is in none. Of spans that are
     equal in order the lesser start, then the lesser end counts."""
-    level, no, best, from_, to = fresh([*points.columns, *spans.columns], "level", "no", "best", "from", "to")
     c = F.col
-    rank = F.struct(c(order).alias("o"), c(start).alias("s"), c(end).alias("e"))
-    good = spans.filter((c(start) <= c(end)) & c(order).isNotNull()).select(*keys, F.struct(rank.alias("rank"), F.struct(*spans.columns).alias("row")).alias(best), c(start).cast("long").alias(from_), c(end).cast("long").alias(to))
-    index = _with_cells(good, from_, to, level, no).groupBy(*keys, level, no).agg(F.min_by(best, c(best)["rank"]).alias(best))
-    longest = good.agg(F.max(c(to) - c(from_) + 1)).first()[0] or 1  # 62 bits at most
-    each = F.array(*[F.struct(F.lit(k).alias(level), F.shiftright(c(at).cast("long"), k * BITS).alias(no)) for k in range((int(longest).bit_length() - 1) // BITS + 1)])
-    asked = points.filter(c(at).isNotNull()).select(*keys, at).distinct().select(*keys, at, F.explode(each).alias("x")).select(*keys, at, f"x.{level}", f"x.{no}")
-    # Spark's estimates leave out what explode adds (a row a level or cell): by them it would broadcast either side
-    found = asked.join(index.hint("merge"), [*keys, level, no]).groupBy(*keys, at).agg(F.min_by(best, c(best)["rank"])["row"].alias(name))
-    return points.join(found.hint("merge"), [*keys, at], "left").select(*points.columns, name)
+    key, p, s = ([f"{x}{i}" for i in range(len(names))] for x, names in (("k", keys), ("p", points.columns), ("s", spans.columns)))
+    known = [c(k).isNotNull() for k in keys]
+    found, good = reduce(and_, known, c(at).isNotNull()), reduce(and_, known, (c(start) <= c(end)) & c(order).isNotNull())
+    keyed = lambda df: [df[k].alias(x) for k, x in zip(keys, key)]
+    held = spans.filter(good).select(*keyed(spans), c(start).cast("long").alias("t"), c(end).cast("long").alias("e"), c(order).alias("o"), *[c(n).alias(x) for n, x in zip(spans.columns, s)])
+    asked = points.filter(found).select(*keyed(points), c(at).cast("long").alias("t"), *[c(n).alias(x) for n, x in zip(points.columns, p)])
+    rows = held.unionByName(asked, allowMissingColumns=True)
+    # a column that is a key, a time or the order travels once
+    kinds = {f.name: f.dataType for f in rows.schema}
+    once = lambda names, own, given: [given[n] if n in given and kinds[given[n]] == kinds[x] else x for n, x in zip(names, own)]
+    out = once(points.columns, p, {at: "t"} | dict(zip(keys, key)))
+    span = once(spans.columns, s, {end: "e", start: "t", order: "o"} | dict(zip(keys, key)))
+    rows = rows.select(*dict.fromkeys([*key, "t", "e", "o", *out, *span]))
+
+    large = rows.groupBy(*key).agg(F.ceil(F.count("*") / cell_rows).alias("n"), F.min("t").alias("low"), F.max("t").alias("high")).filter("n > 1")
+    place = key
+    if not large.isEmpty():
+        rows, place = _cut(rows, large, key), [*key, "cell"]
+    schema = StructType([*points.schema, StructField(name, spans.schema)])
+    lost = points.filter(~found).withColumn(name, F.lit(None).cast(spans.schema))
+    return sweep.first_spans(rows, place, "t", "e", "o", out, span, schema).unionByName(lost)
+
+
+def _cut(rows: DataFrame, large: DataFrame, key: list[str]) -> DataFrame:
+    """rows (spans with t, e and o, points with t) with a cell of their key's time, as many cells as large says (a row for
+    each cell_rows rows at most). A span goes to the cells in which it starts and ends; a cell that spans cover whole gets
+    the first of those alone, found by sizes of cells that are powers of four."""
+    c = F.col
+    cell = lambda x: F.coalesce(F.call_function("div", x - c("low"), F.call_function("div", c("high") - c("low"), c("n")) + 1), F.lit(0))
+    # a span up to the last row's time or longer covers the last cell too: it ends in the one after it
+    last = F.when(c("e") >= c("high"), c("n")).when(c("e").isNotNull(), cell(c("e")))
+    placed = rows.join(F.broadcast(large), key, "left").withColumns({"first": cell(c("t")), "last": last})
+    ends = F.when((c("first") < c("last")) & (c("last") < c("n")), F.array("first", "last")).otherwise(F.array("first"))
+
+    row, rank = F.struct(*[n for n in rows.columns if n not in key]), F.struct("o", "t", "e")
+    over = placed.filter("last - first > 1").withColumns({"first": c("first") + 1, "last": c("last") - 1})
+    over = over.groupBy(*key, "first", "last").agg(F.min_by(F.struct(rank.alias("rank"), row.alias("row")), rank).alias("best"))
+    least = F.min_by("best", "best.rank").alias("best")
+    index = _with_cells(over, "first", "last", "level", "no").groupBy(*key, "level", "no").agg(least)
+    cells = large.select(*key, "n", F.explode(F.sequence(F.lit(0), c("n") - 1)).alias("cell"))
+    cells = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.floor(F.log2(c("n").cast("double")) / BITS).cast("int"))))
+    cells = cells.select(*key, "cell", "level", _down(c("cell"), c("level") * BITS).alias("no"))
+    # Spark's estimates leave out what explode adds: by them it would broadcast either side
+    covered = cells.join(index.hint("merge"), [*key, "level", "no"]).groupBy(*key, "cell").agg(least)
+    return placed.select(*rows.columns, F.explode(ends).alias("cell")).unionByName(covered.select(*key, "best.row.*", "cell"))
 
 
 def _apart(a: Column, b: Column) -> Column:

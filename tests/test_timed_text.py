@@ -156,6 +156,63 @@ def test_first_containing_broadcasts_nothing(spark):
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_first_containing_makes_no_rows(spark):
+    """A point and a span are one row of one shuffle each, whatever the spans' lengths: no row a level or a cell."""
+    spans = spark.createDataFrame([(1, 0, 9, 1), (1, 5, 1 << 40, 2)], "k int, a long, z long, o int")
+    got = intervals.first_containing(spark.createDataFrame([(1, 7), (1, 99), (2, 7)], "k int, t long"), spans, ["k"], "t", "a", "z", "o")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sorted((r["k"], r["t"], r["span"] and r["span"]["o"]) for r in got.collect()) == [(1, 7, 1), (1, 99, 2), (2, 7, None)]
+
+
+def test_first_containing_in_cells_and_batches(spark):
+    """A key with most rows, cut into cells or not, in batches of any size: spans within a cell, over some, over all and past
+    the last row; NaN and null keys, orders that are texts, names that clash."""
+    rng = random.Random(12)
+    key = lambda: (rng.choice([1, 1, 1, 1, 2, None]), rng.choice([0.5, 0.5, 0.5, float("nan")]))
+    spans = [(*key(), a := rng.randrange(-300, 900), a + rng.choice([0, 0, rng.randrange(9), rng.randrange(200), rng.randrange(900), 1 << 50]), rng.choice([None, *(f"o{i}" for i in range(400))])) for _ in range(500)]
+    points = [(*key(), rng.choice([None, *range(-310, 910)]), i) for i in range(700)]
+    want = []
+    for k, j, t, i in points:
+        held = [s for s in spans if None not in (*s, k, t) and (s[0], repr(s[1])) == (k, repr(j)) and s[2] <= t <= s[3]]
+        want.append((i, *(min(held, key=lambda s: (s[4], s[2], s[3]))[2:] if held else (None,) * 3)))
+    p = spark.createDataFrame(points, "k int, e double, t long, cell int")
+    s = spark.createDataFrame(spans, "k long, e double, t long, last long, o string")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for cell_rows, batch in ((1 << 16, "7"), (1 << 16, "10000"), (100, "7"), (9, "10000"), (1, "10000")):
+        spark.conf.set(size, batch)
+        try:
+            got = intervals.first_containing(p, s, ["k", "e"], "t", "t", "last", "o", cell_rows=cell_rows)
+            assert got.columns == ["k", "e", "t", "cell", "span"] and got.schema["span"].dataType == s.schema
+            assert sorted(map(tuple, got.select("cell", "span.t", "span.last", "span.o").collect()), key=repr) == sorted(want, key=repr)
+        finally:
+            spark.conf.unset(size)
+    assert sum(w[1] is not None for w in want) > 300 and sum(w[1] is None for w in want) > 100
+
+
+def test_a_hot_key_of_the_look_up_is_spread(spark):
+    """One key's points and spans go to many cells, and a cell gets of the spans that cover it whole the first alone."""
+    spans = spark.range(4000).selectExpr("1 as k0", "id as t", "id + 3000 as e", "4000 - id as o")
+    points = spark.range(4000).selectExpr("1 as k0", "id as t", "cast(null as long) as e", "cast(null as long) as o")
+    rows = spans.unionByName(points)
+    large = rows.groupBy("k0").agg({"*": "count"}).selectExpr("k0", "40L as n", "0L as low", "3999L as high")
+    cells = intervals._cut(rows, large, ["k0"]).groupBy("cell").count().collect()
+    assert len(cells) == 40 and max(r["count"] for r in cells) <= 301
+
+
+def test_least_over_is_the_search():
+    import numpy as np
+
+    from cueflow.operators.sweep import least_over
+
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 17, 64, 100):
+        first = rng.integers(0, n, 30)
+        past = np.minimum(n, first + rng.choice([0, 1, 2, 5, 16, n], 30))
+        assert least_over(first, past, n).tolist() == [min((i for i in range(30) if first[i] <= x < past[i]), default=30) for x in range(n)]
+    assert least_over(first[:0], past[:0], 3).tolist() == [0, 0, 0]
+
+
 def test_cells_cover_their_span_once(spark):
     """The cells of a span are disjoint, hold just its whole numbers and are six a level at most; huge ones are few."""
     rng = random.Random(4)
